@@ -82,7 +82,7 @@ def event_links(events: DataFrame, only_type: str | None = "EC2 Instance") -> Da
     return linked.filter(F.coalesce("resource_id", F.lit("")) != "")
 
 
-LOG_LINE = r"^(.*?) \| (\w+) \| (.*?) \| (.*)$"
+LOG_LINE = r"(?s)^(.*?) \| (\w+) \| (.*?) \| (.*)$"
 
 
 def parse_log_lines(lines: DataFrame, text: str = "value") -> DataFrame:

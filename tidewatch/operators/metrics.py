@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
+from tidewatch.functions.bounded import literal_rows
 from tidewatch.schemas import CATALOG_SCHEMA, METRIC_CATALOG, NO_DISK_AGENT, PERIOD_SECONDS
 
 SERIES = ["resource_type", "resource_id", "namespace", "metric", "dim_key", "statistic", "unit"]
 
 
 def lookback(df: DataFrame, as_of: dt.datetime, minutes: int, ts: str = "ts") -> DataFrame:
-    """Rows of ``[as_of - minutes, as_of]``. Bounds are literals, so the scan prunes on them."""
-    return df.filter(F.col(ts).between(F.lit(as_of - dt.timedelta(minutes=minutes)), F.lit(as_of)))
+    """Rows of ``[as_of - minutes, as_of]``.
+
+    Bounds are literals of the column's own type, so the filter reaches the scan.
+    """
+    kind = df.schema[ts].dataType
+    low, high = F.lit(as_of - dt.timedelta(minutes=minutes)).cast(kind), F.lit(as_of).cast(kind)
+    return df.filter(F.col(ts).between(low, high))
 
 
 def period_statistic(
@@ -121,7 +127,7 @@ def root_disk_series(series: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def metric_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METRIC_CATALOG, CATALOG_SCHEMA)
+    return literal_rows(spark, CATALOG_SCHEMA, METRIC_CATALOG)
 
 
 def with_catalog(datapoints: DataFrame, catalog: DataFrame) -> DataFrame:

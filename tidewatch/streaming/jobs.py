@@ -69,21 +69,26 @@ def dedup_events(stream: DataFrame, key: str = "event_id", ts: str = "ts", laten
 
 
 class SeverityState(StatefulProcessor):
-    """Keeps the last severity of a resource; emits a row when it is new or got worse."""
+    """Keeps the newest severity of a resource; emits a row when it is new or got worse.
+
+    As in the batch diff only the newest report of a trigger counts, so the rows of a hot
+    resource are passed once and never held.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", T.StructType([T.StructField("severity", T.StringType())]))
+        fields = [T.StructField("severity", T.StringType()), T.StructField("detected_at", T.TimestampType())]
+        self._last = handle.getValueState("last", T.StructType(fields))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self._last.get()[0] if self._last.exists() else None
-        for row in sorted(rows, key=lambda r: r.detected_at):
-            now = row.severity
-            if before is None:
-                yield Row(resource_id=key[0], severity=now, is_new=True, severity_changed_from=None, detected_at=row.detected_at)
-            elif SEVERITY_RANKS.get(now, 0) > SEVERITY_RANKS.get(before, 0):
-                yield Row(resource_id=key[0], severity=now, is_new=False, severity_changed_from=before, detected_at=row.detected_at)
-            before = now
-        self._last.update((before,))
+        newest = max(rows, key=lambda r: r.detected_at)
+        before, seen_at = self._last.get() if self._last.exists() else (None, None)
+        if seen_at is not None and newest.detected_at < seen_at:
+            return
+        now = newest.severity
+        self._last.update((now, newest.detected_at))
+        worse = SEVERITY_RANKS.get(now, 0) > SEVERITY_RANKS.get(before, 0)
+        if before is None or worse:
+            yield Row(resource_id=key[0], severity=now, is_new=before is None, severity_changed_from=before, detected_at=newest.detected_at)
 
     def close(self) -> None:
         pass
