@@ -43,13 +43,13 @@ def entities_in(leaves: Column, patterns: dict[str, str] | None = None, bounded:
     """
     table = patterns or ENTITY_PATTERNS
 
+    def of_kind(leaf, kind, pattern):
+        regex = rf"(?<![0-9A-Za-z-]){pattern}" if bounded else pattern
+        names = F.regexp_extract_all(leaf, F.lit(regex), F.lit(0))
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+
     def of_leaf(leaf):
-        found = []
-        for kind, pattern in table.items():
-            regex = rf"(?<![0-9A-Za-z-]){pattern}" if bounded else pattern
-            names = F.regexp_extract_all(leaf, F.lit(regex), F.lit(0))
-            found.append(F.transform(names, lambda n, kind=kind: F.struct(F.lit(kind).alias("type"), n.alias("name"))))
-        return F.concat(*found)
+        return F.concat(*[of_kind(leaf, kind, pattern) for kind, pattern in table.items()])
 
     return F.array_distinct(F.flatten(F.transform(leaves, of_leaf)))
 
