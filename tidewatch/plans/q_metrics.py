@@ -9,7 +9,10 @@ from tidewatch.plans.registry import query
 from tidewatch.schemas import SNAPSHOT_LOOKBACK_MINUTES, TREND_LOOKBACK_MINUTES
 
 STATS_SQL = "stats(metric, statistic, unit) AS (VALUES " + ", ".join(str(r) for r in A.STATISTIC_ROWS) + ")"
-THRESHOLDS_SQL = "th(metric, op, threshold) AS (VALUES " + ", ".join(str(r) for r in A.THRESHOLD_ROWS) + ")"
+THRESHOLDS_SQL = (
+    "th AS (SELECT metric, op, threshold::DOUBLE AS threshold FROM (VALUES "
+    + ", ".join(str(r) for r in A.THRESHOLD_ROWS) + ") v(metric, op, threshold))"
+)
 BREACH_SQL = """coalesce(CASE op WHEN 'GT' THEN value > threshold WHEN 'GTE' THEN value >= threshold
   WHEN 'LT' THEN value < threshold WHEN 'LTE' THEN value <= threshold END, false)"""
 BINS_SQL = """bins AS (SELECT user_id AS resource_id, event_type AS metric, time_bucket(INTERVAL 5 MINUTE, ts) AS ts,

@@ -104,12 +104,13 @@ def severity_changes(stream: DataFrame) -> DataFrame:
     )
 
 
-def severity_changes_by_batch(read_state: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]):
+def severity_changes_by_batch(read_state: Callable[[int], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]):
     """The same change rule for ``foreachBatch`` over a stored state table.
 
-    ``read_state`` returns (resource_id, severity); ``write(changes, new_state, batch_id)``
-    stores both under the batch id, so that a repeated batch overwrites itself. Only the
-    last report of a resource per batch counts.
+    ``read_state(batch_id)`` returns the (resource_id, severity) left by the batches before
+    it; ``write(changes, new_state, batch_id)`` stores both under the batch id, so that a
+    repeated batch overwrites itself. Only the last report of a resource per batch counts,
+    which combines map-side: prefer this form where one resource may send very many rows.
     """
     from tidewatch.operators import feed
 
@@ -117,7 +118,7 @@ def severity_changes_by_batch(read_state: Callable[[], DataFrame], write: Callab
         last = batch.groupBy("resource_id").agg(
             F.max_by("severity", "detected_at").alias("severity"), F.max("detected_at").alias("detected_at")
         )
-        previous = read_state()
+        previous = read_state(batch_id)
         changes = feed.diff_severity(last, previous).filter(F.col("is_new") | F.col("severity_changed_from").isNotNull())
         kept = previous.join(last.select("resource_id"), "resource_id", "left_anti")
         write(changes, kept.unionByName(last.select("resource_id", "severity")), batch_id)
@@ -139,13 +140,13 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     query.awaitTermination()
 
 
-def run_once_by_batch(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Like :func:`run_once` for complete or update mode: each batch replaces the table at ``path``."""
+def run_once_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Like :func:`run_once` for an aggregate in complete mode: each batch replaces the table at ``path``."""
 
     def write(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
