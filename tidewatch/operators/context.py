@@ -90,13 +90,14 @@ def instance_events(links: DataFrame, page_rows: int = bounded.PAGE_ROWS) -> Dat
     """All events of each instance in order, as (resource_id, page, events).
 
     ``links`` is the narrowed event bridge with ``ord`` (source order) and ``link_ord``.
-    A normal instance has page 0 only; a hot one has as many pages as it needs.
+    A normal instance has page 0 only; a hot one has as many pages as it needs. Every
+    event carries its ``ord``, which orders the events of all pages together.
     """
     return bounded.pages(
         links,
         ["resource_id"],
         order=F.struct("ord", "link_ord"),
-        item=F.struct(*EVENT_FIELDS),
+        item=F.struct(F.struct("ord", "link_ord").alias("ord"), *EVENT_FIELDS),
         salt_on=["ord", "link_ord"],
         name="events",
         page_rows=page_rows,

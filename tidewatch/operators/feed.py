@@ -176,20 +176,20 @@ def as_of_join(
     return left.join(right, hit, "left").select(*[F.col(f"f.{c}") for c in facts.columns], F.col("_value").alias(value))
 
 
-def diff_severity(current: DataFrame, previous: DataFrame, key: str = "resource_id") -> DataFrame:
+def diff_severity(current: DataFrame, previous: DataFrame, keys: list[str] = ["resource_id"]) -> DataFrame:
     """``is_new`` and ``severity_changed_from``; only a rise in rank is flagged, unknown words rank 0."""
-    prev = previous.select(key, F.col("severity").alias("_prev"))
+    prev = previous.select(*keys, F.col("severity").alias("_prev"))
     worse = C.severity_rank(F.col("severity")) > C.severity_rank(F.col("_prev"))
-    return current.join(prev, key, "left").select(
+    return current.join(prev, keys, "left").select(
         *[F.col(c) for c in current.columns],
         F.col("_prev").isNull().alias("is_new"),
         F.when(F.col("_prev").isNotNull() & worse, F.col("_prev")).alias("severity_changed_from"),
     )
 
 
-def state_of(reports: DataFrame, key: str = "resource_id") -> DataFrame:
+def state_of(reports: DataFrame, keys: list[str] = ["resource_id"]) -> DataFrame:
     """The severity snapshot that the next diff compares against."""
-    return reports.select(key, F.coalesce(F.upper("severity"), F.lit("UNKNOWN")).alias("severity"))
+    return reports.select(*keys, C.or_else(F.upper("severity"), "UNKNOWN").alias("severity"))
 
 
 def report_columns(raw: DataFrame) -> DataFrame:
@@ -206,22 +206,25 @@ def report_columns(raw: DataFrame) -> DataFrame:
     )
 
 
-def enrich_reports(reports: DataFrame, contexts: DataFrame, key: str = "resource_id") -> DataFrame:
+def enrich_reports(reports: DataFrame, contexts: DataFrame, keys: list[str] = ["resource_id"]) -> DataFrame:
     """Type label and telemetry of the resource, null where no context is known.
 
-    ``contexts`` holds one row per resource id with ``resource_type``.
+    ``contexts`` holds one row per key with ``resource_type``. Ids are unique per type only,
+    so reports that know their type are joined on both.
     """
-    extra = [c for c in contexts.columns if c not in (key, "resource_type")]
-    side = contexts.select(key, C.type_label(F.col("resource_type")).alias("type_label"), *extra)
-    return reports.drop("type_label").join(side, key, "left")
+    extra = [c for c in contexts.columns if c not in ("resource_id", "resource_type")]
+    side = contexts.select(*keys, C.type_label(F.col("resource_type")).alias("type_label"), *extra)
+    return reports.drop("type_label").join(side, keys, "left")
 
 
-def report_feed(reports: DataFrame, contexts: DataFrame, runs: DataFrame, previous: DataFrame) -> DataFrame:
+def report_feed(
+    reports: DataFrame, contexts: DataFrame, runs: DataFrame, previous: DataFrame, keys: list[str] = ["resource_id"]
+) -> DataFrame:
     """All reports with confidence, telemetry, run link and change flags."""
     shaped = report_columns(reports)
-    enriched = enrich_reports(shaped, contexts)
+    enriched = enrich_reports(shaped, contexts, keys)
     linked = as_of_join(enriched, runs, "detected_at", "start_ts", "run_id")
-    return diff_severity(linked, previous)
+    return diff_severity(linked, previous, keys)
 
 
 # --- trends -----------------------------------------------------------------------

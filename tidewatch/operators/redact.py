@@ -98,19 +98,16 @@ def event_lists(firsts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_events(contexts: DataFrame) -> DataFrame:
-    """All events of stored contexts, one row each, with a position across pages."""
-    pages = contexts.filter(F.col("resource_type") == EC2)
-    return pages.select("resource_id", "page", F.posexplode("instance.events").alias("pos", "e")).select(
-        "resource_id", "page", "pos", F.col("e.event_time").alias("event_time"), F.col("e.event_name").alias("event_name"),
-        F.col("e.service").alias("service"), F.col("e.error_code").alias("error_code"),
+    """All events of stored contexts over all pages, one row each, with their source order."""
+    return contexts.filter(F.col("resource_type") == EC2).select("resource_id", F.explode("instance.events").alias("e")).select(
+        "resource_id", "e.ord", "e.event_time", "e.event_name", "e.service", "e.error_code"
     )
 
 
 def redact_instances(contexts: DataFrame, events: DataFrame | None = None, keep_errors: bool = False) -> DataFrame:
     """State, kept payloads, memberships and deduplicated events. ``events`` defaults to those of the contexts."""
     rows = context_events(contexts) if events is None else events
-    order = ["page", "pos"] if events is None else ["ord"]
-    lists = event_lists(first_events(rows, ["resource_id"], order, keep_errors), ["resource_id"])
+    lists = event_lists(first_events(rows, ["resource_id"], ["ord"], keep_errors), ["resource_id"])
     i = F.col("instance")
     docs = contexts.filter((F.col("resource_type") == EC2) & (F.col("page") == 0)).select(
         "resource_type",

@@ -18,9 +18,7 @@ SOURCES = {"cloudwatch": "instances", "alb": "load_balancers", "autoscaling": "g
 
 def load_snapshots(spark: SparkSession, raw: str) -> dict[str, DataFrame]:
     """The four collector outputs under ``raw``; a missing or broken one is empty."""
-    found = {name: readers.read_snapshot(spark, raw, source).drop("snapshot_ts") for source, name in SOURCES.items()}
-    # Later stages order and salt by these positions, which must be plain values.
-    return {name: rows.withColumn("ord", F.struct("ord._at", "ord._file", "ord._pos")) for name, rows in found.items()}
+    return {name: readers.read_snapshot(spark, raw, source).drop("snapshot_ts") for source, name in SOURCES.items()}
 
 
 def contexts_of(snapshots: dict[str, DataFrame], resource_id: str | None = None) -> DataFrame:
@@ -54,9 +52,9 @@ def investigate(
     answered = outcomes.filter(F.col("error").isNull())
     reports = analyze.parse_responses(answered).withColumn("detected_at", F.lit(ended))
     timed = analyze.run_counters(judged, outcomes).withColumns({"start_ts": F.lit(started), "end_ts": F.lit(ended)})
-    status = readers.collector_status(spark, raw)
-    collectors = status.agg(F.map_from_entries(F.collect_list(F.struct("collector", "status"))).alias("collectors"), F.lit(1).alias("_k"))
-    run = analyze.run_records(timed).withColumn("_k", F.lit(1)).join(collectors, "_k").drop("_k")
+    # One row per source, so the health map is small enough to be a literal of the run record.
+    health = [F.lit(v) for row in readers.collector_status(spark, raw).collect() for v in (row["collector"], row["status"])]
+    run = analyze.run_records(timed).withColumn("collectors", F.create_map(*health))
     return {
         "contexts": contexts,
         "skipped": analyze.skipped_resources(judged),
@@ -90,10 +88,9 @@ def feed_tables(runs: DataFrame, reports: DataFrame, contexts: DataFrame, archiv
     rows as built; ``archived``: (archive_ts, resource_id, severity); ``previous``: the
     published ``state``.
     """
-    documents = contexts.filter(F.col("page") == 0)
-    typed = documents.select("resource_id", "resource_type")
-    telemetry = feed.telemetry(contexts)
-    all_reports = feed.report_feed(reports, telemetry, runs, previous).withColumn("detected_at", C.iso_display(F.col("detected_at")))
+    typed = contexts.filter(F.col("page") == 0).select("resource_id", "resource_type")
+    keys = [k for k in ("resource_type", "resource_id") if k in reports.columns and k in previous.columns]
+    all_reports = feed.report_feed(reports, feed.telemetry(contexts), runs, previous, keys).withColumn("detected_at", C.iso_display(F.col("detected_at")))
     current = feed.report_columns(reports)
     archives = archived.select("archive_ts").distinct()
     scored = archived.filter(F.col("severity").isNotNull())
@@ -112,7 +109,7 @@ def feed_tables(runs: DataFrame, reports: DataFrame, contexts: DataFrame, archiv
         "investigation_trend": feed.investigation_trend(runs),
         "execution_time_trend": feed.execution_time_trend(runs),
         "daily_runs": feed.daily_runs(runs),
-        "state": feed.state_of(reports),
+        "state": feed.state_of(reports, keys),
     }
 
 
@@ -120,7 +117,8 @@ def export_feed(base: str, version: int, **inputs: DataFrame) -> dict[str, DataF
     """Builds and publishes the feed as one version; ``previous`` defaults to the published state."""
     spark = inputs["runs"].sparkSession
     if "previous" not in inputs:
-        inputs["previous"] = writers.read_published(spark, base, "state", "resource_id string, severity string")
+        keys = [f"{k} string" for k in ("resource_type", "resource_id") if k in inputs["reports"].columns]
+        inputs["previous"] = writers.read_published(spark, base, "state", ", ".join([*keys, "severity string"]))
     tables = feed_tables(**inputs)
     writers.publish(tables, base, version)
     return tables

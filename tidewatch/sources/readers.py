@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.schemas import (
+    ASG_METRICS,
     ASG_RESOURCE,
     AUDIT_RESOURCE,
     CONTEXT,
+    EC2,
     FEED_TABLES,
     INSTANCE_RESOURCE,
+    LB_METRICS,
     LB_RESOURCE,
+    LOAD_BALANCER,
     REPORT,
     RUN,
+    SCALING_GROUP,
     struct_of,
 )
 
@@ -31,6 +36,8 @@ RESOURCE_TYPES = {
     "cloudtrail": AUDIT_RESOURCE,
 }
 _BROKEN = "_broken"
+_EVENT_NAMES = ["event_time", "event_name", "service", "username", "source_ip", "read_only", "error_code"]
+_EVENT = "struct<" + ",".join(f"{n}:{'boolean' if n == 'read_only' else 'string'}" for n in _EVENT_NAMES) + ">"
 
 
 def _empty(spark: SparkSession, ddl: str) -> DataFrame:
@@ -118,7 +125,35 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    return read_entities(spark, folder, CONTEXT).drop("detected_at")
+    """Stored context documents in the shape that the context builder makes."""
+    docs = read_entities(spark, folder, CONTEXT)
+    c = F.col("context")
+    kind = F.coalesce("resource_type", F.lit(EC2))
+    no_order = F.lit(None).cast("bigint")
+    events = F.transform(
+        F.coalesce(c["cloudtrail"], F.array().cast(struct_of(f"e array<{_EVENT}>")["e"].dataType)),
+        lambda e, i: F.struct(F.struct(i.alias("ord"), no_order.alias("link_ord")).alias("ord"), *[e[n].alias(n) for n in _EVENT_NAMES]),
+    )
+    instance = F.struct(
+        c["cloudwatch"].alias("snapshot"), c["alb"].alias("lb_membership"), c["autoscaling"].alias("asg_membership"), events.alias("events")
+    )
+
+    def metrics(ddl):
+        return F.struct(*[F.try_element_at(c["metrics"], F.lit(f.name)).alias(f.name) for f in struct_of(f"m {ddl}")["m"].dataType])
+
+    def member(names, metric_ddl):
+        return F.struct(*[metrics(metric_ddl).alias(n) if n == "metrics" else c[n].alias(n) for n in names])
+
+    lb = ["alb_name", "dns_name", "scheme", "state", "vpc_id", "metrics", "target_groups", "MetricTrends"]
+    asg = ["asg_name", "min_size", "max_size", "desired_capacity", "health_check_type", "metrics", "instances", "scaling_activities", "MetricTrends"]
+    return docs.select(
+        kind.alias("resource_type"),
+        "resource_id",
+        F.lit(0).alias("page"),
+        F.when(kind == EC2, instance).alias("instance"),
+        F.when(kind == LOAD_BALANCER, member(lb, LB_METRICS)).alias("load_balancer"),
+        F.when(kind == SCALING_GROUP, member(asg, ASG_METRICS)).alias("scaling_group"),
+    )
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
