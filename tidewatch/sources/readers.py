@@ -220,4 +220,4 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain text logs, or of JSON container logs whose ``log`` member is the line."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
     inner = F.get_json_object("value", "$.log")
-    return lines.select(F.rtrim(F.coalesce(inner, F.col("value"))).alias("value"), "file")
+    return lines.select(F.regexp_replace(F.coalesce(inner, F.col("value")), r"\s+$", "").alias("value"), "file")

@@ -76,32 +76,34 @@ class SeverityState(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("severity", T.StringType()), T.StructField("detected_at", T.TimestampType())]
+        fields = [T.StructField("severity", T.StringType()), T.StructField("micros", T.LongType())]
         self._last = handle.getValueState("last", T.StructType(fields))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: r.detected_at)
-        before, seen_at = self._last.get() if self._last.exists() else (None, None)
-        if seen_at is not None and newest.detected_at < seen_at:
+        newest = max(rows, key=lambda r: r.micros)
+        before, seen = self._last.get() if self._last.exists() else (None, None)
+        if seen is not None and newest.micros < seen:
             return
         now = newest.severity
-        self._last.update((now, newest.detected_at))
+        self._last.update((now, newest.micros))
         worse = SEVERITY_RANKS.get(now, 0) > SEVERITY_RANKS.get(before, 0)
         if before is None or worse:
-            yield Row(resource_id=key[0], severity=now, is_new=before is None, severity_changed_from=before, detected_at=newest.detected_at)
+            yield Row(resource_id=key[0], severity=now, is_new=before is None, severity_changed_from=before, micros=newest.micros)
 
     def close(self) -> None:
         pass
 
 
-CHANGES = "resource_id string, severity string, is_new boolean, severity_changed_from string, detected_at timestamp"
+CHANGES = "resource_id string, severity string, is_new boolean, severity_changed_from string, micros bigint"
 
 
 def severity_changes(stream: DataFrame) -> DataFrame:
     """Stateful change feed by resource; needs the RocksDB state store provider."""
-    return stream.groupBy("resource_id").transformWithState(
+    timed = stream.select("resource_id", "severity", F.unix_micros("detected_at").alias("micros"))
+    changed = timed.groupBy("resource_id").transformWithState(
         statefulProcessor=SeverityState(), outputStructType=T.StructType.fromDDL(CHANGES), outputMode="append", timeMode="None"
     )
+    return changed.withColumn("detected_at", F.timestamp_micros("micros")).drop("micros")
 
 
 def severity_changes_by_batch(read_state: Callable[[int], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]):
