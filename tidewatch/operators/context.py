@@ -65,12 +65,18 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str], fields: list[s
 
 
 def spine(*id_columns: tuple[DataFrame, str, str]) -> DataFrame:
-    """Distinct (resource_type, resource_id) over ``(rows, id column, type)`` sources."""
+    """Distinct (resource_type, resource_id) over ``(rows, id column, type)`` sources.
+
+    Ids are made distinct per type, so the result stays partitioned by the id alone and
+    joins on it need no further exchange.
+    """
+    by_type: dict[str, list[DataFrame]] = {}
+    for rows, id_col, kind in id_columns:
+        by_type.setdefault(kind, []).append(rows.select(F.col(id_col).alias("resource_id")).filter(_present("resource_id")))
     parts = [
-        rows.select(F.lit(kind).alias("resource_type"), F.col(id_col).alias("resource_id")).filter(_present("resource_id"))
-        for rows, id_col, kind in id_columns
+        reduce(DataFrame.union, ids).distinct().select(F.lit(kind).alias("resource_type"), "resource_id") for kind, ids in by_type.items()
     ]
-    return reduce(DataFrame.union, parts).distinct()
+    return reduce(DataFrame.union, parts)
 
 
 def instance_lb_membership(targets: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +30,49 @@ def string_leaves(text: Column) -> Column:
     """String values of a JSON text in document order, without keys and escapes resolved.
 
     Works on flat text: each JSON string is one match, and a string followed by a
-    colon is a key. Depth does not matter, so no recursion and no fixed depth.
+    colon is a key. Depth does not matter, so no recursion and no fixed depth. Only
+    strings with a backslash go through the JSON reader.
     """
-    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'), F.lit(0))
     values = F.filter(strings, lambda s: ~s.endswith(":"))
-    return F.transform(values, lambda s: F.coalesce(F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), "v string")["v"], s))
+
+    def plain(s):
+        quoted = F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), "v string")["v"]
+        return F.when(s.contains("\\"), F.coalesce(quoted, s)).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
+
+    return F.transform(values, plain)
+
+
+def literal_start(pattern: str) -> str:
+    """Text that every match must contain: the literal characters a pattern begins with."""
+    if "|" in pattern or "(?i" in pattern:
+        return ""
+    head = re.match(r"[A-Za-z0-9:_/@=-]*", pattern).group()
+    return head[:-1] if pattern[len(head):len(head) + 1] in ("*", "?", "{") else head
 
 
-def entities_in(leaves: Column, patterns: dict[str, str] | None = None, bounded: bool = False) -> Column:
+def entities_in(
+    leaves: Column, patterns: dict[str, str] | None = None, bounded: bool = False, needles: dict[str, str] | None = None
+) -> Column:
     """Distinct (type, name) pairs of all patterns over all string leaves, in first-seen order.
 
     ``bounded`` refuses a match that continues a longer word, such as ``i-…`` within
-    ``eni-…``; the default accepts it, as the plain patterns do.
+    ``eni-…``; the default accepts it, as the plain patterns do. A pattern is only run
+    on leaves that hold its ``needle``, a text without which it cannot match; where none
+    is given, the literal start of the pattern serves.
     """
     table = patterns or ENTITY_PATTERNS
+    needle_of = {kind: (needles or {}).get(kind) or literal_start(pattern) for kind, pattern in table.items()}
+    none = F.array().cast("array<struct<type:string,name:string>>")
+    if all(needle_of.values()):
+        any_needle = "|".join(sorted({re.escape(n) for n in needle_of.values()}))
+        leaves = F.filter(leaves, lambda leaf: leaf.rlike(any_needle))
 
     def of_kind(leaf, kind, pattern):
         regex = rf"(?<![0-9A-Za-z-]){pattern}" if bounded else pattern
         names = F.regexp_extract_all(leaf, F.lit(regex), F.lit(0))
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+        found = F.transform(names, lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+        return F.when(leaf.contains(needle_of[kind]), found).otherwise(none) if needle_of[kind] else found
 
     def of_leaf(leaf):
         return F.concat(*[of_kind(leaf, kind, pattern) for kind, pattern in table.items()])
@@ -67,9 +93,11 @@ def parse_audit_events(raw: DataFrame, patterns: dict[str, str] | None = None, b
     )
 
 
-def entity_rows(df: DataFrame, key: str, text: str, patterns: dict[str, str], bounded: bool = False) -> DataFrame:
+def entity_rows(
+    df: DataFrame, key: str, text: str, patterns: dict[str, str], bounded: bool = False, needles: dict[str, str] | None = None
+) -> DataFrame:
     """(key, type, name) for plain text; distinct within each row, so nothing is shuffled."""
-    found = entities_in(F.array(F.col(text)), patterns, bounded)
+    found = entities_in(F.array(F.col(text)), patterns, bounded, needles)
     return df.select(key, F.explode(found).alias("e")).select(key, "e.type", "e.name")
 
 

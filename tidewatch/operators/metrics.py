@@ -131,10 +131,8 @@ def metric_catalog(spark: SparkSession) -> DataFrame:
 
 
 def with_catalog(datapoints: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Statistic, unit and short name from the catalog, a literal table of some twenty rows."""
-    return datapoints.drop("statistic", "unit").join(
-        F.broadcast(catalog), ["resource_type", "namespace", "metric"], "inner"
-    )
+    """Statistic, unit and short name from the catalog. A literal catalog has a known size and is broadcast by it."""
+    return datapoints.drop("statistic", "unit").join(catalog, ["resource_type", "namespace", "metric"], "inner")
 
 
 def name_tag(tags: Column) -> Column:

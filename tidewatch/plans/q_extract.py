@@ -11,6 +11,7 @@ TEXT_PATTERNS = {
     "IPv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "Email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z]",
 }
+NEEDLES = {"IPv4": ".", "Email": "@"}
 ENTITIES_SQL = "entities AS (" + " UNION ALL ".join(
     f"SELECT doc_id, '{kind}' AS type, unnest(regexp_extract_all(text, '{pattern}')) AS name FROM documents"
     for kind, pattern in TEXT_PATTERNS.items()
@@ -18,7 +19,7 @@ ENTITIES_SQL = "entities AS (" + " UNION ALL ".join(
 
 
 def document_entities(spark, sf_dir):
-    return extract.entity_rows(A.table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_PATTERNS)
+    return extract.entity_rows(A.table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_PATTERNS, needles=NEEDLES)
 
 
 @query("entity_extract", f"WITH {ENTITIES_SQL} SELECT DISTINCT doc_id, type, name FROM entities")
@@ -35,7 +36,7 @@ def entity_totals(spark, sf_dir):
 @query("event_bridge", f"WITH {ENTITIES_SQL} SELECT DISTINCT doc_id, name AS resource_id FROM entities WHERE type = 'Email'")
 def event_bridge(spark, sf_dir):
     events = A.table(spark, sf_dir, "documents").select(
-        "doc_id", extract.entities_in(F.array("text"), TEXT_PATTERNS).alias("resources")
+        "doc_id", extract.entities_in(F.array("text"), TEXT_PATTERNS, needles=NEEDLES).alias("resources")
     )
     return extract.event_links(events, "Email").select("doc_id", "resource_id")
 
