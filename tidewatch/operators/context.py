@@ -159,18 +159,20 @@ def build_contexts(
         known.join(snapshot, "resource_id", "left")
         .join(instance_lb_membership(targets), "resource_id", "left")
         .join(instance_asg_membership(members), "resource_id", "left")
-        .withColumn("page", F.lit(0))
     )
     paged = instance_events(links, page_rows)
-    events_type = paged.schema["events"].dataType.simpleString()
-    ec2 = base.join(paged, ["resource_id", "page"], "full").select(
-        F.lit(EC2).alias("resource_type"),
-        "resource_id",
-        "page",
-        F.struct(
-            "snapshot", "lb_membership", "asg_membership",
-            F.transform(F.coalesce("events", F.array().cast(events_type)), lambda e: e["v"]).alias("events"),
-        ).alias("instance"),
+    event_list = F.transform(
+        F.coalesce("events", F.array().cast(paged.schema["events"].dataType)), lambda e: e["v"]
+    ).alias("events")
+    # Only first pages are joined. Further pages of a hot instance stay rows of their own and meet no join key.
+    first = paged.filter(F.col("page") == 0).drop("page")
+    rest = paged.filter(F.col("page") > 0)
+    absent = [F.lit(None).cast(base.schema[n].dataType).alias(n) for n in ("snapshot", "lb_membership", "asg_membership")]
+    ec2 = (
+        base.join(first, "resource_id", "left")
+        .select("resource_id", F.lit(0).alias("page"), F.struct("snapshot", "lb_membership", "asg_membership", event_list).alias("instance"))
+        .unionByName(rest.select("resource_id", "page", F.struct(*absent, event_list).alias("instance")))
+        .select(F.lit(EC2).alias("resource_type"), "resource_id", "page", "instance")
     )
     lbs = promote_load_balancers(load_balancers).select(
         F.lit(LOAD_BALANCER).alias("resource_type"), "resource_id", F.lit(0).alias("page"), "load_balancer"

@@ -9,10 +9,23 @@ NOT_REGISTERED = "Not registered"
 NOT_SCALED = "Not in Auto Scaling"
 
 
+def _matches_or_none(instances: DataFrame, found: DataFrame) -> DataFrame:
+    """Every match of each instance, and one row without values for an instance that has none.
+
+    An inner join and an anti join against distinct ids instead of one outer join: the
+    adaptive skew join can split either side of the former, so an instance with very many
+    matches does not end in one task.
+    """
+    spine = instances.select("resource_id")
+    matched = found.join(spine, "resource_id")
+    missing = spine.join(found.select("resource_id").distinct(), "resource_id", "left_anti")
+    return matched.withColumn("_hit", F.lit(True)).unionByName(missing.withColumn("_hit", F.lit(False)), allowMissingColumns=True)
+
+
 def with_targets(instances: DataFrame, targets: DataFrame) -> DataFrame:
     """Every target registration of each instance, or one row that says there is none."""
     found = targets.select("resource_id", F.col("health").alias("target_health"), F.col("reason").alias("target_reason"))
-    return instances.select("resource_id").join(found.withColumn("_hit", F.lit(True)), "resource_id", "left").select(
+    return _matches_or_none(instances, found).select(
         "resource_id",
         F.when(F.col("_hit"), F.col("target_health")).otherwise(NOT_REGISTERED).alias("target_health"),
         "target_reason",
@@ -21,7 +34,7 @@ def with_targets(instances: DataFrame, targets: DataFrame) -> DataFrame:
 
 def with_scaling(instances: DataFrame, members: DataFrame) -> DataFrame:
     found = members.select("resource_id", "lifecycle_state", F.col("health_status").alias("scaling_health"))
-    return instances.select("resource_id").join(found.withColumn("_hit", F.lit(True)), "resource_id", "left").select(
+    return _matches_or_none(instances, found).select(
         "resource_id",
         F.when(F.col("_hit"), F.col("lifecycle_state")).otherwise(NOT_SCALED).alias("lifecycle_state"),
         "scaling_health",

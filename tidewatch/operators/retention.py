@@ -46,9 +46,10 @@ def reports_to_delete(current: DataFrame, archived: DataFrame, deleted: DataFram
     """Current reports that still equal the copy archived with a deleted run.
 
     Equality is null-safe over all ``fields``. The comparison is a semi join on the key
-    and the content, so several deleted runs with a copy of one report match it once.
+    and the content, so several deleted runs with a copy of one report match it once, and
+    equal copies are merged map-side before they are moved.
     """
-    copies = archived.join(deleted.select("run_id"), "run_id", "left_semi").select(key, *fields)
+    copies = archived.join(deleted.select("run_id"), "run_id", "left_semi").select(key, *fields).distinct()
     same = F.col(f"c.{key}") == F.col(f"a.{key}")
     for f in fields:
         same = same & F.col(f"c.{f}").eqNullSafe(F.col(f"a.{f}"))
