@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here are wide; recording a Python call site for every column doubles the time to build one.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
