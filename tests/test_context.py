@@ -183,6 +183,12 @@ def test_string_leaves_match_a_recursive_walk(spark):
         assert got == walk(doc)
 
 
+def test_string_leaves_of_any_length(spark):
+    doc = {"a": 'x"' * 100_000, "b\\": "\\" * 50_001, "c": "y" * 1_000_000 + "\\", "d": "\\\""}
+    got = spark.createDataFrame([(json.dumps(doc),)], "t string").select(extract.string_leaves(F.col("t"))).collect()[0][0]
+    assert got == list(doc.values())
+
+
 def test_entities_first_seen_order_and_boundaries(spark):
     doc = {"one": "eni-0123456789abc i-0123456789", "two": ["i-0123456789", "arn:aws:iam::1:role/x y"], "i-ffffffff": 1}
     df = raw_event(spark, json.dumps(doc))

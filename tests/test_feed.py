@@ -147,7 +147,7 @@ def test_collectors_and_latest_run(spark):
 
 def test_executions_pass_unknown_status_through(spark):
     runs = spark.createDataFrame([run("a", at(1), "partial_success", 2.5), run("b", at(2), "Odd"), run("c", None, None, None, (None,) * 6)], RUNS)
-    rows = feed.newest_first(feed.executions(runs), "start_time").collect()
+    rows = feed.newest_first(feed.executions(runs), "start_time", "run_id").collect()
     assert [(r["run_id"], r["status"], r["execution_time"]) for r in rows] == [("b", "Odd", 10), ("a", "COMPLETED_WITH_ERRORS", 2), ("c", None, None)]
     assert rows[2]["successful"] == 0 and rows[2]["start_time"] is None
     assert history.list_executions(feed.executions(runs)).collect()[0]["run_id"] == "c"  # a run id sorts as text where no time is known

@@ -26,19 +26,28 @@ def payload_field(payload: Column, path: str, kind: str, default) -> Column:
     return F.when(node.isNull(), F.lit(default)).otherwise(F.try_variant_get(payload, path, kind))
 
 
+# Stand-ins for an escaped backslash and an escaped quote. JSON text never holds these
+# characters as such, because control characters must be escaped in it.
+_BACKSLASH, _QUOTE = "\u0001", "\u0002"
+
+
 def string_leaves(text: Column) -> Column:
     """String values of a JSON text in document order, without keys and escapes resolved.
 
     Works on flat text: each JSON string is one match, and a string followed by a
-    colon is a key. Depth does not matter, so no recursion and no fixed depth. Only
-    strings with a backslash go through the JSON reader.
+    colon is a key. Depth does not matter, so no recursion and no fixed depth. Escaped
+    quotes are swapped out first, which leaves a pattern that needs no backtracking and
+    takes strings of any length. Only strings with an escape go through the JSON reader.
     """
-    strings = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'), F.lit(0))
+    swapped = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    strings = F.regexp_extract_all(swapped, F.lit(r'"[^"]*+"(?:\s*+:)?'), F.lit(0))
     values = F.filter(strings, lambda s: ~s.endswith(":"))
 
     def plain(s):
-        quoted = F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), "v string")["v"]
-        return F.when(s.contains("\\"), F.coalesce(quoted, s)).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
+        restored = F.replace(F.replace(s, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        read = F.from_json(F.concat(F.lit('{"v":'), restored, F.lit("}")), "v string")["v"]
+        escaped = s.contains("\\") | s.contains(_QUOTE) | s.contains(_BACKSLASH)
+        return F.when(escaped, F.coalesce(read, restored)).otherwise(F.substring(s, F.lit(2), F.length(s) - 2))
 
     return F.transform(values, plain)
 

@@ -52,8 +52,9 @@ def executions(runs: DataFrame) -> DataFrame:
     )
 
 
-def newest_first(df: DataFrame, by: str) -> DataFrame:
-    return df.orderBy(F.col(by).desc_nulls_last())
+def newest_first(df: DataFrame, by: str, tie: str) -> DataFrame:
+    """Global order. The tie-breaker also lets the range exchange split rows of one time."""
+    return df.orderBy(F.col(by).desc_nulls_last(), tie)
 
 
 # --- telemetry --------------------------------------------------------------------

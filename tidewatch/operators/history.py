@@ -14,7 +14,7 @@ from tidewatch.schemas import RUN_PHASES
 
 def list_executions(executions: DataFrame) -> DataFrame:
     order = F.coalesce(F.nullif("start_time", F.lit("")), F.col("run_id"), F.lit(""))
-    return executions.orderBy(order.desc())
+    return executions.orderBy(order.desc(), "run_id")
 
 
 def get_execution(executions: DataFrame, run_id: str) -> DataFrame:
@@ -93,7 +93,7 @@ def resources_for_type(inventory: DataFrame, kind: str | None = None) -> DataFra
     plain = F.coalesce("label", F.lit("")).isin("") | (F.col("label") == F.col("id"))
     text = F.when(plain, F.col("id")).otherwise(F.format_string("%s (%s)", F.col("label"), F.col("id")))
     shown = rows.withColumn("display", text)
-    return shown.orderBy("type", F.lower("display"), "display")
+    return shown.orderBy("type", F.lower("display"), "display", "id")
 
 
 def healthy_collectors(health: DataFrame) -> DataFrame:

@@ -99,8 +99,8 @@ def feed_tables(runs: DataFrame, reports: DataFrame, contexts: DataFrame, archiv
         "infrastructure_health": feed.infrastructure_health(runs, current),
         "latest_execution": feed.latest_execution(runs),
         "collectors": feed.collector_health(runs),
-        "executions": feed.newest_first(feed.executions(runs), "start_time"),
-        "reports": feed.newest_first(all_reports, "detected_at"),
+        "executions": feed.newest_first(feed.executions(runs), "start_time", "run_id"),
+        "reports": feed.newest_first(all_reports, "detected_at", "resource_id"),
         "recent": feed.recent(all_reports),
         "severity_trend": feed.severity_trend(scored, archives),
         "top_affected": feed.top_affected(scored, typed),

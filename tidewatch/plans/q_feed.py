@@ -66,7 +66,7 @@ EXECUTION_SQL = f"""SELECT run_id, status, CAST(round_even(seconds, 0) AS BIGINT
 
 @query("executions_view", f"WITH {RUNS_SQL} {EXECUTION_SQL}")
 def executions_view(spark, sf_dir):
-    return feed.newest_first(feed.executions(A.runs(spark, sf_dir)), "start_time")
+    return feed.newest_first(feed.executions(A.runs(spark, sf_dir)), "start_time", "run_id")
 
 
 @query(
