@@ -183,6 +183,17 @@ def test_single_resource_run_ignores_eligibility(spark, tmp_path):
     assert out["run"].collect()[0]["instances_analyzed"] == 1
 
 
+def test_run_by_rule(spark, tmp_path):
+    raw = factory.write_raw(tmp_path / "raw")
+    scored = spark.createDataFrame([(A, "CRITICAL", 15.0, 3, 0)], "resource_id string, severity string, breach_minutes double, longest_breach long, anomalies long")
+    out = investigation.investigate(spark, raw, severities=scored, clock=lambda: FIXED)
+    got = {(r["resource_type"], r["resource_id"]): r["severity"] for r in out["reports"].collect()}
+    assert got == {(EC2, A): "CRITICAL", (LOAD_BALANCER, "shared"): "LOW", ("Auto Scaling Group", "shared"): "LOW"}
+    assert out["run"].collect()[0]["successful"] == 3
+    with pytest.raises(ValueError):
+        investigation.investigate(spark, raw)
+
+
 # --- streams --------------------------------------------------------------------------
 
 POINTS = "resource_id string, ts timestamp, value double"

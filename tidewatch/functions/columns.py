@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.schemas import (
     DISPLAY_TZ,
@@ -36,6 +39,14 @@ def or_else(col: Column, default) -> Column:
 # --- time -------------------------------------------------------------------------
 
 
+def instant(at: dt.datetime, kind: T.DataType = T.TimestampType()) -> Column:
+    """A literal time, of a zone-less column's type if so asked. A time without a zone is UTC on any driver."""
+    plain = at.astimezone(dt.timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+    if isinstance(kind, T.TimestampNTZType):
+        return F.lit(plain.isoformat(sep=" ")).cast(kind)
+    return F.lit(plain.isoformat(sep=" ") + "+00:00").cast("timestamp")
+
+
 def to_display(ts: Column) -> Column:
     """The wall clock shown to people, as a timestamp to be formatted only."""
     return F.from_utc_timestamp(ts, DISPLAY_TZ)

@@ -159,8 +159,9 @@ def rule_reports(severities: DataFrame) -> DataFrame:
         "%s: %s min in breach, longest run %s, %s abnormal samples",
         F.col("severity"), F.col("breach_minutes"), F.col("longest_breach"), F.col("anomalies"),
     )
+    keys = [k for k in ("resource_type", "resource_id") if k in severities.columns]
     return severities.select(
-        "resource_id",
+        *keys,
         "severity",
         F.lit("1.0").alias("confidence"),
         F.lit("rule score over thresholds and samples").alias("root_cause"),

@@ -102,7 +102,7 @@ def healthy_collectors(health: DataFrame) -> DataFrame:
 
 def history_view(executions: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Executions with their display columns; ``start_ts`` is the instant behind ``start_time``."""
-    now = F.lit(as_of)
+    now = C.instant(as_of)
     return executions.withColumns(
         {
             "duration_text": C.duration_text(F.col("execution_time")),
@@ -139,7 +139,7 @@ def progress_columns(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
     order = {key: i for i, key in enumerate(RUN_PHASES)}
     current = C.lookup(F.col("phase"), order)
     percent = C.clamp_percent(F.col("percent"))
-    elapsed = F.greatest(F.lit(0), F.floor(C.seconds_between(F.col("started_at"), F.lit(as_of))))
+    elapsed = F.greatest(F.lit(0), F.floor(C.seconds_between(F.col("started_at"), C.instant(as_of))))
     phases = F.array(
         *[
             F.struct(

@@ -20,8 +20,7 @@ def lookback(df: DataFrame, as_of: dt.datetime, minutes: int, ts: str = "ts") ->
     Bounds are literals of the column's own type, so the filter reaches the scan.
     """
     kind = df.schema[ts].dataType
-    low, high = F.lit(as_of - dt.timedelta(minutes=minutes)).cast(kind), F.lit(as_of).cast(kind)
-    return df.filter(F.col(ts).between(low, high))
+    return df.filter(F.col(ts).between(C.instant(as_of - dt.timedelta(minutes=minutes), kind), C.instant(as_of, kind)))
 
 
 def period_statistic(

@@ -29,7 +29,8 @@ def contexts_of(snapshots: dict[str, DataFrame], resource_id: str | None = None)
 def investigate(
     spark: SparkSession,
     raw: str,
-    analyze_fn: Callable[[str], str],
+    analyze_fn: Callable[[str], str] | None = None,
+    severities: DataFrame | None = None,
     resource_id: str | None = None,
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc),
     instructions: str = redact.INSTRUCTIONS,
@@ -37,6 +38,9 @@ def investigate(
 ) -> dict[str, DataFrame]:
     """One run over all resources, or over one of any state.
 
+    ``analyze_fn`` answers a document with text. Without it the rule score decides:
+    ``severities`` holds it per resource id, and a resource without a score is LOW.
+
     Contexts and outcomes are checkpointed: both feed several results, and the analysis
     must not be called again when an executor is lost later on.
     """
@@ -46,12 +50,16 @@ def investigate(
     if resource_id:
         judged = judged.withColumn("eligible", F.lit(True))
     wanted = judged.filter("eligible").select("resource_type", "resource_id")
-    documents = redact.redact(contexts).join(wanted, ["resource_type", "resource_id"], "left_semi")
-    outcomes = cut_lineage(analyze.analyze(redact.render_prompts(documents, instructions), analyze_fn, **call_options))
-    ended = clock()
-    answered = outcomes.filter(F.col("error").isNull())
-    reports = analyze.parse_responses(answered).withColumn("detected_at", F.lit(ended))
-    timed = analyze.run_counters(judged, outcomes).withColumns({"start_ts": F.lit(started), "end_ts": F.lit(ended)})
+    if analyze_fn is None:
+        outcomes, reports = _by_rule(wanted, severities)
+        ended = clock()
+    else:
+        documents = redact.redact(contexts).join(wanted, ["resource_type", "resource_id"], "left_semi")
+        outcomes = cut_lineage(analyze.analyze(redact.render_prompts(documents, instructions), analyze_fn, **call_options))
+        ended = clock()
+        reports = analyze.parse_responses(outcomes.filter(F.col("error").isNull()))
+    reports = reports.withColumn("detected_at", C.instant(ended))
+    timed = analyze.run_counters(judged, outcomes).withColumns({"start_ts": C.instant(started), "end_ts": C.instant(ended)})
     # One row per source, so the health map is small enough to be a literal of the run record.
     health = [F.lit(v) for row in readers.collector_status(spark, raw).collect() for v in (row["collector"], row["status"])]
     run = analyze.run_records(timed).withColumn("collectors", F.create_map(*health))
@@ -64,6 +72,21 @@ def investigate(
     }
 
 
+def _by_rule(wanted: DataFrame, severities: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if severities is None:
+        raise ValueError("give an analysis function or rule severities")
+    scored = wanted.join(severities, "resource_id", "left").withColumns(
+        {
+            "severity": F.coalesce("severity", F.lit("LOW")),
+            **{n: F.coalesce(n, F.lit(0)) for n in ("breach_minutes", "longest_breach", "anomalies")},
+        }
+    )
+    outcomes = wanted.select(
+        "*", F.lit(1).alias("attempts"), F.lit(0).alias("failed_attempts"), F.lit(None).cast("string").alias("error")
+    )
+    return outcomes, analyze.rule_reports(scored)
+
+
 def kpi_table(kpis: DataFrame, deltas: dict[str, float] | None = None) -> DataFrame:
     """KPI row as (kpi, value, delta, delta_label)."""
     known = deltas or {}

@@ -183,9 +183,9 @@ def run_progress(spark, sf_dir):
     phase = F.when(F.col("role") == "system", _KEYS[0]).when(F.col("role") == "user", _KEYS[1]).otherwise(_KEYS[2])
     events = turns.select(
         run_id, phase.alias("phase"), (F.col("turn") * 20).alias("percent"), F.lit(None).cast("string").alias("current_resource"),
-        (F.lit(began) + F.make_dt_interval(secs=F.col("turn").cast("decimal(18,6)"))).alias("ts"),
+        (C.instant(began) + F.make_dt_interval(secs=F.col("turn").cast("decimal(18,6)"))).alias("ts"),
     )
-    started = turns.select(run_id).distinct().withColumn("started_at", F.lit(began))
+    started = turns.select(run_id).distinct().withColumn("started_at", C.instant(began))
     out = history.run_progress(events, started, began + dt.timedelta(hours=1))
     states = F.array_join(F.transform("phases", lambda p: p["state"]), ",")
     return out.select("run_id", "phase_label", "status", "percent", "elapsed_seconds", "remaining_seconds", states.alias("states"))

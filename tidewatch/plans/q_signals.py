@@ -35,11 +35,11 @@ def series_summary(spark, sf_dir):
     f"""
 WITH {SERIES_SQL}, x AS (SELECT *, (epoch(ts) - epoch(min(ts) OVER (PARTITION BY resource_id, metric))) / 60.0 AS m FROM f),
 t AS (SELECT resource_id, metric, regr_slope(value, m) AS slope, max(m) AS span, avg(value) AS a FROM x GROUP BY ALL)
-SELECT resource_id, metric, round(slope, 9) AS slope, CASE WHEN coalesce(abs(slope) * span > 0.1 * abs(a), false)
+SELECT resource_id, metric, round(slope, 12) AS slope, CASE WHEN coalesce(abs(slope) * span > 0.1 * abs(a), false)
   THEN CASE WHEN slope > 0 THEN 'rising' ELSE 'falling' END ELSE 'flat' END AS direction FROM t""",
 )
 def trend_slope(spark, sf_dir):
-    return signals.trend(A.daily_series(spark, sf_dir)).select("resource_id", "metric", F.round("slope", 9).alias("slope"), "direction")
+    return signals.trend(A.daily_series(spark, sf_dir)).select("resource_id", "metric", F.round("slope", 12).alias("slope"), "direction")
 
 
 @query(

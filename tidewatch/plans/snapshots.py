@@ -54,7 +54,7 @@ def instance_snapshots(
         trends.drop("resource_type"),
         metrics.root_disk_series(disks, instances.select("resource_id")),
     )
-    return found.drop("disk_status").withColumnRenamed("trends", "MetricTrends").withColumn("snapshot_ts", F.lit(as_of))
+    return found.drop("disk_status").withColumnRenamed("trends", "MetricTrends").withColumn("snapshot_ts", C.instant(as_of))
 
 
 def group_snapshots(

@@ -93,7 +93,7 @@ def read_snapshot(spark: SparkSession, base: str, collector: str) -> DataFrame:
 
 def fresh_only(snapshot: DataFrame, as_of, minutes: int) -> DataFrame:
     """Drops resources of a snapshot that was left behind by an earlier run."""
-    return snapshot.filter(F.col("snapshot_ts") >= F.lit(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
+    return snapshot.filter(F.col("snapshot_ts") >= C.instant(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
 
 
 def collector_status(spark: SparkSession, base: str) -> DataFrame:
