@@ -132,6 +132,7 @@ def test_instance_document(contexts):
 
 
 def test_keep_errors_option(contexts):
+    assert documents(contexts)[(EC2, C)]["context"]["cloudwatch"] is None
     docs = {r["resource_id"]: r for r in redact.redact_instances(contexts, keep_errors=True).collect()}
     assert [(e["event_name"], e["error_code"]) for e in docs[A]["events"]] == [("Start", ""), ("Start", "Denied"), ("Stop", "")]
 

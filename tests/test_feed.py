@@ -78,6 +78,7 @@ def test_clock_text_round_trip(spark):
     assert value(spark, C.parse_clock_text(C.clock_text_of(F.lit(at(5, 5))))) == at(5, 5)
     assert value(spark, C.parse_clock_text(F.lit("nonsense IST"))) is None
     assert value(spark, C.iso_display(F.lit(at(5, 5)))) == "2024-01-05T10:30:00+05:30"
+    assert value(spark, C.iso_display(F.lit(at(5, 5).replace(microsecond=1200)))) == "2024-01-05T10:30:00.001200+05:30"
 
 
 def test_arn_suffixes(spark):
@@ -242,6 +243,20 @@ def test_progress(spark):
     assert (got["q"]["status"], got["q"]["phase_label"], got["q"]["remaining_seconds"]) == ("QUEUED", "Queued", None)
 
 
+def test_progress_of_ended_runs(spark):
+    rows = []
+    for run_id, end in (("ok", "COMPLETED"), ("bad", "FAILED")):
+        rows += [(run_id, "BUILDING_CONTEXT", 15, "i-1", at(1, 0, 1)), (run_id, "RUNNING_AI_ANALYSIS", 45, None, at(1, 0, 2)), (run_id, end, None, None, at(1, 0, 3))]
+    events = spark.createDataFrame(rows, "run_id string, phase string, percent int, current_resource string, ts timestamp")
+    started = spark.createDataFrame([("ok", at(1)), ("bad", at(1))], "run_id string, started_at timestamp")
+    got = {r["run_id"]: r for r in history.run_progress(events, started, at(1, 1)).collect()}
+    ok, bad = got["ok"], got["bad"]
+    assert (ok["status"], ok["phase_label"], ok["percent"], ok["remaining_seconds"]) == ("COMPLETED", "Completed", 100, None)
+    assert {p["state"] for p in ok["phases"]} == {"done"} and ok["current_resource"] == "i-1"
+    assert (bad["status"], bad["phase_label"], bad["percent"]) == ("FAILED", "Failed", 45)
+    assert [p["state"] for p in bad["phases"]] == ["done", "done", "active", "pending", "pending"]
+
+
 def test_picker_text(spark):
     rows = [("EC2", "i-b", None), ("EC2", "i-c", "Alpha"), ("EC2", "", "x"), ("EC2", "i-a", "i-a")]
     got = history.resources_for_type(spark.createDataFrame(rows, "type string, id string, label string"), "EC2").collect()

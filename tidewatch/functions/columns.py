@@ -61,8 +61,11 @@ def trend_label(ts: Column) -> Column:
 
 
 def iso_display(ts: Column) -> Column:
-    """ISO-8601 text with the display offset, which never changes over the year there."""
-    return F.concat(F.date_format(to_display(ts), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
+    """ISO-8601 text with the display offset, which never changes over the year there; a fraction only if there is one."""
+    whole = F.unix_micros(ts) % 1_000_000 == 0
+    local = to_display(ts)
+    text = F.when(whole, F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return F.concat(text, F.lit("+05:30"))
 
 
 def run_id_of(ts: Column) -> Column:

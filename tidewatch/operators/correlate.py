@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOT_REGISTERED = "Not registered"
-NOT_SCALED = "Not in Auto Scaling"
+from tidewatch.schemas import NOT_REGISTERED, NOT_SCALED
 
 
 def _matches_or_none(instances: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,21 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.schemas import ENTITY_PATTERNS
-
-# Fields with a default apply it only where the key is absent: an explicit null stays null.
-_PAYLOAD_FIELDS = [
-    ("service", "$.eventSource", "string", "N/A"),
-    ("region", "$.awsRegion", "string", "N/A"),
-    ("source_ip", "$.sourceIPAddress", "string", "N/A"),
-    ("user_agent", "$.userAgent", "string", "N/A"),
-    ("read_only", "$.readOnly", "boolean", False),
-    ("error_code", "$.errorCode", "string", ""),
-    ("error_message", "$.errorMessage", "string", ""),
-]
-
+from tidewatch.schemas import AUDIT_PAYLOAD_FIELDS, ENTITY_PATTERNS
 
 def payload_field(payload: Column, path: str, kind: str, default) -> Column:
+    """A field whose default applies only where the key is absent: an explicit null stays null."""
     node = F.try_variant_get(payload, path, "variant")
     return F.when(node.isNull(), F.lit(default)).otherwise(F.try_variant_get(payload, path, kind))
 
@@ -97,7 +86,7 @@ def parse_audit_events(raw: DataFrame, patterns: dict[str, str] | None = None, b
         F.col("EventTime").alias("event_time"),
         F.col("EventName").alias("event_name"),
         F.coalesce("Username", F.lit("N/A")).alias("username"),
-        *[payload_field(F.col("_p"), path, kind, default).alias(name) for name, path, kind, default in _PAYLOAD_FIELDS],
+        *[payload_field(F.col("_p"), path, kind, default).alias(name) for name, path, kind, default in AUDIT_PAYLOAD_FIELDS],
         entities_in(string_leaves(F.col("CloudTrailEvent")), patterns, bounded).alias("resources"),
     )
 

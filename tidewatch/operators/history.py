@@ -126,48 +126,50 @@ def report_cards(reports: DataFrame) -> DataFrame:
 def run_progress(events: DataFrame, started: DataFrame, as_of: dt.datetime) -> DataFrame:
     """State of each run at ``as_of`` from its newest phase event.
 
-    Runs keep one row each, so a run with very many events is reduced map-side. Phases
-    before the current one are done, later ones pending.
+    ``events`` are (run_id, phase, percent, current_resource, ts); an ended run has an event
+    whose phase is COMPLETED or FAILED. Events are reduced map-side to one row per run.
     """
+    is_end = F.col("phase").isin("COMPLETED", "FAILED")
+    order = F.struct("ts", "percent")
     latest = events.groupBy("run_id").agg(
-        F.max_by(F.struct("phase", "percent", "current_resource"), F.struct("ts", "percent")).alias("e")
-    ).select("run_id", "e.*")
+        F.max_by(F.when(~is_end, F.struct("phase", "percent")), F.when(~is_end, order)).alias("e"),
+        F.max_by(F.when(is_end, F.col("phase")), F.when(is_end, F.col("ts"))).alias("ended"),
+        F.max_by("current_resource", F.when(F.col("current_resource").isNotNull(), order)).alias("current_resource"),
+    ).select("run_id", "e.*", "ended", "current_resource")
     return progress_columns(started.join(latest, "run_id", "left"), as_of)
 
 
 def progress_columns(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Status, phase list and time estimate. Phases before the current one are done, later ones pending."""
     order = {key: i for i, key in enumerate(RUN_PHASES)}
-    current = C.lookup(F.col("phase"), order)
-    percent = C.clamp_percent(F.col("percent"))
-    elapsed = F.greatest(F.lit(0), F.floor(C.seconds_between(F.col("started_at"), C.instant(as_of))))
+    completed = F.coalesce(F.col("ended") == "COMPLETED", F.lit(False))
+
+    def state(i):
+        return (
+            F.when(completed, "done")
+            .when(F.col("_at").isNull() | (F.lit(i) > F.col("_at")), "pending")
+            .when(F.lit(i) == F.col("_at"), "active")
+            .otherwise("done")
+        )
+
     phases = F.array(
-        *[
-            F.struct(
-                F.lit(key).alias("key"),
-                F.lit(label).alias("label"),
-                F.when(F.col("_at").isNull() | (F.lit(i) > F.col("_at")), "pending")
-                .when(F.lit(i) == F.col("_at"), "active")
-                .otherwise("done")
-                .alias("state"),
-            )
-            for i, (key, label) in enumerate(RUN_PHASES.items())
-        ]
+        *[F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), state(i).alias("state")) for i, (key, label) in enumerate(RUN_PHASES.items())]
     )
+    running = (F.col("status") == "RUNNING") & (F.col("percent") > 0)
     return (
-        rows.withColumn("_at", current)
-        .withColumns({"percent": percent, "elapsed_seconds": elapsed})
+        rows.withColumn("_at", C.lookup(F.col("phase"), order))
         .withColumns(
             {
-                "status": F.when(F.col("_at").isNull(), "QUEUED").otherwise("RUNNING"),
-                "phase_label": F.coalesce(C.lookup(F.col("phase"), RUN_PHASES), F.lit("Queued")),
+                "percent": F.when(completed, 100).otherwise(C.clamp_percent(F.col("percent"))),
+                "elapsed_seconds": F.greatest(F.lit(0), F.floor(C.seconds_between(F.col("started_at"), C.instant(as_of)))),
+                "status": F.coalesce("ended", F.when(F.col("_at").isNull(), "QUEUED").otherwise("RUNNING")),
+                "phase_label": F.coalesce(F.initcap("ended"), C.lookup(F.col("phase"), RUN_PHASES), F.lit("Queued")),
                 "phases": phases,
-                "remaining_seconds": F.when(
-                    F.col("_at").isNotNull() & (F.col("percent") > 0),
-                    F.floor(F.col("elapsed_seconds") * (100 - F.col("percent")) / F.col("percent")),
-                ),
             }
         )
-        .drop("_at")
+        .withColumn(
+            "remaining_seconds",
+            F.when(running, F.floor(F.col("elapsed_seconds") * (100 - F.col("percent")) / F.col("percent"))),
+        )
+        .drop("_at", "ended")
     )
-
-

@@ -10,24 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import render as R
-from tidewatch.schemas import EC2, LOAD_BALANCER, SCALING_GROUP
-
-# kept name -> name in the trend map
-INSTANCE_METRICS = {
-    "cpu": "CPU",
-    "memory": "Memory",
-    "disk": "Disk",
-    "network_in": "NetworkIn",
-    "network_out": "NetworkOut",
-    "status_check": "StatusCheck",
-}
-LB_METRICS = {
-    "request_count": "RequestCount",
-    "target_response_time": "TargetResponseTime",
-    "http_4xx": "HTTPCode_Target_4XX_Count",
-    "http_5xx": "HTTPCode_Target_5XX_Count",
-}
-ASG_METRICS = {"in_service_instances": "InServiceInstances", "pending_instances": "PendingInstances"}
+from tidewatch.schemas import EC2, KEPT_ASG_METRICS, KEPT_INSTANCE_METRICS, KEPT_LB_METRICS, LOAD_BALANCER, SCALING_GROUP
 
 INSTRUCTIONS = (
     "Review one infrastructure resource and answer with one JSON object holding severity, confidence, "
@@ -110,10 +93,11 @@ def redact_instances(contexts: DataFrame, events: DataFrame | None = None, keep_
     lists = event_lists(first_events(rows, ["resource_id"], ["ord"], keep_errors), ["resource_id"])
     i = F.col("instance")
     docs = contexts.filter((F.col("resource_type") == EC2) & (F.col("page") == 0)).select(
-        "resource_type",
+        F.lit(EC2).alias("resource_type"),
         "resource_id",
+        i["snapshot"].isNotNull().alias("has_snapshot"),
         i["snapshot"]["State"].alias("state"),
-        kept_metrics(typed_trends(i["snapshot"]["MetricTrends"]), INSTANCE_METRICS).alias("metrics"),
+        kept_metrics(typed_trends(i["snapshot"]["MetricTrends"]), KEPT_INSTANCE_METRICS).alias("metrics"),
         lb_membership(i["lb_membership"]).alias("lb"),
         asg_membership(i["asg_membership"]).alias("asg"),
     )
@@ -140,11 +124,11 @@ def redact_load_balancers(contexts: DataFrame) -> DataFrame:
         )
 
     return contexts.filter(F.col("resource_type") == LOAD_BALANCER).select(
-        "resource_type",
+        F.lit(LOAD_BALANCER).alias("resource_type"),
         "resource_id",
         lb["alb_name"].alias("alb_name"),
         lb["state"].alias("state"),
-        kept_metrics(typed_trends(lb["MetricTrends"]), LB_METRICS).alias("metrics"),
+        kept_metrics(typed_trends(lb["MetricTrends"]), KEPT_LB_METRICS).alias("metrics"),
         F.transform(lb["target_groups"], group).alias("target_groups"),
     )
 
@@ -154,7 +138,7 @@ def redact_scaling_groups(contexts: DataFrame) -> DataFrame:
     trends = typed_trends(g["MetricTrends"])
     desired = F.try_element_at(trends, F.lit("DesiredCapacity"))
     return contexts.filter(F.col("resource_type") == SCALING_GROUP).select(
-        "resource_type",
+        F.lit(SCALING_GROUP).alias("resource_type"),
         "resource_id",
         g["asg_name"].alias("asg_name"),
         g["min_size"].alias("min_size"),
@@ -168,12 +152,15 @@ def redact_scaling_groups(contexts: DataFrame) -> DataFrame:
         F.transform(
             g["scaling_activities"], lambda a: F.struct(a["status"].alias("status"), a["description"].alias("description"))
         ).alias("scaling_activities"),
-        kept_metrics(trends, ASG_METRICS).alias("metrics"),
+        kept_metrics(trends, KEPT_ASG_METRICS).alias("metrics"),
     )
 
 
 def redact(contexts: DataFrame, keep_errors: bool = False) -> DataFrame:
-    """All types in one table: each branch keeps its own list, absent members are null."""
+    """All types in one table: each branch keeps its own list, absent members are null.
+
+    The type is a constant of each branch, so what follows the union is simplified per branch.
+    """
     return (
         redact_instances(contexts, keep_errors=keep_errors)
         .unionByName(redact_load_balancers(contexts), allowMissingColumns=True)
@@ -199,7 +186,7 @@ def document_text(kind: str) -> Column:
         body = R.obj(
             R.member("alb_name", R.value(F.col("alb_name"))),
             R.member("state", R.value(F.col("state"))),
-            R.member("metrics", R.obj(*_metric_members(F.col("metrics"), LB_METRICS))),
+            R.member("metrics", R.obj(*_metric_members(F.col("metrics"), KEPT_LB_METRICS))),
             R.member("target_groups", R.lst(F.transform("target_groups", group))),
         )
     elif kind == SCALING_GROUP:
@@ -210,11 +197,12 @@ def document_text(kind: str) -> Column:
             R.member("health_check_type", R.value(F.col("health_check_type"))),
             R.member("instances", F.coalesce(F.to_json("members", {"ignoreNullFields": "false"}), F.lit("[]"))),
             R.member("scaling_activities", F.coalesce(F.to_json("scaling_activities", {"ignoreNullFields": "false"}), F.lit("[]"))),
-            *_metric_members(F.col("metrics"), ASG_METRICS),
+            *_metric_members(F.col("metrics"), KEPT_ASG_METRICS),
         )
     else:
+        snapshot = R.obj(R.member("state", R.value(F.col("state"))), *_metric_members(F.col("metrics"), KEPT_INSTANCE_METRICS))
         body = R.obj(
-            R.member("cloudwatch", R.obj(R.member("state", R.value(F.col("state"))), *_metric_members(F.col("metrics"), INSTANCE_METRICS))),
+            R.member("cloudwatch", F.when(F.col("has_snapshot"), snapshot).otherwise("null")),
             R.member("alb", R.value(F.col("lb"))),
             R.member("autoscaling", R.value(F.col("asg"))),
             R.member("cloudtrail", F.coalesce(F.to_json("events", {"ignoreNullFields": "false"}), F.lit("[]"))),

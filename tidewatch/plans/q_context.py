@@ -307,9 +307,9 @@ def document_text(spark, sf_dir):
     "instance_document_text",
     f"""WITH {FLEET_SQL}, e AS (SELECT resource_id, event_name, min(ord) AS o, arg_min(error_code, ord) AS error_code FROM links GROUP BY ALL),
 n AS (SELECT resource_id, string_agg('{{"event_name":"' || event_name || '","service":"app","error_code":"' || error_code || '"}}', ',' ORDER BY o) AS events FROM e GROUP BY ALL)
-SELECT resource_id, '{{"instance_id":"' || resource_id || '","resource_type":"EC2","context":{{"cloudwatch":{{"state":' || coalesce('"' || s.state || '"', 'null')
+SELECT resource_id, '{{"instance_id":"' || resource_id || '","resource_type":"EC2","context":{{"cloudwatch":' || CASE WHEN s.resource_id IS NULL THEN 'null' ELSE '{{"state":' || coalesce('"' || s.state || '"', 'null')
   || CASE WHEN c_acctbal > 0 THEN ',"cpu":{{"U":"%",' || CASE WHEN c_acctbal > 5000 THEN '"TH":{{"V":80.0,"OP":"GT"}},' ELSE '' END || '"H":[["10:00",1.5],["10:05",' || c_nationkey || '.0]]}}' ELSE '' END
-  || '}},"alb":' || coalesce('{{"target_health":"' || t.health || '","failure_reason":"' || t.reason || '","failure_description":""}}', 'null')
+  || '}}' END || ',"alb":' || coalesce('{{"target_health":"' || t.health || '","failure_reason":"' || t.reason || '","failure_description":""}}', 'null')
   || ',"autoscaling":' || coalesce('{{"health_status":"Healthy","lifecycle_state":"' || m.lifecycle_state || '","instance_type":"m5.large"}}', 'null')
   || ',"cloudtrail":[' || coalesce(n.events, '') || ']}}}}' AS text
 FROM spine LEFT JOIN states s USING (resource_id) LEFT JOIN last_target t USING (resource_id) LEFT JOIN last_member m USING (resource_id) LEFT JOIN n USING (resource_id)""",

@@ -102,6 +102,34 @@ METRIC_CATALOG = [
     ("Auto Scaling Group", "TerminatingInstances", "AWS/AutoScaling", "GroupTerminatingInstances", "Average", "Count", False),
     ("Auto Scaling Group", "TotalInstances", "AWS/AutoScaling", "GroupTotalInstances", "Average", "Count", False),
 ]
+# kept name in a redacted document: name in the trend map
+KEPT_INSTANCE_METRICS = {
+    "cpu": "CPU",
+    "memory": "Memory",
+    "disk": "Disk",
+    "network_in": "NetworkIn",
+    "network_out": "NetworkOut",
+    "status_check": "StatusCheck",
+}
+KEPT_LB_METRICS = {
+    "request_count": "RequestCount",
+    "target_response_time": "TargetResponseTime",
+    "http_4xx": "HTTPCode_Target_4XX_Count",
+    "http_5xx": "HTTPCode_Target_5XX_Count",
+}
+KEPT_ASG_METRICS = {"in_service_instances": "InServiceInstances", "pending_instances": "PendingInstances"}
+# column, path in the audit payload, type, default
+AUDIT_PAYLOAD_FIELDS = [
+    ("service", "$.eventSource", "string", "N/A"),
+    ("region", "$.awsRegion", "string", "N/A"),
+    ("source_ip", "$.sourceIPAddress", "string", "N/A"),
+    ("user_agent", "$.userAgent", "string", "N/A"),
+    ("read_only", "$.readOnly", "boolean", False),
+    ("error_code", "$.errorCode", "string", ""),
+    ("error_message", "$.errorMessage", "string", ""),
+]
+NOT_REGISTERED = "Not registered"
+NOT_SCALED = "Not in Auto Scaling"
 # --- end of fixed values ----------------------------------------------------------
 
 CATALOG_SCHEMA = (
