@@ -131,6 +131,12 @@ def test_instance_document(contexts):
     ]
 
 
+def test_events_from_the_bridge_give_the_same_documents(snapshots, contexts):
+    bridge = extract.event_links(snapshots["events"])
+    with_bridge = redact.render_prompts(redact.redact(contexts, bridge)).collect()
+    assert sorted(map(repr, with_bridge)) == sorted(map(repr, redact.render_prompts(redact.redact(contexts)).collect()))
+
+
 def test_keep_errors_option(contexts):
     assert documents(contexts)[(EC2, C)]["context"]["cloudwatch"] is None
     docs = {r["resource_id"]: r for r in redact.redact_instances(contexts, keep_errors=True).collect()}

@@ -88,7 +88,12 @@ def context_events(contexts: DataFrame) -> DataFrame:
 
 
 def redact_instances(contexts: DataFrame, events: DataFrame | None = None, keep_errors: bool = False) -> DataFrame:
-    """State, kept payloads, memberships and deduplicated events. ``events`` defaults to those of the contexts."""
+    """State, kept payloads, memberships and deduplicated events.
+
+    ``events`` is the narrowed event bridge with ``ord``. Give it where it is at hand: events
+    are then reduced to one row per call name straight away. Without it they are taken out
+    of the stored contexts again.
+    """
     rows = context_events(contexts) if events is None else events
     lists = event_lists(first_events(rows, ["resource_id"], ["ord"], keep_errors), ["resource_id"])
     i = F.col("instance")
@@ -156,13 +161,13 @@ def redact_scaling_groups(contexts: DataFrame) -> DataFrame:
     )
 
 
-def redact(contexts: DataFrame, keep_errors: bool = False) -> DataFrame:
+def redact(contexts: DataFrame, events: DataFrame | None = None, keep_errors: bool = False) -> DataFrame:
     """All types in one table: each branch keeps its own list, absent members are null.
 
     The type is a constant of each branch, so what follows the union is simplified per branch.
     """
     return (
-        redact_instances(contexts, keep_errors=keep_errors)
+        redact_instances(contexts, events, keep_errors)
         .unionByName(redact_load_balancers(contexts), allowMissingColumns=True)
         .unionByName(redact_scaling_groups(contexts), allowMissingColumns=True)
     )

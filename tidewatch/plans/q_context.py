@@ -315,7 +315,7 @@ SELECT resource_id, '{{"instance_id":"' || resource_id || '","resource_type":"EC
 FROM spine LEFT JOIN states s USING (resource_id) LEFT JOIN last_target t USING (resource_id) LEFT JOIN last_member m USING (resource_id) LEFT JOIN n USING (resource_id)""",
 )
 def instance_document_text(spark, sf_dir):
-    docs = redact.redact_instances(A.fleet_contexts(spark, sf_dir))
+    docs = redact.redact_instances(A.fleet_contexts(spark, sf_dir), links(spark, sf_dir))
     return docs.select("resource_id", redact.document_text("EC2").alias("text"))
 
 
