@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import quality_rules, url_filters
+from tidewatch.llm import decontaminate, quality_rules, url_filters
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,3 +62,33 @@ def quality_rules_sql() -> str:
 
 
 QUALITY_RULES = quality_rules_sql()
+
+
+EMPTY = "''"
+
+
+def word_list(column: str) -> str:
+    return f"list_filter(string_split_regex({LOWER.format(f'coalesce({column}, {EMPTY})')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def decontamination_ctes(documents: str = "documents") -> str:
+    """CTEs of which the last, ``contamination``, has a row per document with its row number k."""
+    n = decontaminate.LENGTH
+    return f"""
+    docs AS (SELECT row_number() OVER () AS k, *, {word_list('text')} AS w FROM {documents}),
+    iw AS (SELECT item_id::VARCHAR AS item, w, least(len(w), {n}) AS n FROM (SELECT item_id, {word_list('text')} AS w FROM benchmark) WHERE len(w) > 0),
+    ix AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM iw)),
+    dw AS (SELECT k, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+      FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM ix) WHERE len(w) >= n)),
+    hits AS (SELECT k, s, n, win FROM dw SEMI JOIN ix USING (n, win)),
+    hw AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM hits) GROUP BY k),
+    hi AS (SELECT k, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items
+      FROM hits JOIN ix USING (n, win) WHERE item IS NOT NULL GROUP BY k),
+    contamination AS (SELECT docs.*, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items
+      FROM docs LEFT JOIN hw USING (k) LEFT JOIN hi USING (k))"""
+
+
+DECONTAMINATION = f"""
+    WITH {decontamination_ctes()}
+    SELECT doc_id, n_words::BIGINT AS n_words, n_hit::BIGINT AS n_hit, n_items::BIGINT AS n_items, sha256(items) AS items_sha256, n_hit > 0 AS contaminated
+    FROM contamination"""
