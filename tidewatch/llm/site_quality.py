@@ -8,6 +8,7 @@ come from how much the groups differ. Aggregates and joins of built-in functions
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,14 +16,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.llm.quality_rules import measures
 from tidewatch.session import cut_lineage
 
-# Measures with the upper ends of their bins.
+# Measures with the upper ends of their bins. A measure that is null for a short text says nothing about it.
 BINS: dict[str, tuple[str, tuple[float, ...]]] = {
     "length": ("n_words", (5, 20, 50, 200, 1000, 5000)),
-    "word_length": ("word_chars / greatest(n_words, 1)", (2, 3, 4, 5, 6, 8, 10, 15)),
+    "word_length": ("if(n_words >= 20, word_chars / n_words, null)", (2, 3, 4, 5, 6, 8, 10, 15)),
     "symbols": ("n_symbols / greatest(n_words, 1)", (0, 0.02, 0.1, 0.3, 0.6, 1)),
-    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", (0, 0.1, 0.3, 0.6)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0, 0.02, 0.1, 0.3, 0.6)),
-    "stop_words": ("n_stops", (0, 1, 3, 6, 12)),
+    "duplicate_lines": ("if(n_lines > 1, n_dup_lines / n_lines, null)", (0, 0.1, 0.3, 0.6)),
+    "repeats": ("if(n_words >= 20, n_repeat_words / n_words, null)", (0, 0.02, 0.1, 0.3, 0.6)),
+    "stop_words": ("if(n_words >= 20, n_stops, null)", (0, 1, 3, 6, 12)),
     "shouts": ("n_shouts / greatest(n_words, 1)", (0, 0.05, 0.3, 0.6)),
 }
 SMOOTHING = 1.0
@@ -42,7 +43,7 @@ class Priors:
 def _bin(name: str) -> Column:
     metric, ends = BINS[name]
     value = F.expr(metric)
-    out = F.lit(len(ends))
+    out = F.when(value.isNotNull(), F.lit(len(ends)))
     for i in reversed(range(len(ends))):
         out = F.when(value <= ends[i], i).otherwise(out)
     return out
@@ -58,7 +59,7 @@ def _evidence(binned: DataFrame) -> Column:
 
     There are some 50 bins, so their counts pass through the driver as constants.
     """
-    sums = [F.sum(F.col("_y")).alias("good"), F.sum(1 - F.col("_y")).alias("bad")]
+    sums = []
     for name, (_, ends) in BINS.items():
         for b in range(len(ends) + 1):
             at = F.when(F.col(name) == b, 1.0).otherwise(0.0)
@@ -67,12 +68,9 @@ def _evidence(binned: DataFrame) -> Column:
     total = F.lit(0.0)
     for name, (_, ends) in BINS.items():
         n = len(ends) + 1
-        ratios = [
-            F.log(F.lit((got[f"{name}_{b}_good"] + SMOOTHING) / (got["good"] + SMOOTHING * n)))
-            - F.log(F.lit((got[f"{name}_{b}_bad"] + SMOOTHING) / (got["bad"] + SMOOTHING * n)))
-            for b in range(n)
-        ]
-        total = total + F.element_at(F.array(*ratios), F.col(name) + 1)
+        good, bad = ([got[f"{name}_{b}_{kind}"] + SMOOTHING for b in range(n)] for kind in ("good", "bad"))
+        ratios = [F.lit(math.log(good[b] / sum(good)) - math.log(bad[b] / sum(bad))) for b in range(n)]
+        total = total + F.coalesce(F.element_at(F.array(*ratios), F.col(name) + 1), F.lit(0.0))
     return total
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter as Tally
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.session import cut_lineage
@@ -24,8 +26,8 @@ FEATURES = 512
 MIN_DOCS = 5
 MIN_Z = 4.0
 PREFIXES = (4, 5)
-# Words tied to toxicity per word of the text, from which a toxic text has grade 2 and grade 3.
-GRADE_DENSITY = (0.01, 0.02)
+# Words tied to toxicity from which a toxic text has grade 2 and grade 3.
+GRADE_WORDS = (3, 8)
 REJECT_AT = 0.5
 CACHE_WORDS = 400_000
 FEATURE_ROWS = 100_000
@@ -59,10 +61,9 @@ class Counter:
     def __init__(self, index: dict[str, int]):
         self.index, self.seen = index, {}
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        seen, hits, n = self.seen, [], 0
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        seen, hits = self.seen, []
         for word in _WORD.findall((text or "").lower()):
-            n += 1
             found = seen.get(word)
             if found is None:
                 if len(seen) >= CACHE_WORDS:
@@ -71,13 +72,19 @@ class Counter:
             if found:
                 hits += found
         ids, counts = np.unique(np.array(hits, dtype=np.int64), return_counts=True)
-        return ids, counts, n
+        return ids, counts
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights shared by all thresholds, and ordered thresholds, by penalised maximum likelihood (Adam)."""
-    n, top = len(grade), max(int(grade.max(initial=0)), 1)
-    share = np.cumsum(np.bincount(grade, minlength=top + 1))[:-1] / max(n, 1)
+def fit_ordinal(
+    x: np.ndarray, grade: np.ndarray, times: np.ndarray | None = None, ridge: float = 0.2, rounds: int = 1500, rate: float = 0.1
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights shared by all thresholds, and ordered thresholds, by penalised maximum likelihood (Adam, falling rate).
+
+    ``times``: how often each row stands.
+    """
+    times = np.ones(len(grade)) if times is None else times.astype(float)
+    n, top = times.sum(), max(int(grade.max(initial=0)), 1)
+    share = np.cumsum(np.bincount(grade, times, minlength=top + 1))[:-1] / max(n, 1)
     share = np.clip(share, 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
     # Thresholds are a first value and positive steps, which keeps them in order.
@@ -92,46 +99,49 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: in
         high = np.concatenate((cuts, [np.inf]))[grade]
         s_high, s_low = sig(high - z), sig(low - z)
         share_of = np.maximum(s_high - s_low, 1e-12)
-        g_high, g_low = s_high * (1 - s_high) / share_of, s_low * (1 - s_low) / share_of
+        g_high, g_low = times * s_high * (1 - s_high) / share_of, times * s_low * (1 - s_low) / share_of
         by_cut = np.array([g_high[grade == k].sum() - g_low[grade == k + 1].sum() for k in range(top)])
         tail = np.cumsum(by_cut[::-1])[::-1]
         grad = np.concatenate((x.T @ (g_low - g_high) - ridge * p[:d], tail[:1], tail[1:] * np.exp(p[d + 1 :]))) / max(n, 1)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p = p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p = p + rate * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return p[:d], np.cumsum(np.concatenate((p[d : d + 1], np.exp(p[d + 1 :]))))
 
 
 def _choose_features(sample: DataFrame) -> dict[str, float]:
-    """Feature and z-score of those whose document rate differs most between toxic and other rows."""
+    """Feature and z-score of those whose documents are toxic most beyond the usual rate."""
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, marks = [], []
-        for frame in frames:
-            for text, toxic in zip(frame["text"], frame["toxic"]):
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 own = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
                 features += sorted(own)
                 marks += [int(toxic)] * len(own)
                 if len(features) >= FEATURE_ROWS:
-                    yield pd.DataFrame({"feature": features, "toxic": marks})
+                    yield packed(features, marks)
                     features, marks = [], []
-        yield pd.DataFrame({"feature": features, "toxic": marks})
+        yield packed(features, marks)
+
+    def packed(features: list[str], marks: list[int]) -> pa.RecordBatch:
+        return pa.record_batch({"feature": pa.array(features, pa.string()), "toxic": pa.array(marks, pa.int32())})
 
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"], total["t"] or 0
     if not 0 < t < n:
         return {}
     rate, spread = t / n, math.sqrt(t / n * (1 - t / n))
-    docs = sample.mapInPandas(task, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    docs = sample.mapInArrow(task, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     z = (F.col("t") - F.col("n") * rate) / (F.sqrt("n") * spread)
-    best = docs.where(F.col("n") >= MIN_DOCS).withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "feature").limit(FEATURES)
+    best = docs.where(F.col("n") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
     return {r["feature"]: r["z"] for r in best.collect()}
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """The model from at most ``fit_rows`` labelled documents (those first by a hash of their id).
 
-    The labels say only toxic or not. A toxic text gets grade 1, 2 or 3 by the share of its words that
-    are tied to toxicity; others grade 0. Null labels and ids are left out, of repeated labels the
+    The labels say only toxic or not. A toxic text gets grade 1, 2 or 3 by how many of its words are
+    tied to toxicity; others grade 0. Null labels and ids are left out, of repeated labels the
     highest counts. With one class only, the model finds nothing toxic.
     """
     chosen = (
@@ -147,24 +157,25 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     index = {f: i for i, f in enumerate(sorted(scores))}
     if not index:
         return Model({}, np.zeros(0), np.array([20.0, 21.0, 22.0]))
-    tied = np.array([scores[f] > 0 for f in sorted(scores)])
-
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = Counter(index)
         for frame in frames:
             found = [count(t) for t in frame["text"]]
-            density = [c[tied[i]].sum() / (1 + len(PREFIXES)) / max(n, 1) for i, c, n in found]
+            tied = [c.sum() / (1 + len(PREFIXES)) for _, c in found]
             yield pd.DataFrame({
-                "ids": [i.tolist() for i, _, _ in found], "counts": [c.tolist() for _, c, _ in found],
-                "grade": [int(t and 1 + sum(d >= g for g in GRADE_DENSITY)) for t, d in zip(frame["toxic"], density)],
+                "ids": [i.tolist() for i, _ in found], "counts": [c.tolist() for _, c in found],
+                "grade": [int(t and 1 + sum(n >= g for g in GRADE_WORDS)) for t, n in zip(frame["toxic"], tied)],
             })
 
     # At most fit_rows rows, and of each the chosen features alone.
     held = sample.mapInPandas(rows, "ids array<long>, counts array<long>, grade int").toPandas()
-    x = np.zeros((len(held), len(index)), dtype=np.float32)
-    for r, (ids, counts) in enumerate(zip(held["ids"], held["counts"])):
-        x[r, np.asarray(ids, dtype=np.int64)] = np.log1p(np.asarray(counts))
-    weights, cuts = fit_ordinal(x, held["grade"].to_numpy(dtype=np.int64))
+    # Most rows have no feature at all; rows that are alike become one.
+    alike = Tally((tuple(i), tuple(c), g) for i, c, g in zip(held["ids"], held["counts"], held["grade"]))
+    x = np.zeros((len(alike), len(index)), dtype=np.float32)
+    rows_of = sorted(alike)
+    for r, (ids, counts, _) in enumerate(rows_of):
+        x[r, list(ids)] = np.log1p(counts)
+    weights, cuts = fit_ordinal(x, np.array([g for _, _, g in rows_of], dtype=np.int64), np.array([alike[k] for k in rows_of]))
     return Model(index, weights, cuts)
 
 
@@ -181,7 +192,7 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             z = np.zeros(len(texts))
             for r, t in enumerate(texts):
-                ids, counts, _ = count(t)
+                ids, counts = count(t)
                 if len(ids):
                     z[r] = model.weights[ids] @ np.log1p(counts)
             p = model.probabilities(z)
