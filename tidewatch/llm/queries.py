@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, oracles, quality_rules, sharding, simhash, site_quality, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, oracles, quality_rules, sharding, simhash, site_quality, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +84,19 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed")
     )
+
+
+def ids_sha256(ids: pd.Series) -> pd.Series:
+    """Of ids as little-endian unsigned 32-bit integers."""
+    return pd.Series([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids])
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    digest = F.pandas_udf(ids_sha256, "string")
+    both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, ["doc_id"]), vocabulary)
+    return both.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
