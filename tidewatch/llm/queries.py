@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, oracles, quality_rules, sharding, simhash, site_quality, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, oracles, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs).select("doc_id", "text", "n_removed_words", "first_ids")
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     """Law ``rows``: the 16 shards differ by one row at most."""
