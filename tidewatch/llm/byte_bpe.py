@@ -1,33 +1,26 @@
-"""Byte-level BPE through a global shuffle of distinct pre-tokens.
+"""Byte-level BPE through the global shuffle of distinct pre-tokens of ``word_blocks``.
 
-Texts are cut into blocks of some megabytes. A block keeps, per text, the sequence of its pre-tokens
-as numbers into the block's own word list, and deals the list out by word. There every distinct word
-of the corpus is encoded once, whatever the number of blocks and texts that hold it. The ids travel
-back to the blocks, where the sequences put them in place. A word is one entry per block, so a word
-that makes up a third of the corpus is no heavier than its number of blocks.
+Every distinct pre-token of the corpus is encoded once, whatever the number of texts that hold it;
+its ids are joined back and put in place by position. Decoding joins the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.common import free_name
+from tidewatch.llm.word_blocks import Cutter, Lists, pack, schema_of, text_sequences, word_pages, words_in
 
-# Characters of text after which a block is closed. A block's word list and sequences are held by one task.
-BLOCK_CHARS = 24_000_000
-# Word pages per shuffle partition: more pages mean smaller groups.
-PAGES = 32
 # Fixed value: the characters that \s stands for in the encoder's own pattern language.
 WHITE_SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -39,9 +32,12 @@ class Vocabulary:
     ranks: dict[bytes, int]
     pattern: str
 
+    @cached_property
     def encoding(self) -> tiktoken.Encoding:
+        """Built once per Python worker, which holds the broadcast table."""
         return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
 
+    @cached_property
     def cutter(self) -> regex.Pattern:
         """The pattern for Python, with white space spelled out since the two languages differ on it."""
         inside = self.pattern.replace(r"[^\s", f"[^{WHITE_SPACE}")
@@ -54,48 +50,18 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers as groups of seven bits, low groups first."""
-    v = values.astype(np.uint64)
-    size = 1 + sum((v >= np.uint64(1 << 7 * i)).astype(np.int64) for i in range(1, 6))
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for i in range(int(size.max(initial=0))):
-        has = size > i
-        more = (size[has] > i + 1).astype(np.uint8) << 7
-        out[at[has] + i] = ((v[has] >> np.uint64(7 * i)) & np.uint64(127)).astype(np.uint8) | more
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(raw < 128)
-    first = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-    out = np.zeros(len(last), np.int64)
-    for i in range(int((last - first).max(initial=-1)) + 1):
-        has = first + i <= last
-        out[has] |= (raw[first[has] + i].astype(np.int64) & 127) << (7 * i)
-    return out
-
-
-class _Cutter:
+class PreTokens(Cutter):
     """Cuts texts into numbered pre-tokens; pieces between spaces that were seen before are looked up."""
 
     # A space inside or at the end of a longer run of white space is no boundary of its own.
     _inner_space = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, pattern: regex.Pattern):
-        self.pattern, self.number, self.words, self.pieces = pattern, {}, [], {}
+        super().__init__()
+        self.pattern, self.pieces = pattern, {}
 
     def _numbers(self, text: str) -> tuple[int, ...]:
-        out = []
-        for word in self.pattern.findall(text):
-            n = self.number.get(word)
-            if n is None:
-                n = self.number[word] = len(self.words)
-                self.words.append(word)
-            out.append(n)
-        return tuple(out)
+        return tuple(map(self.number_of, self.pattern.findall(text)))
 
     def __call__(self, text: str) -> np.ndarray:
         if self._inner_space.search(text):
@@ -110,42 +76,6 @@ class _Cutter:
         return np.array(out, dtype=np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, pattern: regex.Pattern) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes], list[str]]]:
-    """(block, its rows, a packed sequence per row, the word list) of one partition, block by block.
-
-    Words are numbered by falling count, so that frequent ones take one byte. The block's number holds
-    a checksum of all of this: were a lost task to see other rows when it runs again, its
-    parts would not match those made before, and the job would stop instead of mixing them.
-    """
-    part, count = TaskContext.get().partitionId(), 0
-    cut, rows, numbers, size = _Cutter(pattern), [], [], 0
-
-    def close():
-        seen = np.bincount(np.concatenate([np.empty(0, np.int64), *numbers]), minlength=len(cut.words))
-        order = np.argsort(-seen, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        words = [cut.words[i] for i in order]
-        packed = [pack(rank[n]) for n in numbers]
-        mark = 0
-        for p in packed:
-            mark = zlib.crc32(p, mark)
-        return (part << 44) | (count << 32) | zlib.crc32("\0".join(words).encode(), mark), rows, packed, words
-
-    for batch in batches:
-        texts = batch.column(text)
-        for i in range(batch.num_rows):
-            t = texts[i].as_py() or ""
-            rows.append(batch.slice(i, 1))
-            numbers.append(cut(t))
-            size += len(t)
-            if size >= BLOCK_CHARS:
-                yield close()
-                cut, rows, numbers, size, count = _Cutter(pattern), [], [], 0, count + 1
-    if rows:
-        yield close()
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", name: str = "token_ids") -> DataFrame:
     """The columns ``keep`` of each row of ``docs`` with its token ids as array<int> in ``name``.
 
@@ -157,44 +87,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
         raise ValueError(f"column {name} is kept and made")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    n_pages = PAGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias(body := free_name(docs, "_body")))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    kept_schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, packed, _ in _blocks(batches, body, shared.value.cutter()):
-            kept = pa.Table.from_batches(rows).select(keep).combine_chunks()
-            out = kept.append_column("_block", pa.array([block] * len(packed), pa.int64())).append_column("_sequence", pa.array(packed, pa.binary()))
-            yield from out.to_batches(max_chunksize=2000)
-
-    def word_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words in _blocks(batches, body, shared.value.cutter()):
-            raw = [w.encode() for w in words]
-            page = np.fromiter((zlib.crc32(w) % n_pages for w in raw), np.int64, len(raw))
-            order = np.argsort(page, kind="stable")
-            edges = np.flatnonzero(np.diff(page[order], prepend=-1))
-            columns = {"_page": [], "_block": [], "_ranks": [], "_sizes": [], "_words": []}
-            for lo, hi in zip(edges, [*edges[1:], len(order)]):
-                ranks = order[lo:hi]
-                own = [raw[i] for i in ranks]
-                columns["_page"].append(int(page[ranks[0]]))
-                columns["_block"].append(block)
-                columns["_ranks"].append(pack(np.diff(ranks, prepend=0)))
-                columns["_sizes"].append(pack(np.fromiter(map(len, own), np.int64, len(own))))
-                columns["_words"].append(zlib.compress(b"".join(own), 1))
-            yield pa.record_batch([pa.array(columns["_page"], pa.int64()), pa.array(columns["_block"], pa.int64()), *[pa.array(columns[c], pa.binary()) for c in ("_ranks", "_sizes", "_words")]], list(columns))
+    cutter = lambda: PreTokens(shared.value.cutter)
 
     def encode_page(pages: pa.Table) -> pa.Table:
         """All entries of the words that fall on one page: each distinct word is encoded once."""
-        encoder = shared.value.encoding()
+        encoder = shared.value.encoding
         known: dict[bytes, list[int]] = {}
         sizes_out, ids_out = [], []
         for sizes, data in zip(pages.column("_sizes").to_pylist(), pages.column("_words").to_pylist()):
-            data, at, per_word, ids = zlib.decompress(data), 0, [], []
-            for n in unpack(sizes).tolist():
-                word = data[at : at + n]
-                at += n
+            per_word, ids = [], []
+            for word in words_in(sizes, data):
                 found = known.get(word)
                 if found is None:
                     found = known[word] = encoder.encode_ordinary(word.decode())
@@ -206,26 +109,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
 
     def put_together(texts: pa.Table, pages: pa.Table) -> pa.Table:
         """The ids of one block's texts."""
-        entries = [(np.cumsum(unpack(r)), unpack(s), unpack(i)) for r, s, i in zip(*(pages.column(c).to_pylist() for c in ("_ranks", "_sizes", "_ids")))]
-        ranks = np.concatenate([np.empty(0, np.int64), *[e[0] for e in entries]])
-        sizes = np.concatenate([np.empty(0, np.int64), *[e[1] for e in entries]])
-        flat = np.concatenate([np.empty(0, np.int64), *[e[2] for e in entries]]).astype(np.int32)
-        size, start = np.full(len(ranks), -1, np.int64), np.zeros(len(ranks), np.int64)
-        size[ranks], start[ranks] = sizes, np.cumsum(sizes) - sizes
-        columns = []
-        for sequence in texts.column("_sequence").to_pylist():
-            r = unpack(sequence)
-            if len(r) and (r.max() >= len(size) or (size[r] < 0).any()):
-                raise RuntimeError("a block was read with other rows the second time; store the documents first")
-            n = size[r]
-            where = np.repeat(start[r] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            columns.append(flat[where])
+        lists = Lists.of(pages, "_sizes", "_ids")
+        columns = [lists.joined(lists.ranks(s)).astype(np.int32) for s in texts.column("_sequence").to_pylist()]
         return texts.select(keep).append_column(name, pa.array(columns, pa.list_(pa.int32())))
 
-    coded = source.select(body).mapInArrow(word_pages, "_page long, _block long, _ranks binary, _sizes binary, _words binary")
-    coded = coded.groupBy("_page").applyInArrow(encode_page, "_block long, _ranks binary, _sizes binary, _ids binary")
-    placed = source.mapInArrow(sequences, f"{kept_schema}, _block long, _sequence binary" if keep else "_block long, _sequence binary")
-    return placed.groupBy("_block").cogroup(coded.groupBy("_block")).applyInArrow(put_together, f"{kept_schema}, `{name}` array<int>" if keep else f"`{name}` array<int>")
+    coded = word_pages(source.select(body), body, cutter).groupBy("_page").applyInArrow(encode_page, "_block long, _ranks binary, _sizes binary, _ids binary")
+    placed = text_sequences(source, body, keep, cutter)
+    return placed.groupBy("_block").cogroup(coded.groupBy("_block")).applyInArrow(put_together, f"{schema_of(source, keep)}`{name}` array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
