@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, oracles, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def multilingual_vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.without_repeats(docs).select("doc_id", "text", "n_removed_words", "first_ids")
 
 
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("trains"))
+    scored = lm_scoring.score(docs, multilingual_vocabulary(), "trains", ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     """Law ``rows``: the 16 shards differ by one row at most."""
@@ -100,7 +112,7 @@ def ids_sha256(ids: pd.Series) -> pd.Series:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    vocabulary = multilingual_vocabulary()
     digest = F.pandas_udf(ids_sha256, "string")
     both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, ["doc_id"]), vocabulary)
     return both.select(
