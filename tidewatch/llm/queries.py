@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import corpus_pipeline
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -118,3 +119,8 @@ def op10_byte_bpe(spark, sf_dir):
     return both.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.common import UPPER
+from tidewatch.llm.common import UPPER, free_name, text_tie
 from tidewatch.llm.components import components
 from tidewatch.session import cut_lineage
 
@@ -255,10 +255,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fingerprint and meet as one node. Texts without words have fingerprint zero and link like others.
     Repeated ids are rows of their own. Other columns are not carried.
     """
-    marks = cut_lineage(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "fp", width).select("_id", "fp"))
-    nodes = cut_lineage(marks.groupBy("fp").agg(F.min("_id").alias("first_id")))
+    marks = _marked(docs, id_col, text, width)
+    rooted, classes = _classes(marks)
+    named = rooted.join(classes, "root").select("fp", F.col("first._id").alias("component_id"))
+    return marks.join(named, "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component one row is kept, with all their columns.
+
+    The row with the smallest id stays (ids that are null come last; ties: the smallest text hash; of
+    rows that repeat id and text any one).
+    """
+    _, classes = _classes(_marked(docs, id_col, text, width))
+    kept = classes.select(F.col("first._id").alias("_id"), F.col("first._tie").alias("_tie"))
+    a, b, c = (free_name(docs, n) for n in ("_key", "_no_key", "_tie"))
+    left = docs.withColumn(c, text_tie(F.col(text))).withColumns({a: F.xxhash64(id_col), b: F.col(id_col).isNull()})
+    right = kept.select(F.xxhash64("_id").alias(a), F.col("_id").isNull().alias(b), F.col("_tie").alias(c))
+    return left.join(right, [a, b, c], "left_semi").dropDuplicates([a, b, c]).select(*docs.columns)
+
+
+def _marked(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    return cut_lineage(with_fingerprint(source, "_text", "fp", width).select("_id", "fp", text_tie(F.col("_text")).alias("_tie")))
+
+
+def _classes(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of all fingerprints, and (root, first) of all components."""
+    # A null id orders last: min() over the pair would put it first.
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_tie")).alias("first")
+    nodes = cut_lineage(marks.groupBy("fp").agg(first))
     roots = components(trie_links(nodes, "fp"), "x", "y").withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(classes, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("first").alias("first"))

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.llm.common import free_name
 from tidewatch.session import cut_lineage
 
 # Labelled rows that features and model are fitted on, and features that the model may have.
@@ -179,13 +180,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     return Model(index, weights, cuts)
 
 
-def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with severity (expected grade), p_toxic (of grade 1 or more), grade (likeliest) and toxic.
-
-    Null and empty texts are scored as texts without features. Repeated rows score alike. Columns of
-    these names are replaced.
-    """
-
+def _judge(model: Model):
     @F.pandas_udf("severity double, p_toxic double, grade int, toxic boolean")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         count = Counter(model.index)
@@ -201,6 +196,22 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 "severity": p @ np.arange(p.shape[1]), "p_toxic": p_toxic, "grade": p.argmax(axis=1).astype(np.int32), "toxic": p_toxic >= REJECT_AT,
             })
 
+    return judged
+
+
+def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``documents`` with severity (expected grade), p_toxic (of grade 1 or more), grade (likeliest) and toxic.
+
+    Null and empty texts are scored as texts without features. Repeated rows score alike. Columns of
+    these names are replaced.
+    """
     new = ("severity", "p_toxic", "grade", "toxic")
+    judged = free_name(documents, "_judged")
     others = [c for c in documents.columns if c.lower() not in new]
-    return documents.withColumn("severity", judged(F.col(text))).select(*others, *[F.col(f"severity.{c}").alias(c) for c in new])
+    return documents.withColumn(judged, _judge(model)(F.col(text))).select(*others, *[F.col(f"{judged}.{c}").alias(c) for c in new])
+
+
+def without_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that the model does not find toxic, with all their columns."""
+    judged = free_name(documents, "_judged")
+    return documents.withColumn(judged, _judge(model)(F.col(text))).where(~F.col(f"{judged}.toxic")).select(*documents.columns)
