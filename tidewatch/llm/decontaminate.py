@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm.common import NOT_ALNUM, free_name, lower_ascii, small_side, text_tie, words_of
+from tidewatch.session import cut_lineage
 
 LENGTH = 10
 
@@ -110,6 +111,8 @@ def contamination(
     if found is None:
         none = base.withColumn("spans", F.array().cast("array<struct<s:int,len:int>>")).withColumn("items", F.array().cast("array<string>"))
         return none.select(F.col("_id").alias(id_col), "_tie", "n_words", F.lit(0).cast("long").alias("n_hit"), "spans", "items")
+    # The few hits are kept, since finding them reads all words and three results build on them.
+    found = cut_lineage(found)
     # A span or an item is listed once per document, so lists are bounded by its words and by the benchmark.
     spans = found.groupBy("_id", "_tie").agg(F.collect_set(F.struct("s", "len")).alias("spans"))
     of_item = small_side(windows.where("item is not null"))
@@ -128,8 +131,8 @@ def contamination(
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``documents`` that hold no benchmark window, with all their columns."""
-    hit = contamination(documents, benchmark, id_col, text).where("n_hit > 0").select(F.col(id_col).alias("_bad_id"), F.col("_tie").alias("_bad_tie")).distinct()
-    tie = free_name(documents, "_doc_tie")
+    tie, bad_id, bad_tie = (free_name(documents, n) for n in ("_doc_tie", "_bad_id", "_bad_tie"))
+    hit = contamination(documents, benchmark, id_col, text).where("n_hit > 0").select(F.col(id_col).alias(bad_id), F.col("_tie").alias(bad_tie)).distinct()
     keyed = documents.withColumn(tie, text_tie(F.col(text)))
-    clean = keyed.join(hit, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.col(tie) == F.col("_bad_tie")), "left_anti")
+    clean = keyed.join(hit, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(tie) == F.col(bad_tie)), "left_anti")
     return clean.select(*documents.columns)
