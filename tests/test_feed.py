@@ -296,4 +296,7 @@ def test_delete_guard(spark):
         retention.check_deletable(wanted("a", "b"), status)
     with pytest.raises(ValueError, match="empty"):
         retention.check_deletable(wanted(), status)
+    many = [f"run-{i:03d}" for i in range(30)]
+    with pytest.raises(ValueError, match=r"\(20 of 30\)"):
+        retention.check_deletable(wanted(*many), spark.createDataFrame([(m, "RUNNING") for m in many], "run_id string, status string"))
     assert retention.check_deletable(wanted("b"), status).count() == 1

@@ -234,7 +234,7 @@ def datetime_text(ts: Column) -> Column:
 
 
 def age_text(ts: Column, as_of: Column) -> Column:
-    s = F.greatest(F.lit(0), F.unix_seconds(as_of) - F.unix_seconds(ts))
+    s = F.greatest(F.lit(0), F.floor((F.unix_micros(as_of) - F.unix_micros(ts)) / 1_000_000))
     return (
         F.when(ts.isNull(), DASH)
         .when(s < 60, "just now")

@@ -14,6 +14,10 @@ from tidewatch.functions import columns as C
 from tidewatch.schemas import KEEP_ARCHIVES, KEEP_PROMPTS
 
 
+# Ids that a refusal names in its message.
+MESSAGE_IDS = 20
+
+
 def keep_newest_archives(archived: DataFrame, key: str = "archive_ts", n: int = KEEP_ARCHIVES) -> DataFrame:
     """Rows of the ``n`` newest archives by time. The key list has at most ``n`` rows, so it is broadcast."""
     newest = bounded.newest(archived.select(key).distinct(), [F.col(key).desc_nulls_last()], n)
@@ -63,15 +67,16 @@ def surviving_reports(current: DataFrame, doomed: DataFrame, key: str) -> DataFr
 def check_deletable(requested: DataFrame, status: DataFrame) -> DataFrame:
     """Refuses an empty request and one that names a queued or running run.
 
-    Only the offending ids of the request come back to the driver, and of those the
-    first few for the message.
+    The message has the first ids and says how many there are; ``active_requests`` is the whole table.
     """
     if requested.isEmpty():
         raise ValueError("run_ids must not be empty")
     active = active_requests(requested, status)
-    first = [r["run_id"] for r in active.orderBy("run_id").limit(20).collect()]
+    first = [r["run_id"] for r in active.orderBy("run_id").limit(MESSAGE_IDS).collect()]
     if first:
-        raise ValueError(f"cannot delete running investigation(s): {', '.join(first)}")
+        n = active.count() if len(first) == MESSAGE_IDS else len(first)
+        more = f" ({len(first)} of {n})" if n > len(first) else ""
+        raise ValueError(f"cannot delete running investigation(s): {', '.join(first)}{more}")
     return requested
 
 

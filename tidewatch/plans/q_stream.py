@@ -19,12 +19,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 @query("snapshot_roundtrip", "SELECT c_name AS instance_id, c_acctbal AS cpu, 'PASS' AS status_check, CASE WHEN c_acctbal > 0 THEN '%' END AS unit FROM customer")
 def snapshot_roundtrip(spark, sf_dir):
     """Instances written as JSON envelopes, read back by schema and unnested."""
-    path = scratch_path(spark, "snapshot")
+    base = scratch_path(spark, "snapshot")
     rows = A.fleet_instances(spark, sf_dir).drop("ord")
     envelopes = rows.select(F.lit("cloudwatch").alias("collector"), F.lit("2024-01-31T00:00:00Z").alias("timestamp"), F.array(F.struct(*rows.columns)).alias("resources"))
-    writers.write_snapshot(envelopes, path)
-    ddl = f"collector string, timestamp string, resources array<{readers.RESOURCE_TYPES['cloudwatch']}>"
-    back = readers.unnest(readers.read_json(spark, path, ddl, multi_line=False, with_file=True))
+    writers.write_snapshot(envelopes, f"{base}/cloudwatch.json")
+    back = readers.read_snapshot(spark, base, "cloudwatch", layout="lines")
     cpu = F.try_element_at("MetricTrends", F.lit("CPU"))
     return back.select(F.col("InstanceId").alias("instance_id"), F.col("CPU").alias("cpu"), F.col("StatusCheck").alias("status_check"), cpu["U"].alias("unit"))
 
@@ -33,13 +32,48 @@ def snapshot_roundtrip(spark, sf_dir):
 def run_history_scan(spark, sf_dir):
     """Run summaries as JSON lines; the start comes from the clock text, as these run ids hold no time."""
     from tidewatch.functions.columns import clock_text_of
-    from tidewatch.schemas import RUN
 
     path = scratch_path(spark, "runs")
     runs = A.runs(spark, sf_dir).withColumn("start_time", clock_text_of(F.col("start_ts"))).drop("start_ts", "end_ts")
     writers.write_snapshot(runs, path)
-    back = readers.with_run_times(readers.read_json(spark, path, RUN, multi_line=False))
-    return back.select("run_id", A.ts_text("start_ts").alias("started"), "instances_discovered")
+    return readers.read_runs(spark, path, layout="lines").select("run_id", A.ts_text("start_ts").alias("started"), "instances_discovered")
+
+
+@query("entity_scan", "SELECT s_name AS summary, 'HIGH' AS severity, TRUE AS keyed, TRUE AS timed FROM supplier")
+def entity_scan(spark, sf_dir):
+    """A file per supplier, keyed by its stem and timed by the file."""
+    path = scratch_path(spark, "entities")
+    A.table(spark, sf_dir, "supplier").select(F.lit("HIGH").alias("severity"), F.col("s_name").alias("summary")).write.option("maxRecordsPerFile", 1).json(path)
+    found = readers.read_reports(spark, path)
+    keyed = (F.col("resource_id") != "") & ~F.col("resource_id").contains(".json")
+    return found.select("summary", "severity", keyed.alias("keyed"), F.col("detected_at").isNotNull().alias("timed"))
+
+
+@query(
+    "archive_scan",
+    "SELECT '2024-01-0' || o_orderpriority[1] || ' 04:30:00' AS archived, o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN 'HIGH' END AS severity FROM orders",
+)
+def archive_scan(spark, sf_dir):
+    """A run folder per priority, and a folder that is no run; unrated reports stay with a null severity."""
+    base = scratch_path(spark, "archives")
+    orders = A.table(spark, sf_dir, "orders")
+    rated = F.when(F.col("o_orderstatus") != "P", "high")
+    reports = orders.select(F.substring("o_orderpriority", 1, 1).alias("day"), rated.alias("severity"), F.col("o_orderkey").cast("string").alias("summary"))
+    for day in "12345":
+        reports.where(F.col("day") == day).drop("day").write.json(f"{base}/0{day}-01-2024_10-00-00/reports")
+    reports.drop("day").limit(1).write.json(f"{base}/notes/reports")
+    found = readers.read_archives(spark, base)
+    return found.select(A.ts_text("archive_ts").alias("archived"), F.col("summary").cast("bigint").alias("k"), "severity")
+
+
+@query("feed_defaults", "SELECT o_orderpriority AS type, count(*) AS n, 0 AS labels, 0 AS absent FROM orders GROUP BY ALL")
+def feed_defaults(spark, sf_dir):
+    """A published table without one column, and one that was never published."""
+    path = scratch_path(spark, "resources")
+    A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderkey").cast("string").alias("id")).write.parquet(path)
+    absent = readers.read_feed_table(spark, f"{path}-none", "resources").select("type", "id", "label", F.lit(1).alias("gone"))
+    found = readers.read_feed_table(spark, path, "resources").withColumn("gone", F.lit(0)).unionByName(absent)
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.count("label").cast("int").alias("labels"), F.sum("gone").cast("int").alias("absent"))
 
 
 @query("context_table", f"SELECT 'lb-' || o_orderkey AS instance_id, 'Load Balancer' AS resource_type, {C_ORDER} AS target FROM orders")
@@ -107,11 +141,12 @@ def stream_ingest(spark, sf_dir):
     "stream_tumbling",
     """
 SELECT event_type AS metric, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS bin, round(sum(value), 6) AS sum_value, round(avg(value), 6) AS avg_value, max(value) AS max_value,
-  count(*) AS samples FROM events GROUP BY ALL""",
+  count(*) AS samples FROM events WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
 )
 def stream_tumbling(spark, sf_dir):
+    """Windows that the watermark has closed; the newest wait for later rows."""
     out = scratch_path(spark, "tumbling")
-    jobs.run_once_complete(jobs.tumbling_statistic(event_stream(spark, sf_dir), ["metric"]), out, scratch_path(spark, "ckpt"))
+    jobs.run_once(jobs.tumbling_statistic(event_stream(spark, sf_dir), ["metric"]), out, scratch_path(spark, "ckpt"))
     return spark.read.parquet(out).select(
         "metric", A.ts_text("ts").alias("bin"), F.round("sum_value", 6).alias("sum_value"), F.round("avg_value", 6).alias("avg_value"), "max_value", "samples"
     )
@@ -121,11 +156,12 @@ def stream_tumbling(spark, sf_dir):
     "stream_sliding",
     """
 WITH w AS (SELECT event_type AS metric, value, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k AS start FROM events, range(12) t(k))
-SELECT metric, strftime(start, '%Y-%m-%d %H:%M:%S') AS bin, round(sum(value), 6) AS sum_value, count(*) AS samples FROM w GROUP BY ALL""",
+SELECT metric, strftime(start, '%Y-%m-%d %H:%M:%S') AS bin, round(sum(value), 6) AS sum_value, count(*) AS samples FROM w
+WHERE start + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
 )
 def stream_sliding(spark, sf_dir):
     out = scratch_path(spark, "sliding")
-    jobs.run_once_complete(jobs.sliding_statistic(event_stream(spark, sf_dir), ["metric"]), out, scratch_path(spark, "ckpt"))
+    jobs.run_once(jobs.sliding_statistic(event_stream(spark, sf_dir), ["metric"]), out, scratch_path(spark, "ckpt"))
     return spark.read.parquet(out).select("metric", A.ts_text("ts").alias("bin"), F.round("sum_value", 6).alias("sum_value"), "samples")
 
 
@@ -154,30 +190,22 @@ def stream_dedup(spark, sf_dir):
 @query(
     "stream_severity_changes",
     """
-WITH last AS (SELECT user_id AS resource_id, arg_max(event_type, ts) AS t FROM events GROUP BY ALL),
-first AS (SELECT user_id AS resource_id, arg_max(event_type, ts) AS t FROM events WHERE value < 20 GROUP BY ALL),
-s AS (SELECT last.resource_id, CASE last.t WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  CASE first.t WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'MEDIUM' WHEN 'view' THEN 'LOW' WHEN 'signup' THEN 'LOW' END AS prev FROM last LEFT JOIN first USING (resource_id)),
-r AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rs, CASE prev WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 END AS rp FROM s)
-SELECT CAST(resource_id AS VARCHAR) AS resource_id, severity, prev IS NULL AS is_new, prev AS severity_changed_from FROM r WHERE prev IS NULL OR rs > rp""",
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS resource_id, ts,
+  CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS r FROM events),
+l AS (SELECT *, lag(severity) OVER w AS prev, lag(r) OVER w AS rp FROM s WINDOW w AS (PARTITION BY resource_id ORDER BY ts, r, severity))
+SELECT resource_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, severity, prev IS NULL AS is_new, CASE WHEN r > rp THEN prev END AS severity_changed_from
+FROM l WHERE prev IS NULL OR r > rp""",
 )
 def stream_severity_changes(spark, sf_dir):
-    """Change state per resource over a stream, against the state a previous export left behind."""
+    """Every change of every resource in event time."""
     metric = F.col("metric")
     severity = F.when(metric == "error", "CRITICAL").when(metric == "purchase", "HIGH").when(metric == "click", "MEDIUM").otherwise("LOW")
-    state_path, out = scratch_path(spark, "state"), scratch_path(spark, "changes")
-    earlier = A.datapoints(spark, sf_dir).filter(F.col("value") < 20).groupBy("resource_id").agg(F.max_by("metric", "ts").alias("metric"))
-    earlier.select(F.col("resource_id").cast("string").alias("resource_id"), severity.alias("severity")).write.parquet(f"{state_path}/v=0")
-
-    def write(changes, state, batch_id):
-        changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        state.write.mode("overwrite").parquet(f"{state_path}/v={batch_id + 1}")
-
     reports = event_stream(spark, sf_dir).select(F.col("resource_id").cast("string").alias("resource_id"), severity.alias("severity"), F.col("ts").alias("detected_at"))
-    handler = jobs.severity_changes_by_batch(lambda batch_id: spark.read.parquet(f"{state_path}/v={batch_id}"), write)
-    job = reports.writeStream.foreachBatch(handler).option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.parquet(out).select("resource_id", "severity", "is_new", "severity_changed_from")
+    keeper = jobs.SeverityChanges(spark, scratch_path(spark, "severity"))
+    jobs.run_batches(reports, keeper, scratch_path(spark, "ckpt"))
+    keeper.flush(keeper.next_batch())
+    return keeper.changes().select("resource_id", A.ts_text("detected_at").alias("at"), "severity", "is_new", "severity_changed_from")
 
 
 @query(
@@ -188,5 +216,5 @@ SELECT user_id AS run_id, arg_max(event_type, ts) AS phase, CAST(arg_max(least(C
 def stream_progress(spark, sf_dir):
     out = scratch_path(spark, "progress")
     phases = event_stream(spark, sf_dir).select(F.col("resource_id").alias("run_id"), F.col("metric").alias("phase"), F.col("value").alias("percent"), "ts")
-    jobs.run_once_complete(jobs.run_progress(phases), out, scratch_path(spark, "ckpt"))
-    return spark.read.parquet(out).select("run_id", "phase", "percent")
+    jobs.run_batches(phases, jobs.keep_progress(out), scratch_path(spark, "ckpt"))
+    return jobs.run_progress(spark, out).select("run_id", "phase", "percent")

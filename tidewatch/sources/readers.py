@@ -8,7 +8,7 @@ job must not fail on one source.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
@@ -44,37 +44,62 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], struct_of(ddl))
 
 
-def read_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = True, with_file: bool = False) -> DataFrame:
-    """JSON by schema; unreadable documents are dropped, a missing path gives no rows.
-
-    ``with_file`` adds ``_file`` (name), ``_path`` and ``_modified`` of the source file.
-    """
-    file_ddl = ", _file string, _path string, _modified timestamp" if with_file else ""
-    reader = (
-        spark.read.schema(f"{ddl}, {_BROKEN} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
-        .option("multiLine", str(multi_line).lower())
-    )
+def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
+    """Lines or whole files with ``_file`` (name), ``_path`` and ``_modified``; None if the path is missing."""
     try:
-        raw = reader.json(path)
+        raw = spark.read.text(path, wholetext=whole)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
+        return None
+    m = "_metadata"
+    return raw.select(
+        "value", F.col(f"{m}.file_name").alias("_file"), F.col(f"{m}.file_path").alias("_path"), F.col(f"{m}.file_modification_time").alias("_modified")
+    )
+
+
+def _parsed(value: Column, ddl: str) -> Column:
+    """The documents of a text that is one document, several after one another, or an array of them.
+
+    A raw line break cannot stand inside a JSON string, so a closing and an opening brace around one
+    are two documents. A text with a broken document gives those of its lines that are whole.
+    """
+    kind = f"array<struct<{_BROKEN}:string," + struct_of(ddl).simpleString()[len("struct<") :] + ">"
+    options = {"columnNameOfCorruptRecord": _BROKEN}
+    inner = F.regexp_replace(F.trim(value), r"\}[ \t\r]*\n\s*\{", "},{")
+    parse = lambda text: F.from_json(text, kind, options)
+    together = parse(F.when(inner.startswith("["), inner).otherwise(F.concat(F.lit("["), inner, F.lit("]"))))
+    alone = F.flatten(F.transform(F.split(value, "\n"), lambda line: F.coalesce(parse(F.concat(F.lit("["), line, F.lit("]"))), F.array().cast(kind))))
+    whole = together.isNotNull() & ~F.exists(F.coalesce(together, F.array().cast(kind)), lambda d: d[_BROKEN].isNotNull())
+    return F.when(whole, together).otherwise(alone)
+
+
+def read_json(spark: SparkSession, path: str, ddl: str, layout: str = "auto", with_file: bool = False) -> DataFrame:
+    """JSON documents by schema; unreadable documents are dropped, a missing path gives no rows.
+
+    ``layout`` ``auto`` reads each file as a whole and takes one document, several documents (as in JSON
+    Lines) or an array. ``lines`` takes a document per line and splits large files over tasks: use
+    it for whatever grows with the fleet. ``with_file`` adds ``_file`` (name), ``_path`` and
+    ``_modified`` of the source file.
+    """
+    if layout not in ("auto", "lines"):
+        raise ValueError(f"unknown layout {layout}")
+    raw = _text(spark, path, layout == "auto")
+    file_ddl = ", _file string, _path string, _modified timestamp" if with_file else ""
+    if raw is None:
         return _empty(spark, ddl + file_ddl)
-    if with_file:
-        raw = raw.select(
-            "*",
-            F.col("_metadata.file_name").alias("_file"),
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_modification_time").alias("_modified"),
-        )
-    return raw.filter(F.col(_BROKEN).isNull()).drop(_BROKEN)
+    docs = raw.where(F.trim("value") != "").select(F.explode(_parsed(F.col("value"), ddl)).alias("_d"), "_file", "_path", "_modified")
+    whole = docs.where(F.col(f"_d.{_BROKEN}").isNull() & F.col("_d").isNotNull())
+    return whole.select(*[F.col(f"_d.{n}").alias(n) for n in struct_of(ddl).names], *(["_file", "_path", "_modified"] if with_file else []))
 
 
-def read_envelope(spark: SparkSession, path: str, resource: str) -> DataFrame:
-    """(collector, timestamp, resources) of one source file or a folder of them."""
-    return read_json(spark, path, f"collector string, timestamp string, resources array<{resource}>", with_file=True)
+def read_envelope(spark: SparkSession, path: str, resource: str, layout: str = "auto") -> DataFrame:
+    """(collector, timestamp, resources) of one source file or a folder of them.
+
+    A large fleet should come as a folder of files with an envelope per line (``layout="lines"``),
+    since an envelope is one row.
+    """
+    return read_json(spark, path, f"collector string, timestamp string, resources array<{resource}>", layout, with_file=True)
 
 
 def unnest(envelopes: DataFrame) -> DataFrame:
@@ -86,9 +111,9 @@ def unnest(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def read_snapshot(spark: SparkSession, base: str, collector: str) -> DataFrame:
-    """Unnested resources of one collector under ``base``."""
-    return unnest(read_envelope(spark, f"{base.rstrip('/')}/{collector}.json", RESOURCE_TYPES[collector]))
+def read_snapshot(spark: SparkSession, base: str, collector: str, layout: str = "auto") -> DataFrame:
+    """Unnested resources of one collector under ``base``: ``<collector>.json``, a file or a folder."""
+    return unnest(read_envelope(spark, f"{base.rstrip('/')}/{collector}.json", RESOURCE_TYPES[collector], layout))
 
 
 def fresh_only(snapshot: DataFrame, as_of, minutes: int) -> DataFrame:
@@ -156,12 +181,17 @@ def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Run summaries, oldest first; a run whose start does not parse comes before all others."""
-    docs = read_json(spark, f"{folder.rstrip('/')}/*.json", RUN, with_file=True)
+def read_runs(spark: SparkSession, folder: str, layout: str = "auto") -> DataFrame:
+    """Run summaries with their times, in no order; ``oldest_first`` orders them for display."""
+    docs = read_json(spark, f"{folder.rstrip('/')}/*.json", RUN, layout, with_file=True)
     run_id = C.or_else(F.col("run_id"), _stem(F.url_decode("_file")))
     named = docs.withColumn("run_id", run_id).drop("_file", "_path", "_modified")
-    return with_run_times(named).orderBy(F.col("start_ts").asc_nulls_first(), "run_id")
+    return with_run_times(named)
+
+
+def oldest_first(runs: DataFrame) -> DataFrame:
+    """A run whose start does not parse comes before all others."""
+    return runs.orderBy(F.col("start_ts").asc_nulls_first(), "run_id")
 
 
 def with_run_times(runs: DataFrame) -> DataFrame:

@@ -34,8 +34,12 @@ def publish(tables: dict[str, DataFrame], base: str, version: int) -> None:
     """Writes all tables under a new version, then names that version in the pointer table.
 
     Readers follow the pointer, so they see either all old tables or all new ones. The
-    pointer row is one committed append, and nothing that a reader may hold is replaced.
+    pointer row is one committed append. A version that is not above the published one is refused,
+    since its files may be in use.
     """
+    held = next((published_version(df.sparkSession, base) for df in tables.values()), None)
+    if held is not None and version <= held:
+        raise ValueError(f"version {version} is not above the published version {held}")
     spark = None
     for name, df in tables.items():
         spark = df.sparkSession

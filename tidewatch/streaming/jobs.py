@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import Row
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import thresholds
-from tidewatch.schemas import PERIOD_SECONDS, SEVERITY_RANKS
+from tidewatch.schemas import PERIOD_SECONDS
 
 LATENESS = "10 minutes"
 
@@ -68,87 +65,126 @@ def dedup_events(stream: DataFrame, key: str = "event_id", ts: str = "ts", laten
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
-class SeverityState(StatefulProcessor):
-    """Keeps the newest severity of a resource; emits a row when it is new or got worse.
+CHANGES = "resource_id string, detected_at timestamp, severity string, is_new boolean, severity_changed_from string"
+_REPORTS = "resource_id string, detected_at timestamp, severity string"
+_STATE = f"{_REPORTS}, bucket int"
 
-    As in the batch diff only the newest report of a trigger counts, so the rows of a hot
-    resource are passed once and never held.
+
+def event_time_changes(reports: DataFrame, state: DataFrame) -> DataFrame:
+    """Reports that are a resource's first or worse than the one before them in event time.
+
+    Before the first report at hand stands the resource's row in ``state``. Reports of one time
+    are ordered by severity. The window reads the reports of a resource as a stream.
     """
+    rank = C.severity_rank(F.col("severity"))
+    order = Window.partitionBy("resource_id").orderBy("detected_at", rank, "severity")
+    known = state.select("resource_id", F.col("severity").alias("_known"))
+    rows = reports.withColumn("_before", F.lag("severity").over(order)).join(known, "resource_id", "left")
+    before = F.coalesce("_before", "_known")
+    worse = before.isNotNull() & (rank > C.severity_rank(before))
+    return rows.where(before.isNull() | worse).select(
+        "resource_id", "detected_at", "severity", before.isNull().alias("is_new"), F.when(worse, before).alias("severity_changed_from")
+    )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("severity", T.StringType()), T.StructField("micros", T.LongType())]
-        self._last = handle.getValueState("last", T.StructType(fields))
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: r.micros)
-        before, seen = self._last.get() if self._last.exists() else (None, None)
-        if seen is not None and newest.micros < seen:
-            return
-        now = newest.severity
-        self._last.update((now, newest.micros))
-        worse = SEVERITY_RANKS.get(now, 0) > SEVERITY_RANKS.get(before, 0)
-        if before is None or worse:
-            yield Row(resource_id=key[0], severity=now, is_new=before is None, severity_changed_from=before, micros=newest.micros)
+class SeverityChanges:
+    """Severity changes of a stream in event time, whatever its batches hold.
 
-    def close(self) -> None:
-        pass
+    Reports wait until the newest time seen is ``lateness`` ahead of them, so they are compared in the
+    order of ``detected_at``; one that comes later still is dropped. State is the newest report of each
+    resource, in buckets: a batch writes the buckets that it changes, under its own version, so that a
+    repeated batch overwrites itself. ``flush`` takes what still waits once the stream has ended.
+    """
 
+    def __init__(self, spark: SparkSession, path: str, lateness: str = LATENESS, buckets: int = 64):
+        self.spark, self.path, self.lateness, self.buckets = spark, path.rstrip("/"), lateness, buckets
 
-CHANGES = "resource_id string, severity string, is_new boolean, severity_changed_from string, micros bigint"
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        newest = batch.agg(F.max("detected_at").alias("t")).first()["t"]
+        passed, before = self._horizon(batch_id), self._horizon(batch_id)
+        if newest is not None:
+            reached = self.spark.range(1).select((F.lit(newest) - F.expr(f"INTERVAL {self.lateness}")).alias("t")).first()["t"]
+            passed = reached if passed is None else max(passed, reached)
+        self._advance(batch.select("resource_id", "detected_at", "severity"), batch_id, before, passed)
 
+    def flush(self, batch_id: int) -> None:
+        """All that waits after the batches below ``batch_id``."""
+        self._advance(self.spark.createDataFrame([], _REPORTS), batch_id, self._horizon(batch_id), None)
 
-def severity_changes(stream: DataFrame) -> DataFrame:
-    """Stateful change feed by resource; needs the RocksDB state store provider."""
-    timed = stream.select("resource_id", "severity", F.unix_micros("detected_at").alias("micros"))
-    changed = timed.groupBy("resource_id").transformWithState(
-        statefulProcessor=SeverityState(), outputStructType=T.StructType.fromDDL(CHANGES), outputMode="append", timeMode="None"
-    )
-    return changed.withColumn("detected_at", F.timestamp_micros("micros")).drop("micros")
+    def changes(self) -> DataFrame:
+        return self._read("changes", CHANGES + ", version bigint").drop("version")
 
+    def next_batch(self) -> int:
+        """The number after the last batch."""
+        last = self._read("progress", "passed timestamp, version bigint").agg(F.max("version")).first()[0]
+        return 0 if last is None else last + 1
 
-def severity_changes_by_batch(read_state: Callable[[int], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]):
-    """The same change rule for ``foreachBatch`` over a stored state table.
+    def _advance(self, fresh: DataFrame, batch_id: int, before, passed) -> None:
+        waiting = self._read("waiting", f"{_REPORTS}, version bigint").where(F.col("version") == batch_id - 1).drop("version")
+        in_time = fresh if before is None else fresh.where(F.col("detected_at") > F.lit(before))
+        reports = waiting.unionByName(in_time)
+        due = F.lit(True) if passed is None else F.col("detected_at") <= F.lit(passed)
+        ready, bucket = reports.where(due), F.pmod(F.xxhash64("resource_id"), F.lit(self.buckets)).cast("int")
+        state = self._state(batch_id)
+        rank = C.severity_rank(F.col("severity"))
+        newest = ready.groupBy("resource_id").agg(F.max(F.struct("detected_at", rank.alias("rank"), "severity")).alias("n"))
+        newest = newest.select("resource_id", "n.detected_at", "n.severity", bucket.alias("bucket"))
+        touched = newest.select("bucket").distinct()
+        kept = state.join(touched, "bucket", "left_semi").join(newest.select("resource_id"), "resource_id", "left_anti")
+        self._write(event_time_changes(ready, state), "changes", batch_id)
+        self._write(kept.select("resource_id", "detected_at", "severity", "bucket").unionByName(newest), "state", batch_id, "bucket")
+        self._write(reports.where(~due), "waiting", batch_id)
+        self._write(self.spark.range(1).select(F.lit(passed).cast("timestamp").alias("passed")), "progress", batch_id)
 
-    ``read_state(batch_id)`` returns the (resource_id, severity) left by the batches before
-    it; ``write(changes, new_state, batch_id)`` stores both under the batch id, so that a
-    repeated batch overwrites itself. Only the last report of a resource per batch counts,
-    which combines map-side: prefer this form where one resource may send very many rows.
-    """
-    from tidewatch.operators import feed
+    def _state(self, batch_id: int) -> DataFrame:
+        """Of each bucket the newest version before this batch."""
+        stored = self._read("state", f"{_STATE}, version bigint").where(F.col("version") < batch_id)
+        newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))
+        return stored.join(newest, ["bucket", "version"], "left_semi").drop("version")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("resource_id").agg(
-            F.max_by("severity", "detected_at").alias("severity"), F.max("detected_at").alias("detected_at")
-        )
-        previous = read_state(batch_id)
-        changes = feed.diff_severity(last, previous).filter(F.col("is_new") | F.col("severity_changed_from").isNotNull())
-        kept = previous.join(last.select("resource_id"), "resource_id", "left_anti")
-        write(changes, kept.unionByName(last.select("resource_id", "severity")), batch_id)
+    def _horizon(self, batch_id: int):
+        return self._read("progress", "passed timestamp, version bigint").where(F.col("version") < batch_id).agg(F.max("passed")).first()[0]
 
-    return run
+    def _read(self, name: str, ddl: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], ddl)
 
+    def _write(self, df: DataFrame, name: str, batch_id: int, *parts: str) -> None:
+        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/{name}/version={batch_id}")
 
-def run_progress(stream: DataFrame) -> DataFrame:
-    """Newest phase per run for an update-mode sink."""
-    latest = stream.groupBy("run_id").agg(F.max_by(F.struct("phase", "percent"), F.struct("ts", "percent")).alias("e"), F.max("ts").alias("ts"))
-    return latest.select("run_id", "e.phase", C.clamp_percent(F.col("e.percent")).alias("percent"), "ts")
 
+def newest_phase(rows: DataFrame) -> DataFrame:
+    """Newest phase per run."""
+    latest = rows.groupBy("run_id").agg(F.max_by(F.struct("phase", "percent"), F.struct("ts", "percent")).alias("e"), F.max("ts").alias("ts"))
+    return latest.select("run_id", "e.phase", "e.percent", "ts")
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Processes everything available into a file sink and stops."""
-    query = (
-        stream.writeStream.outputMode(mode).format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
 
+def run_progress(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, phase, percent, ts) as of the batches that ``keep_progress`` has written."""
+    return newest_phase(spark.read.parquet(path)).withColumn("percent", C.clamp_percent(F.col("percent"))).select("run_id", "phase", "percent", "ts")
+
+
+def keep_progress(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch adds the newest phase of the runs that it holds, and keeps no state."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest_phase(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def run_once_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Like :func:`run_once` for an aggregate in complete mode: each batch replaces the table at ``path``."""
+    return write
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
+def run_batches(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Processes everything available with ``handler`` and stops."""
+    stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """Processes everything available into a file sink and stops."""
     query = (
-        stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.outputMode(mode).format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
