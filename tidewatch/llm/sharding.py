@@ -72,7 +72,7 @@ def number_rows(rows: DataFrame, by: list[str], name: str = "row_number") -> tup
     partitions before; one count per partition goes through the driver. Rows that tie are dealt out
     over partitions and get their numbers in any order, so ``by`` should tell unlike rows apart.
     """
-    deal, part = free_name(rows, "_deal"), free_name(rows, "_part")
+    deal, part, start, own = (free_name(rows, n) for n in ("_deal", "_part", "_start", "_own"))
     dealt = rows.withColumn(deal, F.monotonically_increasing_id() % 1009)
     sorted_rows = dealt.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], F.col(deal)).withColumn(part, F.spark_partition_id())
     # Range bounds are sampled anew by each job; written once, counts and numbers see the same partitions.
@@ -81,10 +81,10 @@ def number_rows(rows: DataFrame, by: list[str], name: str = "row_number") -> tup
     first, total = {}, 0
     for p in sorted(counts):
         first[p], total = total, total + counts[p]
-    starts = F.broadcast(rows.sparkSession.createDataFrame(list(first.items()) or [(0, 0)], f"{part} int, _first long"))
+    starts = F.broadcast(rows.sparkSession.createDataFrame(list(first.items()) or [(0, 0)], f"`{part}` int, `{start}` long"))
     order = Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in by], F.col(deal))
-    numbered = held.withColumn("_in_part", F.row_number().over(order).cast("long")).join(starts, part)
-    return numbered.select(*rows.columns, (F.col("_first") + F.col("_in_part") - 1).alias(name)), total
+    numbered = held.withColumn(own, F.row_number().over(order).cast("long")).join(starts, part)
+    return numbered.select(*rows.columns, (F.col(start) + F.col(own) - 1).alias(name)), total
 
 
 def shard_rows(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int = 0) -> DataFrame:

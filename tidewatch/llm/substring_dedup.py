@@ -128,16 +128,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``removed`` counts the words cut (zero for texts left as they are), ``first_ids`` lists the ids of the
     documents that keep the passages. Null and empty texts stay. All rows stay, if need be with an empty text.
     """
-    spans = repeated_spans(docs, id_col, text).select(F.col("_id").alias("_of_id"), F.col("_tie").alias("_of_tie"), "spans", F.array_sort("first_ids").alias("_firsts"))
-    tie, cut, spans_of, firsts = (free_name(docs, n) for n in ("_own_tie", "_cut", "_spans", "_first_ids"))
-    spans = spans.withColumnsRenamed({"spans": spans_of, "_firsts": firsts})
+    tie, cut, of_id, of_tie, spans_of, firsts = (free_name(docs, n) for n in ("_own_tie", "_cut", "_of_id", "_of_tie", "_spans", "_first_ids"))
+    spans = repeated_spans(docs, id_col, text).select(
+        F.col("_id").alias(of_id), F.col("_tie").alias(of_tie), F.col("spans").alias(spans_of), F.array_sort("first_ids").alias(firsts)
+    )
 
     @F.pandas_udf("text string, words long")
     def shortened(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = [(None, 0) if r is None or t is None else cut_out(t, [(x["_from"], x["_to"]) for x in r]) for t, r in zip(texts, ranges)]
         return pd.DataFrame({"text": pd.Series([x for x, _ in out], dtype=object), "words": [n for _, n in out]})
 
-    joined = docs.withColumn(tie, F.hash(text)).join(spans, F.col(id_col).eqNullSafe(F.col("_of_id")) & (F.col(tie) == F.col("_of_tie")), "left")
+    joined = docs.withColumn(tie, F.hash(text)).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
     done = joined.withColumn(cut, shortened(F.when(F.col(spans_of).isNotNull(), F.col(text)), F.col(spans_of)))
     columns = [F.coalesce(F.col(f"{cut}.text"), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns if c not in (removed, first_ids)]
     return done.select(*columns, F.col(f"{cut}.words").alias(removed), F.coalesce(firsts, F.array().cast(dict(spans.dtypes)[firsts])).alias(first_ids))

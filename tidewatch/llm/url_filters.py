@@ -140,13 +140,14 @@ def judge_urls(
             F.min(F.when(~site, F.struct(F.col("_rule_verdict").alias("verdict"), F.col("_rule").alias("rule")))).alias("_match"),
         )
     )
+    key, of_url, site_of, match_of = (free_name(pages, n) for n in ("_page_url", "_url", "_site", "_match"))
+    found = found.select(F.col("_url").alias(of_url), F.col("_site").alias(site_of), F.col("_match").alias(match_of))
+    judged = pages.withColumn(key, F.col(url)).join(found, F.col(key) == F.col(of_url), "left")
     new = {
         "host": host_of(F.col(url)),
         "path": path_of(F.col(url)),
-        "rule": F.col("_site.rule"),
-        "pattern": F.when(F.col("_site").isNull(), F.col("_match.rule")),
-        "verdict": F.coalesce(F.col("_site.verdict"), F.col("_match.verdict"), F.lit("allow")),
+        "rule": F.col(f"{site_of}.rule"),
+        "pattern": F.when(F.col(site_of).isNull(), F.col(f"{match_of}.rule")),
+        "verdict": F.coalesce(F.col(f"{site_of}.verdict"), F.col(f"{match_of}.verdict"), F.lit("allow")),
     }
-    key = free_name(pages, "_page_url")
-    judged = pages.withColumn(key, F.col(url)).join(found, F.col(key) == F.col("_url"), "left")
     return judged.select(*[c for c in pages.columns if c.lower() not in new], *[v.alias(k) for k, v in new.items()])
