@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import factory
 from factory import A
-from tidewatch.operators import context, metrics, redact
+from tidewatch.operators import context, history, metrics, redact
 from tidewatch.plans import investigation
 from tidewatch.schemas import EC2, LOAD_BALANCER
 from tidewatch.sources import readers, writers
@@ -88,7 +88,7 @@ def test_archives(spark, tmp_path):
     put(tmp_path / "01-02-2024_10-00-00" / "raw" / "x.json", {})
     rows = readers.read_archives(spark, str(tmp_path))
     assert {(r["run_id"], r["resource_id"], r["severity"]) for r in rows.collect()} == {("31-01-2024_10-00-00", "a", "LOW"), ("31-01-2024_10-00-00", "b", None)}
-    assert [r["resource_id"] for r in readers.archive_severities(rows).collect()] == ["a"]
+    assert {(r["resource_id"], r["severity"]) for r in readers.archive_severities(rows).collect()} == {("a", "LOW"), ("b", None)}
 
 
 def test_stored_contexts_read_like_built_ones(spark, tmp_path):
@@ -180,11 +180,16 @@ def test_run_and_feed(spark, tmp_path):
     archived = out["reports"].select(F.lit(FIXED).alias("archive_ts"), "resource_id", F.upper("severity").alias("severity"))
     inputs = dict(runs=runs, reports=out["reports"], contexts=out["contexts"], archived=archived)
     investigation.export_feed(base, 1, **inputs)
-    first = {(r["resource_type"], r["resource_id"]): r for r in writers.read_published(spark, base, "reports").collect()}
+    path = writers.published_path(base, 1, "reports")
+    first = {(r["resource_type"], r["report_id"]): r for r in readers.read_feed_table(spark, path, "reports").collect()}
+    assert history.get_report(readers.read_feed_table(spark, path, "reports"), A).count() == 1
+    sections = {r["section"] for r in readers.read_feed_table(spark, writers.published_path(base, 1, "analytics"), "analytics").collect()}
+    assert sections == {"incident_trend", "severity_trend", "resource_distribution", "execution_time_trend"}
     # A load balancer and a scaling group share their name, and stay apart.
     assert len(first) == 3 and all(r["is_new"] for r in first.values())
-    assert first[(EC2, A)]["ai_confidence"] == 0.9 and first[(EC2, A)]["run_id"] == run["run_id"]
-    assert first[(EC2, A)]["instance_telemetry"]["state"] == " Running "
+    one = first[("EC2 Instance", A)]
+    assert one["ai_confidence"] == 0.9 and one["run_id"] == run["run_id"] and one["instance_id"] == A
+    assert one["telemetry"]["state"] == " Running " and one["telemetry"]["request_count"] is None
     kpis = {r["kpi"]: r["value"] for r in writers.read_published(spark, base, "summary").collect()}
     assert kpis == {"total_resources": 7.0, "critical_issues": 0.0, "high_severity": 2.0, "investigations": 3.0, "success_rate": 100.0}
     health = writers.read_published(spark, base, "infrastructure_health").collect()[0]

@@ -217,6 +217,11 @@ def enrich_reports(reports: DataFrame, contexts: DataFrame, keys: list[str] = ["
     """
     extra = [c for c in contexts.columns if c not in ("resource_id", "resource_type")]
     side = contexts.select(*keys, C.type_label(F.col("resource_type")).alias("type_label"), *extra)
+    if "resource_type" not in keys:
+        # An id that two types share has two contexts; a report without a type takes the first by label.
+        members = [c for c in side.columns if c not in keys]
+        first = side.groupBy(*keys).agg(F.min_by(F.struct(*members), "type_label").alias("_first"))
+        side = first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in members])
     return reports.drop("type_label").join(side, keys, "left")
 
 
@@ -230,6 +235,49 @@ def report_feed(
     return diff_severity(linked, previous, keys)
 
 
+def contract_reports(rows: DataFrame) -> DataFrame:
+    """Rows of ``report_feed`` in the columns of the published table.
+
+    ``telemetry`` has the members of all types; those of other types are null, and so is all of it for a
+    resource without a context. As JSON, which leaves nulls out, it is the object of the contract.
+    """
+    from tidewatch.schemas import FEED_TABLES, struct_of
+
+    want = struct_of(FEED_TABLES["reports"])
+    by_type = ("instance_telemetry", "lb_telemetry", "asg_telemetry")
+    member = {f.name: F.col(c)[f.name] for c in by_type for f in rows.schema[c].dataType}
+    shape = {f.name: f.dataType for f in want["telemetry"].dataType}
+    telemetry = F.struct(*[member[n].cast(kind).alias(n) for n, kind in shape.items()])
+    known = F.col(by_type[0]).isNotNull() | F.col(by_type[1]).isNotNull() | F.col(by_type[2]).isNotNull()
+    named = rows.withColumns(
+        {"report_id": F.col("resource_id"), "instance_id": F.col("resource_id"), "resource_type": F.col("type_label"), "telemetry": F.when(known, telemetry)}
+    )
+    return named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want])
+
+
+def analytics(incidents: DataFrame, severities: DataFrame, distribution: DataFrame, times: DataFrame) -> DataFrame:
+    """One table of the four trends: ``section`` names the trend, ``position`` orders its rows.
+
+    A trend has a row per run, archive or type, so each is numbered by a window over one small section.
+    """
+    def numbered(rows: DataFrame, section: str, order: list[Column]) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("section").orderBy(*order)) - 1
+        return rows.withColumn("section", F.lit(section)).withColumn("position", at.cast("bigint"))
+
+    first = F.col("start_ts").asc_nulls_first()
+    day = C.trend_label(F.col("archive_ts"))
+    parts = [
+        numbered(incidents, "incident_trend", [first, F.col("run_id")]).select("section", "position", "date", "count"),
+        numbered(severities.withColumn("date", day), "severity_trend", [F.col("archive_ts")]).select("section", "position", "date", *SEVERITIES),
+        numbered(distribution, "resource_distribution", [F.col("count").desc(), F.col("type")]).select("section", "position", "type", "count"),
+        numbered(times, "execution_time_trend", [first, F.col("run_id")]).select("section", "position", "date", "avg_seconds"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 # --- trends -----------------------------------------------------------------------
 
 
@@ -257,10 +305,11 @@ def top_affected(archived: DataFrame, contexts: DataFrame, k: int = 5, min_sever
         k,
     )
     kinds = contexts.select("resource_id", C.type_label(F.col("resource_type")).alias("type"))
-    # ``ranked`` has at most k rows, and so has what the semi join leaves of the contexts.
+    # ``ranked`` has at most k rows, and so has what is left of the contexts: an id that types share shows them all.
     few = kinds.join(F.broadcast(ranked.select("resource_id")), "resource_id", "left_semi")
+    few = few.groupBy("resource_id").agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("type"))
     return ranked.join(F.broadcast(few), "resource_id", "left").select(
-        "resource_id", F.coalesce("type", F.lit(C.DASH)).alias("type"), "incidents"
+        "resource_id", F.coalesce(F.nullif("type", F.lit("")), F.lit(C.DASH)).alias("type"), "incidents"
     )
 
 

@@ -117,20 +117,23 @@ def feed_tables(runs: DataFrame, reports: DataFrame, contexts: DataFrame, archiv
     current = feed.report_columns(reports)
     archives = archived.select("archive_ts").distinct()
     scored = archived.filter(F.col("severity").isNotNull())
+    trend, shares = feed.severity_trend(scored, archives), feed.resource_distribution(typed)
+    incidents, times = feed.investigation_trend(runs), feed.execution_time_trend(runs)
     return {
         "summary": kpi_table(feed.kpi_row(runs, current)),
         "infrastructure_health": feed.infrastructure_health(runs, current),
         "latest_execution": feed.latest_execution(runs),
         "collectors": feed.collector_health(runs),
         "executions": feed.newest_first(feed.executions(runs), "start_time", "run_id"),
-        "reports": feed.newest_first(all_reports, "detected_at", "resource_id"),
+        "reports": feed.newest_first(feed.contract_reports(all_reports), "detected_at", "report_id"),
         "recent": feed.recent(all_reports),
-        "severity_trend": feed.severity_trend(scored, archives),
+        "severity_trend": trend,
         "top_affected": feed.top_affected(scored, typed),
-        "resource_distribution": feed.resource_distribution(typed),
+        "resource_distribution": shares,
         "resources": feed.inventory(typed),
-        "investigation_trend": feed.investigation_trend(runs),
-        "execution_time_trend": feed.execution_time_trend(runs),
+        "investigation_trend": incidents,
+        "execution_time_trend": times,
+        "analytics": feed.analytics(incidents, trend, shares, times),
         "daily_runs": feed.daily_runs(runs),
         "state": feed.state_of(reports, keys),
     }

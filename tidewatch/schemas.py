@@ -229,10 +229,17 @@ FEED_TABLES = {
     "reports": (
         "report_id string, run_id string, instance_id string, resource_type string, severity string, summary string, "
         "root_cause string, evidence array<string>, recommendations array<string>, detected_at string, "
-        "ai_confidence double, is_new boolean, severity_changed_from string"
+        "ai_confidence double, is_new boolean, severity_changed_from string, "
+        "telemetry struct<state:string,cpu:double,memory:double,disk:string,network_in:double,network_out:double,status_check:string,"
+        "request_count:double,target_response_time:double,http_4xx:double,http_5xx:double,healthy_targets:double,unhealthy_targets:double,"
+        "desired_capacity:double,in_service_instances:double,pending_instances:double,standby_instances:int,"
+        "scaling_activities:array<struct<status:string,description:string,start_time:string>>>"
     ),
     "resources": "type string, id string, label string",
-    "analytics": "section string, date string, type string, count bigint, avg_seconds double",
+    "analytics": (
+        "section string, position bigint, date string, type string, count bigint, avg_seconds double, "
+        "critical bigint, high bigint, medium bigint, low bigint"
+    ),
 }
 
 

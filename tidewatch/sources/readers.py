@@ -206,7 +206,7 @@ def with_run_times(runs: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(archive_ts, run_id, resource_id, report fields) of ``<folder>/<run>/reports/*.json``.
 
-    Folders whose name is no run id are left out, and so are reports without a severity.
+    Folders whose name is no run id are left out.
     """
     docs = read_json(spark, f"{folder.rstrip('/')}/*/reports/*.json", REPORT, with_file=True)
     run = F.url_decode(F.element_at(F.split("_path", "/"), -3))
@@ -221,7 +221,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_severities(archived: DataFrame) -> DataFrame:
-    return archived.filter(F.coalesce("severity", F.lit("")) != "").select("archive_ts", "resource_id", "severity")
+    """(archive_ts, resource_id, severity); an unrated report has a null severity and still shows its archive."""
+    return archived.select("archive_ts", "resource_id", F.nullif("severity", F.lit("")).alias("severity"))
 
 
 def read_feed_table(spark: SparkSession, path: str, name: str) -> DataFrame:
