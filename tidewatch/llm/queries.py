@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import corpus_pipeline
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,20 +103,13 @@ def op9_quality_rules(spark, sf_dir):
     )
 
 
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids])
-
-
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = multilingual_vocabulary()
-    digest = F.pandas_udf(ids_sha256, "string")
-    both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, ["doc_id"]), vocabulary)
-    return both.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    both = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, ["doc_id"], binary=True), vocabulary)
+    n_tokens = (F.octet_length("token_ids") / 4).cast("long")
+    return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 # Characters of text after which a block is closed. A block's word list and sequences are held by one task.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 # Word pages per shuffle partition: more pages mean smaller groups.
-PAGES = 32
+PAGES = 8
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -37,6 +38,21 @@ def pack(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def pack_each(values: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """``pack`` of each stretch of ``values``, done at once."""
+    data = pack(values)
+    size = 1 + sum((values >= 1 << 7 * i).astype(np.int64) for i in range(1, 6))
+    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(lengths)))]
+    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def unpack_each(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all parts, one part after another, and how many each part has."""
+    data = b"".join(parts)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) < 128)))[np.cumsum([0, *map(len, parts)])]
+    return unpack(data), np.diff(ends)
+
+
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(raw < 128)
@@ -48,34 +64,20 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-class Cutter:
-    """Turns a text into the numbers of its words; new words are added to ``words``."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.words: list[str] = []
-
-    def number_of(self, word: str) -> int:
-        n = self.number.get(word)
-        if n is None:
-            n = self.number[word] = len(self.words)
-            self.words.append(word)
-        return n
-
-    def __call__(self, text: str) -> np.ndarray:
-        raise NotImplementedError
+# A cutter turns texts into numbers of words: those of all texts in a row, how many each text has, and the words.
+Cutter = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[str]]]
 
 
 @dataclass
 class Block:
     number: int
-    rows: list[pa.RecordBatch]
+    rows: pa.Table
     sequences: list[bytes]
     words: list[str]
     counts: np.ndarray
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, cutter: Callable[[], Cutter], counted: str | None = None) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, cut: Cutter, counted: str | None = None) -> Iterator[Block]:
     """One partition's blocks. ``counts`` are those in rows whose column ``counted`` is true (all without it).
 
     Words are numbered by falling frequency, so that frequent ones take one byte. The block's number holds a
@@ -83,32 +85,31 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, cutter: Callable[[], Cu
     not match those made before, and the job would stop instead of mixing them.
     """
     part, n_blocks = TaskContext.get().partitionId(), 0
-    cut, rows, numbers, size = cutter(), [], [], 0
+    rows, held = [], 0
 
     def close() -> Block:
-        none = np.empty(0, np.int64)
-        seen = np.bincount(np.concatenate([none, *numbers]), minlength=len(cut.words))
-        order = np.argsort(-seen, kind="stable")
+        table = pa.Table.from_batches(rows)
+        numbers, lengths, words = cut(table.column(text).fill_null("").combine_chunks())
+        order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        if counted:
-            own = [n for n, r in zip(numbers, rows) if r.column(counted)[0].as_py()]
-            seen = np.bincount(np.concatenate([none, *own]), minlength=len(cut.words))
-        words, packed, mark = [cut.words[i] for i in order], [pack(rank[n]) for n in numbers], 0
-        for p in packed:
-            mark = zlib.crc32(p, mark)
-        return Block((part << 44) | (n_blocks << 32) | zlib.crc32("\0".join(words).encode(), mark), rows, packed, words, seen[order])
+        own = np.repeat(table.column(counted).to_numpy(zero_copy_only=False), lengths) if counted else slice(None)
+        counts = np.bincount(numbers[own], minlength=len(words))
+        words, packed = [words[i] for i in order.tolist()], pack_each(rank[numbers], lengths)
+        mark = zlib.crc32(b"".join(packed), zlib.crc32("\0".join(words).encode()))
+        return Block((part << 44) | (n_blocks << 32) | mark, table, packed, words, counts[order])
 
     for batch in batches:
-        texts = batch.column(text)
-        for i in range(batch.num_rows):
-            t = texts[i].as_py() or ""
-            rows.append(batch.slice(i, 1))
-            numbers.append(cut(t))
-            size += len(t)
-            if size >= BLOCK_CHARS:
+        sizes, at = pc.utf8_length(batch.column(text).fill_null("")).to_numpy(zero_copy_only=False), 0
+        while at < batch.num_rows:
+            ends = np.cumsum(sizes[at:])
+            take = min(int(np.searchsorted(ends, BLOCK_CHARS - held)) + 1, len(ends))
+            rows.append(batch.slice(at, take))
+            at, held = at + take, held + int(ends[take - 1])
+            if held >= BLOCK_CHARS:
                 yield close()
-                cut, rows, numbers, size, n_blocks = cutter(), [], [], 0, n_blocks + 1
+                rows, held, n_blocks = [], 0, n_blocks + 1
+                pa.default_memory_pool().release_unused()
     if rows:
         yield close()
 
@@ -118,25 +119,25 @@ def schema_of(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in columns)
 
 
-def text_sequences(source: DataFrame, text: str, keep: list[str], cutter: Callable[[], Cutter]) -> DataFrame:
+def text_sequences(source: DataFrame, text: str, keep: list[str], cut: Cutter) -> DataFrame:
     """``keep``, _block, _sequence: a row per text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text, cutter):
-            kept = pa.Table.from_batches(b.rows).select(keep).combine_chunks()
+        for b in blocks(batches, text, cut):
+            kept = b.rows.select(keep).combine_chunks()
             out = kept.append_column("_block", pa.array([b.number] * len(b.sequences), pa.int64())).append_column("_sequence", pa.array(b.sequences, pa.binary()))
             yield from out.to_batches(max_chunksize=2000)
 
     return source.mapInArrow(task, f"{schema_of(source, keep)}_block long, _sequence binary")
 
 
-def word_pages(source: DataFrame, text: str, cutter: Callable[[], Cutter], counted: str | None = None) -> DataFrame:
+def word_pages(source: DataFrame, text: str, cut: Cutter, counted: str | None = None) -> DataFrame:
     """_page, _block, _ranks (differences), _sizes, _words (bytes, compressed), _counts: a row per page and block."""
     n_pages = PAGES * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ("_page", "_block", "_ranks", "_sizes", "_words", "_counts")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text, cutter, counted):
+        for b in blocks(batches, text, cut, counted):
             raw = [w.encode() for w in b.words]
             page = np.fromiter((zlib.crc32(w) % n_pages for w in raw), np.int64, len(raw))
             order = np.argsort(page, kind="stable")
@@ -185,11 +186,23 @@ class Lists:
             more[rank] = column(also)
         return cls(start, size, column(flat), more)
 
-    def ranks(self, sequence: bytes) -> np.ndarray:
-        r = unpack(sequence)
+    def chunks(self, sequences: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ranks and lengths of the sequences, some at a time: of about ``most`` bytes, and one at least."""
+        held, size = [], 0
+        for s in sequences:
+            held.append(s)
+            size += len(s)
+            if size >= most:
+                yield self._checked(held)
+                held, size = [], 0
+        if held:
+            yield self._checked(held)
+
+    def _checked(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        r, n = unpack_each(sequences)
         if len(r) and (r.max() >= len(self.size) or (self.size[r] < 0).any()):
             raise RuntimeError("a block was read with other rows the second time; store the documents first")
-        return r
+        return r, n
 
     def joined(self, ranks: np.ndarray) -> np.ndarray:
         """The lists of these words, one after another."""
