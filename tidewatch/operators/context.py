@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import bounded
-from tidewatch.schemas import EC2, LOAD_BALANCER, SCALING_GROUP
+from tidewatch.schemas import COLLECTOR_COUNT, EC2, GENERATED_BY, LOAD_BALANCER, SCALING_GROUP
 
 KEY = ["resource_type", "resource_id"]
 
@@ -183,7 +183,7 @@ def build_contexts(
     return ec2.unionByName(lbs, allowMissingColumns=True).unionByName(asgs, allowMissingColumns=True)
 
 
-def envelope(contexts: DataFrame, generated_by: str = "tidewatch", collector_count: int = 4) -> DataFrame:
+def envelope(contexts: DataFrame, generated_by: str = GENERATED_BY, collector_count: int = COLLECTOR_COUNT) -> DataFrame:
     """Stored document shape: identity, origin and the context itself."""
     members = [c for c in ("instance", "load_balancer", "scaling_group") if c in contexts.columns]
     return contexts.select(

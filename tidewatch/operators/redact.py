@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import render as R
-from tidewatch.schemas import EC2, KEPT_ASG_METRICS, KEPT_INSTANCE_METRICS, KEPT_LB_METRICS, LOAD_BALANCER, SCALING_GROUP
+from tidewatch.schemas import COLLECTOR_COUNT, EC2, GENERATED_BY, KEPT_ASG_METRICS, KEPT_INSTANCE_METRICS, KEPT_LB_METRICS, LOAD_BALANCER, SCALING_GROUP
 
 INSTRUCTIONS = (
     "Review one infrastructure resource and answer with one JSON object holding severity, confidence, "
@@ -177,8 +177,11 @@ def _metric_members(metrics: Column, names: dict[str, str]) -> list[Column]:
     return [R.member(n, R.payload(F.try_element_at(metrics, F.lit(n)))) for n in names]
 
 
-def document_text(kind: str) -> Column:
-    """Compact JSON of one redacted row, by resource type."""
+def document_text(kind: str, generated_by: str = GENERATED_BY, collector_count: int = COLLECTOR_COUNT) -> Column:
+    """Compact JSON of one redacted row, by resource type: the stored document with its context redacted.
+
+    Other scripts stand as they are, not as escapes, and large doubles as Java prints them.
+    """
     if kind == LOAD_BALANCER:
         def group(tg):
             return R.obj(
@@ -207,6 +210,7 @@ def document_text(kind: str) -> Column:
     else:
         snapshot = R.obj(R.member("state", R.value(F.col("state"))), *_metric_members(F.col("metrics"), KEPT_INSTANCE_METRICS))
         body = R.obj(
+            R.member("resource_type", R.value(F.col("resource_type"))),
             R.member("cloudwatch", F.when(F.col("has_snapshot"), snapshot).otherwise("null")),
             R.member("alb", R.value(F.col("lb"))),
             R.member("autoscaling", R.value(F.col("asg"))),
@@ -215,6 +219,8 @@ def document_text(kind: str) -> Column:
     return R.obj(
         R.member("instance_id", R.value(F.col("resource_id"))),
         R.member("resource_type", R.value(F.col("resource_type"))),
+        R.member("generated_by", R.value(F.lit(generated_by))),
+        R.member("collector_count", F.lit(str(collector_count))),
         R.member("context", body),
     )
 

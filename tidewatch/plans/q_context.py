@@ -286,13 +286,13 @@ def redacted_scaling_groups(spark, sf_dir):
 @query(
     "document_text",
     f"""
-SELECT 'Load Balancer' AS resource_type, 'lb-' || o_orderkey AS resource_id, '{{"instance_id":"lb-' || o_orderkey || '","resource_type":"Load Balancer","context":{{"alb_name":"lb-' || o_orderkey
+SELECT 'Load Balancer' AS resource_type, 'lb-' || o_orderkey AS resource_id, '{{"instance_id":"lb-' || o_orderkey || '","resource_type":"Load Balancer","generated_by":"tidewatch","collector_count":4,"context":{{"alb_name":"lb-' || o_orderkey
   || '","state":"' || CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN ' Active_Impaired' ELSE 'failed' END || '","metrics":{{}},"target_groups":[{{"target_group_name":"' || o_orderpriority
   || '","healthy_hosts":' || CASE WHEN o_orderstatus = 'F' THEN '0.0' ELSE '1.0' END || ',"unhealthy_hosts":' || CASE WHEN o_orderstatus = 'F' THEN '1.0' ELSE 'null' END
   || ',"targets":[{{"instance_id":"' || {C_ORDER} || '","health":"' || CASE WHEN o_orderstatus = 'F' THEN 'unhealthy' ELSE 'healthy' END || '","reason":"' || o_orderpriority
   || '","description":""}}]}}]}}}}' AS text FROM orders
 UNION ALL
-SELECT 'Auto Scaling Group', s_name, '{{"instance_id":"' || s_name || '","resource_type":"Auto Scaling Group","context":{{"asg_name":"' || s_name || '","min_size":1,"max_size":' || (s_nationkey + 1)
+SELECT 'Auto Scaling Group', s_name, '{{"instance_id":"' || s_name || '","resource_type":"Auto Scaling Group","generated_by":"tidewatch","collector_count":4,"context":{{"asg_name":"' || s_name || '","min_size":1,"max_size":' || (s_nationkey + 1)
   || ',"desired_capacity":2,"health_check_type":"EC2","instances":[{{"instance_id":"' || {C_SUPP} || '","lifecycle_state":"InService","health_status":"Healthy"}},{{"instance_id":"' || {C_NATION}
   || '","lifecycle_state":" Standby","health_status":"Healthy"}}],"scaling_activities":[{{"status":"Successful","description":"' || s_name || '"}}]}}}}' FROM supplier""",
 )
@@ -307,7 +307,7 @@ def document_text(spark, sf_dir):
     "instance_document_text",
     f"""WITH {FLEET_SQL}, e AS (SELECT resource_id, event_name, min(ord) AS o, arg_min(error_code, ord) AS error_code FROM links GROUP BY ALL),
 n AS (SELECT resource_id, string_agg('{{"event_name":"' || event_name || '","service":"app","error_code":"' || error_code || '"}}', ',' ORDER BY o) AS events FROM e GROUP BY ALL)
-SELECT resource_id, '{{"instance_id":"' || resource_id || '","resource_type":"EC2","context":{{"cloudwatch":' || CASE WHEN s.resource_id IS NULL THEN 'null' ELSE '{{"state":' || coalesce('"' || s.state || '"', 'null')
+SELECT resource_id, '{{"instance_id":"' || resource_id || '","resource_type":"EC2","generated_by":"tidewatch","collector_count":4,"context":{{"resource_type":"EC2","cloudwatch":' || CASE WHEN s.resource_id IS NULL THEN 'null' ELSE '{{"state":' || coalesce('"' || s.state || '"', 'null')
   || CASE WHEN c_acctbal > 0 THEN ',"cpu":{{"U":"%",' || CASE WHEN c_acctbal > 5000 THEN '"TH":{{"V":80.0,"OP":"GT"}},' ELSE '' END || '"H":[["10:00",1.5],["10:05",' || c_nationkey || '.0]]}}' ELSE '' END
   || '}}' END || ',"alb":' || coalesce('{{"target_health":"' || t.health || '","failure_reason":"' || t.reason || '","failure_description":""}}', 'null')
   || ',"autoscaling":' || coalesce('{{"health_status":"Healthy","lifecycle_state":"' || m.lifecycle_state || '","instance_type":"m5.large"}}', 'null')

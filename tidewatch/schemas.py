@@ -218,6 +218,10 @@ ARCHIVED_REPORT = "archive_ts timestamp, resource_id string, severity string"
 REPORT_STATE = "resource_id string, severity string"
 PHASE_EVENT = "run_id string, phase string, percent int, current_resource string, ts timestamp"
 
+# Origin members of a stored context document.
+GENERATED_BY = "tidewatch"
+COLLECTOR_COUNT = 4
+
 FEED_TABLES = {
     "summary": "kpi string, value double, delta double, delta_label string",
     "collectors": "collector string, status string",
