@@ -118,6 +118,13 @@ def test_as_of_join_same_start_and_no_runs(spark):
     assert feed.as_of_join(facts, spark.createDataFrame([], schema), "ts", "start_ts", "run_id").collect()[0]["run_id"] is None
 
 
+def test_as_of_join_over_a_long_gap(spark):
+    facts = spark.createDataFrame([(1, at(2)), (2, dt.datetime(8999, 1, 1)), (3, dt.datetime(9000, 6, 1)), (4, None)], "id int, ts timestamp")
+    runs = spark.createDataFrame([("near", at(1)), ("far", dt.datetime(9000, 1, 1))], "run_id string, start_ts timestamp")
+    got = {r["id"]: r["run_id"] for r in feed.as_of_join(facts, runs, "ts", "start_ts", "run_id").collect()}
+    assert got == {1: "near", 2: "near", 3: "far", 4: None}
+
+
 def test_as_of_join_plan(spark, sf_dir):
     from tidewatch.plans.queries import QUERIES
 

@@ -136,16 +136,15 @@ def as_of_join(
 ) -> DataFrame:
     """``value`` of the last run that started at or before each fact; null before the first run.
 
-    Runs are cut at bucket borders into half-open intervals, each within one bucket, and a
-    carried interval stands for the run still current when a bucket begins. Facts then meet
-    them in an equi join on the bucket with a range residual; facts behind the last run all
-    look into the one bucket after it. Runs without a start are ignored; of several runs
-    with one start the greatest value counts.
-
-    Facts are read once. The only global window runs over one row per bucket that holds a
-    run, which the calendar bounds. The join carries no hint: a small interval table is
-    broadcast by its measured size, and otherwise a hot bucket of facts is split by the
-    adaptive skew join.
+    Runs are cut at bucket borders into half-open intervals, each within one bucket; a carried
+    interval stands for the run still current when a bucket begins. Only buckets that hold a run or
+    a fact are made, so a gap between two runs costs nothing, however long. Facts then meet the
+    intervals in an equi join on the bucket with a range residual. Runs without a start are
+    ignored; of several runs with one start the greatest value counts.
+
+    The only global window runs over one row per bucket, which the calendar bounds. The join carries
+    no hint: a small interval table is broadcast by its measured size, and otherwise a hot
+    bucket of facts is split by the adaptive skew join.
     """
     def bucket_of(c):
         return F.floor(F.unix_seconds(c) / bucket_seconds)
@@ -157,19 +156,19 @@ def as_of_join(
         .withColumn("_bucket", bucket_of("_start"))
     )
     per_bucket = starts.groupBy("_bucket").agg(F.max_by("_value", "_start").alias("_value"))
-    after = F.col("_bucket") + 1
-    following = F.coalesce(F.lead("_bucket").over(Window.orderBy("_bucket")), after)
-    carried = per_bucket.withColumn("_to", following).select(
-        F.explode(F.sequence(after, F.col("_to"))).alias("_bucket"), "_value"
-    ).select(
-        "_bucket", F.timestamp_seconds(F.col("_bucket") * bucket_seconds).alias("_start"), "_value", F.lit(0).alias("_own")
+    asked = facts.select(bucket_of(F.col(ts)).alias("_bucket")).where(F.col("_bucket").isNotNull()).distinct()
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = per_bucket.unionByName(asked, allowMissingColumns=True).groupBy("_bucket").agg(F.max("_value").alias("_value"))
+    carried = (
+        buckets.withColumn("_value", F.last("_value", ignorenulls=True).over(before))
+        .where(F.col("_value").isNotNull())
+        .select("_bucket", F.timestamp_seconds(F.col("_bucket") * bucket_seconds).alias("_start"), "_value", F.lit(0).alias("_own"))
     )
     pieces = starts.select("_bucket", "_start", "_value", F.lit(1).alias("_own")).unionByName(carried)
     intervals = pieces.withColumn(
         "_end", F.lead("_start").over(Window.partitionBy("_bucket").orderBy("_start", "_own"))
     ).filter(F.col("_end").isNull() | (F.col("_end") > F.col("_start"))).drop("_own")
-    last_bucket = starts.agg(F.max("_bucket") + 1).scalar()
-    left = facts.withColumn("_bucket", F.least(bucket_of(ts), last_bucket)).alias("f")
+    left = facts.withColumn("_bucket", bucket_of(F.col(ts))).alias("f")
     right = intervals.withColumnRenamed("_bucket", "_rb")
     hit = (
         (F.col("f._bucket") == F.col("_rb"))
