@@ -54,7 +54,7 @@ def test_number_text(spark, raw, want):
 
 
 @pytest.mark.parametrize(
-    "seconds, want", [(-5, "just now"), (59, "just now"), (60, "1 min ago"), (3600, "1 hr ago"), (86400, "1d ago"), (29 * 86400, "29d ago"), (31 * 86400, "Dec 01, 2023")],
+    "seconds, want", [(-5, "just now"), (59, "just now"), (59.5, "just now"), (60, "1 min ago"), (3600, "1 hr ago"), (86400, "1d ago"), (29 * 86400, "29d ago"), (31 * 86400, "Dec 01, 2023")],
 )
 def test_age_text(spark, seconds, want):
     now = at(1)

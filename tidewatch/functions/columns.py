@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators. All stay inside whole-stage codegen."""
+"""Column expressions shared by the operators, all of built-in functions."""
 
 from __future__ import annotations
 

@@ -255,21 +255,18 @@ def contract_reports(rows: DataFrame) -> DataFrame:
 
 
 def analytics(incidents: DataFrame, severities: DataFrame, distribution: DataFrame, times: DataFrame) -> DataFrame:
-    """One table of the four trends: ``section`` names the trend, ``position`` orders its rows.
+    """One table of the four trends. ``section`` names the trend; ``at`` (then ``run_id``) orders its points.
 
-    A trend has a row per run, archive or type, so each is numbered by a window over one small section.
+    The distribution is ordered by its count. Rows stay unordered here, as there is one per run.
     """
-    def numbered(rows: DataFrame, section: str, order: list[Column]) -> DataFrame:
-        at = F.row_number().over(Window.partitionBy("section").orderBy(*order)) - 1
-        return rows.withColumn("section", F.lit(section)).withColumn("position", at.cast("bigint"))
-
-    first = F.col("start_ts").asc_nulls_first()
-    day = C.trend_label(F.col("archive_ts"))
+    at = F.col("start_ts").alias("at")
     parts = [
-        numbered(incidents, "incident_trend", [first, F.col("run_id")]).select("section", "position", "date", "count"),
-        numbered(severities.withColumn("date", day), "severity_trend", [F.col("archive_ts")]).select("section", "position", "date", *SEVERITIES),
-        numbered(distribution, "resource_distribution", [F.col("count").desc(), F.col("type")]).select("section", "position", "type", "count"),
-        numbered(times, "execution_time_trend", [first, F.col("run_id")]).select("section", "position", "date", "avg_seconds"),
+        incidents.select(F.lit("incident_trend").alias("section"), at, "run_id", "date", "count"),
+        severities.select(
+            F.lit("severity_trend").alias("section"), F.col("archive_ts").alias("at"), C.trend_label(F.col("archive_ts")).alias("date"), *SEVERITIES
+        ),
+        distribution.select(F.lit("resource_distribution").alias("section"), "type", "count"),
+        times.select(F.lit("execution_time_trend").alias("section"), at, "run_id", "date", "avg_seconds"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -64,7 +64,7 @@ def datapoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> dt.datetime:
-    """Newest event time: one value, answered from the parquet footers."""
+    """Newest event time, from a scan of that column; a job is given this value."""
     return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 

@@ -250,7 +250,7 @@ def state_snapshot(spark, sf_dir):
 
 @query(
     "report_feed",
-    f"""WITH {REPORTS_SQL}, {PREVIOUS_SQL}, {TYPES_SQL}, starts AS (SELECT o_orderdate AS start_ts, max(o_orderkey) AS run_id FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+    f"""WITH {REPORTS_SQL}, {PREVIOUS_SQL}, {TYPES_SQL}, starts AS (SELECT o_orderdate AS start_ts, max(o_orderkey) AS run_id FROM orders GROUP BY ALL),
 linked AS (SELECT r.*, s.run_id FROM reports r ASOF LEFT JOIN starts s ON r.detected_at >= s.start_ts)
 SELECT l.resource_id, l.severity, l.summary, strftime(l.detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at, CASE WHEN confidence <= 1 THEN confidence WHEN confidence <= 100 THEN confidence / 100 ELSE 1.0 END AS ai_confidence,
   k.type AS type_label, l.run_id, p.severity IS NULL AS is_new,
@@ -260,8 +260,7 @@ FROM linked l LEFT JOIN prev p USING (resource_id) LEFT JOIN kinds k USING (reso
 def report_feed(spark, sf_dir):
     empty = F.array().cast("array<string>")
     reports = A.current_reports(spark, sf_dir).withColumns({"evidence": empty, "recommendations": empty})
-    urgent = A.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    runs = urgent.select(F.col("o_orderkey").alias("run_id"), A.utc("o_orderdate").alias("start_ts"))
+    runs = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), A.utc("o_orderdate").alias("start_ts"))
     rows = feed.report_feed(reports, customer_types(spark, sf_dir), runs, _previous_state(spark, sf_dir))
     return rows.select(
         "resource_id", "severity", "summary", A.ts_text("detected_at").alias("detected_at"), "ai_confidence", "type_label", "run_id",
@@ -378,3 +377,28 @@ def tree_flat(spark, sf_dir):
         .select(F.col("r_name").alias("lb"), F.col("n_name").alias("target_group"), F.col("c_name").alias("instance_id"), severity.alias("severity"))
     )
     return feed.resource_tree(members)
+
+
+@query(
+    "feed_analytics",
+    f"""WITH {RUNS_SQL}, {ARCHIVES_SQL}, {TYPES_SQL}, months AS (SELECT DISTINCT archive_ts FROM archived)
+SELECT 'incident_trend' AS section, run_id AS item, CAST(NULL AS BIGINT) AS count FROM runs
+UNION ALL SELECT 'execution_time_trend', run_id, NULL FROM runs
+UNION ALL SELECT 'severity_trend', strftime(archive_ts, '%Y-%m-%d'), NULL FROM months
+UNION ALL SELECT 'resource_distribution', coalesce(type, 'Unknown'), count(*) FROM kinds GROUP BY ALL""",
+)
+def feed_analytics(spark, sf_dir):
+    """The four trends published as one table and read back by its contract."""
+    from tidewatch.session import scratch_path
+    from tidewatch.sources import readers, writers
+
+    runs = A.runs(spark, sf_dir).withColumn("reports_generated", F.lit(0).cast("bigint"))
+    archived = A.archived_reports(spark, sf_dir)
+    trend = feed.severity_trend(archived, archived.select("archive_ts").distinct())
+    parts = (feed.investigation_trend(runs), trend, feed.resource_distribution(customer_types(spark, sf_dir)), feed.execution_time_trend(runs))
+    base = scratch_path(spark, "analytics")
+    writers.publish({"analytics": feed.analytics(*parts)}, base, 1)
+    rows = readers.read_feed_table(spark, writers.published_path(base, 1, "analytics"), "analytics")
+    item = F.when(F.col("section") == "severity_trend", F.date_format("at", "yyyy-MM-dd")).otherwise(F.coalesce("run_id", "type"))
+    count = F.when(F.col("section") == "resource_distribution", F.col("count"))
+    return rows.select("section", item.alias("item"), count.alias("count"))

@@ -10,11 +10,6 @@ from tidewatch.plans.registry import query
 from tidewatch.schemas import RUN_PHASES
 
 
-def executions(spark, sf_dir):
-    runs = A.runs(spark, sf_dir)
-    return feed.executions(runs).join(runs.select("run_id", "type", "start_ts"), "run_id")
-
-
 def typed_executions(spark, sf_dir):
     """Execution columns that the list filters read, without the join to the other ones."""
     return A.runs(spark, sf_dir).select("run_id", "type", C.run_status_label(F.col("status")).alias("status"), C.iso_display(F.col("start_ts")).alias("start_time"))

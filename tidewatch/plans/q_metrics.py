@@ -142,12 +142,12 @@ def metric_payload_map(spark, sf_dir):
     f"""
 WITH {BINS_SQL}, l AS (SELECT resource_id, metric, round(arg_max(value, ts), 2) AS v FROM bins GROUP BY ALL)
 SELECT resource_id, max(CASE metric WHEN 'click' THEN v END) AS click, max(CASE metric WHEN 'error' THEN v END) AS error,
-  max(CASE metric WHEN 'purchase' THEN v END) AS purchase, max(CASE metric WHEN 'view' THEN v END) AS view FROM l GROUP BY ALL""",
+  max(CASE metric WHEN 'purchase' THEN v END) AS purchase, max(CASE metric WHEN 'signup' THEN v END) AS signup, max(CASE metric WHEN 'view' THEN v END) AS view FROM l GROUP BY ALL""",
 )
 def snapshot_pivot(spark, sf_dir):
     keys = ["resource_id", "metric"]
     binned = metrics.period_statistic(A.datapoints(spark, sf_dir), keys, statistic=F.lit("Sum"))
-    return metrics.snapshot_pivot(metrics.latest_value(binned, keys), "resource_id", ["click", "error", "purchase", "view"])
+    return metrics.snapshot_pivot(metrics.latest_value(binned, keys), "resource_id", ["click", "error", "purchase", "signup", "view"])
 
 
 @query(

@@ -214,9 +214,6 @@ CONTEXT = (
     "scaling_activities:array<struct<status:string,description:string,start_time:string>>,"
     f"MetricTrends:{TRENDS_JSON}>"
 )
-ARCHIVED_REPORT = "archive_ts timestamp, resource_id string, severity string"
-REPORT_STATE = "resource_id string, severity string"
-PHASE_EVENT = "run_id string, phase string, percent int, current_resource string, ts timestamp"
 
 # Origin members of a stored context document.
 GENERATED_BY = "tidewatch"
@@ -241,7 +238,7 @@ FEED_TABLES = {
     ),
     "resources": "type string, id string, label string",
     "analytics": (
-        "section string, position bigint, date string, type string, count bigint, avg_seconds double, "
+        "section string, at timestamp, run_id string, date string, type string, count bigint, avg_seconds double, "
         "critical bigint, high bigint, medium bigint, low bigint"
     ),
 }

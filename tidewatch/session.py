@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
     Where the setting is absent a local temporary folder is used, but only for a
-    local master: on a cluster that folder would be lost together with its executor.
+    local master: on a cluster that folder would be lost together with its executor. It goes
+    when the driver's Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     chosen = tempfile.mkdtemp(prefix="tidewatch-")
+    atexit.register(shutil.rmtree, chosen, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen
 
