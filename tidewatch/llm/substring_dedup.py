@@ -117,8 +117,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     runs = source.mapInArrow(_runs, f"_id {kind}, _tie int, _hash long, _from int, _to int")
     place = F.struct("_id", "_tie", "_from")
     # Aggregate and join instead of a window: combined before its shuffle, and splittable where one passage is everywhere.
-    firsts = runs.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
-    again = runs.join(firsts, "_hash").where(~place.eqNullSafe(F.col("_first")))
+    # The join is on the complement of the hash: by the hash itself it would have to take the aggregate's partitions as
+    # they are, and adaptive execution could not split a hot one.
+    key = F.bitwise_not("_hash").alias("_key")
+    firsts = runs.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(key, "_first")
+    again = runs.select("_id", "_tie", "_from", "_to", key).join(firsts, "_key").where(~place.eqNullSafe(F.col("_first")))
     return again.groupBy("_id", "_tie").agg(F.collect_set(F.struct("_from", "_to")).alias("spans"), F.collect_set("_first._id").alias("first_ids"))
 
 
