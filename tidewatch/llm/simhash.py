@@ -268,6 +268,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     rows that repeat id and text any one).
     """
     _, classes = _classes(_marked(docs, id_col, text, width))
+    return keep_firsts(docs, classes, id_col, text)
+
+
+def keep_firsts(docs: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are the ``first`` of a class, one for each."""
     kept = classes.select(F.col("first._id").alias("_id"), F.col("first._tie").alias("_tie"))
     a, b, c = (free_name(docs, n) for n in ("_key", "_no_key", "_tie"))
     left = docs.withColumn(c, text_tie(F.col(text))).withColumns({a: F.xxhash64(id_col), b: F.col(id_col).isNull()})
