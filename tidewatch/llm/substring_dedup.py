@@ -1,7 +1,10 @@
 """Substring dedup on sliding sentence spans.
 
-A text is cut into sentences, and long sentences at words that their own letters choose, so that equal
-passages are cut alike wherever they stand. Every run of at least three consecutive pieces and fifteen
+A text is cut into sentences, and long sentences at words that the words around choose (winnowing), so that
+equal passages are cut alike wherever they stand: of any window of twelve words in a long sentence the last
+one with the least checksum ends a piece. No piece is longer than that, and two texts that share fifty words
+lose at most twelve of them at each end to pieces that differ, so at least three equal pieces and fifteen words
+are left, which is a run. Every run of at least three consecutive pieces and fifteen
 words is hashed, the hashes are joined over all texts, and the pieces that any run other than the
 first of its hash covers are removed.
 """
@@ -22,14 +25,31 @@ from tidewatch.llm.common import free_name
 
 RUN_PIECES = 3
 RUN_WORDS = 15
-# Sentences above this many words are cut after each word whose checksum leaves no rest by CUT_EVERY.
+# Sentences above this many words are cut after the last least word of each window of as many words.
 LONG_SENTENCE = 12
-CUT_EVERY = 8
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+def cuts_of(words: list[str]) -> list[int]:
+    """Indexes of the words that have the least checksum of a window, of equal ones the last, in order.
+
+    At most LONG_SENTENCE apart, and settled by the words of the window alone.
+    """
+    marks, out, best = [zlib.crc32(w.encode()) for w in words], [], -1
+    for end in range(LONG_SENTENCE, len(marks) + 1):
+        start = end - LONG_SENTENCE
+        if best < start:
+            best = min(range(start, end), key=lambda i: (marks[i], -i))
+        elif marks[end - 1] <= marks[best]:
+            best = end - 1
+        else:
+            continue
+        out.append(best)
+    return out
+
+
 def pieces_of(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised text, words) of all pieces; together they are the whole text.
 
@@ -43,15 +63,14 @@ def pieces_of(text: str) -> list[tuple[int, int, str, int]]:
         if len(words) <= LONG_SENTENCE:
             out.append((at, end, " ".join(words).lower(), len(words)))
         else:
-            first, own = at, []
-            for m in _WORD.finditer(text, at, end):
-                word = m.group().rstrip().lower()
-                own.append(word)
-                if zlib.crc32(word.encode()) % CUT_EVERY == 0 or m.end() == end:
-                    out.append((first, m.end(), " ".join(own), len(own)))
-                    first, own = m.end(), []
-            if first < end:
-                out.append((first, end, " ".join(own), len(own)))
+            first, done = at, 0
+            found = list(_WORD.finditer(text, at, end))
+            own = [m.group().rstrip().lower() for m in found]
+            last = len(found) - 1
+            for i in [*(c for c in cuts_of(own) if c < last), last]:
+                stop = end if i == last else found[i].end()
+                out.append((first, stop, " ".join(own[done : i + 1]), i + 1 - done))
+                first, done = stop, i + 1
         at = end
     return out
 
