@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from llm_cases import PASSAGE
+from pyspark.sql import functions as F
 
 from tidewatch.llm import substring_dedup
 
@@ -43,3 +45,13 @@ def test_low_variety_passage_is_cut_in_spark(spark):
     docs = spark.createDataFrame([(1, f"First text begins so {body}and ends."), (2, f"Another one {body}goes on otherwise.")], "doc_id long, text string")
     removed = {r.doc_id: r.n_removed_words for r in substring_dedup.without_repeats(docs).collect()}
     assert removed[2] >= 50
+
+
+def test_texts_of_one_id_with_equal_32_bit_hashes_are_told_apart(spark):
+    own = F.when(F.col("id") % 2 == 0, F.concat(F.lit(PASSAGE + " "), "id")).otherwise(F.concat(F.lit("Clean words of number "), "id"))
+    texts = spark.range(400_000).select("id", own.alias("text")).withColumn("h", F.hash("text"))
+    even, odd = texts.where("id % 2 = 0").select("h", F.col("text").alias("x")), texts.where("id % 2 = 1").select("h", F.col("text").alias("y"))
+    pair = even.join(odd, "h").orderBy("x").first()
+    docs = spark.createDataFrame([(1, PASSAGE), (2, pair.x), (2, pair.y)], "doc_id long, text string")
+    got = {r.text: r.n_removed_words for r in substring_dedup.without_repeats(docs).collect()}
+    assert got[pair.y] == 0 and sum(n > 0 for n in got.values()) == 1

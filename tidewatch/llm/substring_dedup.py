@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import free_name
+from tidewatch.llm.common import free_name, text_tie
 
 RUN_PIECES = 3
 RUN_WORDS = 15
@@ -132,8 +132,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     all. Rows that repeat id and text are one document: what they share with each other is kept.
     """
     kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("_id"), F.hash(text).alias("_tie"), F.col(text).alias("_text"))
-    runs = source.mapInArrow(_runs, f"_id {kind}, _tie int, _hash long, _from int, _to int")
+    source = docs.select(F.col(id_col).alias("_id"), text_tie(F.col(text)).alias("_tie"), F.col(text).alias("_text"))
+    runs = source.mapInArrow(_runs, f"_id {kind}, _tie long, _hash long, _from int, _to int")
     place = F.struct("_id", "_tie", "_from")
     # Aggregate and join instead of a window: combined before its shuffle, and splittable where one passage is everywhere.
     # The join is on the complement of the hash: by the hash itself it would have to take the aggregate's partitions as
@@ -160,7 +160,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         out = [(None, 0) if r is None or t is None else cut_out(t, [(x["_from"], x["_to"]) for x in r]) for t, r in zip(texts, ranges)]
         return pd.DataFrame({"text": pd.Series([x for x, _ in out], dtype=object), "words": [n for _, n in out]})
 
-    joined = docs.withColumn(tie, F.hash(text)).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
+    joined = docs.withColumn(tie, text_tie(F.col(text))).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
     done = joined.withColumn(cut, shortened(F.when(F.col(spans_of).isNotNull(), F.col(text)), F.col(spans_of)))
     columns = [F.coalesce(F.col(f"{cut}.text"), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns if c not in (removed, first_ids)]
     return done.select(*columns, F.col(f"{cut}.words").alias(removed), F.coalesce(firsts, F.array().cast(dict(spans.dtypes)[firsts])).alias(first_ids))
