@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import free_name
+from tidewatch.llm.common import free_name, text_tie
 from tidewatch.session import cut_lineage
 
 # Labelled rows that features and model are fitted on, and features that the model may have.
@@ -143,7 +143,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
     The labels say only toxic or not. A toxic text gets grade 1, 2 or 3 by how many of its words are
     tied to toxicity; others grade 0. Null labels and ids are left out, of repeated labels the
-    highest counts. With one class only, the model finds nothing toxic.
+    highest counts, of repeated documents the one with the smallest text hash. With one class only, the model finds nothing toxic.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(toxic).isNotNull())
@@ -153,7 +153,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
         .limit(fit_rows)
     )
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
-    sample = cut_lineage(texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("text", "toxic"))
+    met = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
+    one = F.min_by("text", text_tie(F.col("text"))).alias("text")
+    sample = cut_lineage(met.groupBy("_label_id").agg(one, F.first("toxic").alias("toxic")).select("text", "toxic"))
     scores = _choose_features(sample)
     index = {f: i for i, f in enumerate(sorted(scores))}
     if not index:
