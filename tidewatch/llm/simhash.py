@@ -34,21 +34,24 @@ VOTE_ROWS = 1 << 15
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the ``width``-word shingles (repeats count); zero without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, repeats and all; of shorter texts one of the whole; none without words."""
     # A to Z and the six separators are single bytes in UTF-8 and part of no other character.
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(words) - width + 1
-        cuts = map(line.__getitem__, map(slice, starts[:n].tolist(), ends[width - 1 :].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - width + 1
+    cuts = map(line.__getitem__, map(slice, starts[:n].tolist(), ends[width - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(SEED)), np.uint64, n)
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), VOTE_ROWS):
         part = np.ascontiguousarray(hashes[i : i + VOTE_ROWS], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -57,6 +60,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the ``width``-word shingles (repeats count); zero without words."""
+    return voted(shingle_hashes(text, width))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", width: int = 3) -> DataFrame:
     """``docs`` with the fingerprint as a (signed) long. Null and empty texts have fingerprint zero."""
 
