@@ -8,7 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, periodic_runs, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
+from tidewatch.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +113,29 @@ def op10_byte_bpe(spark, sf_dir):
     return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    """A tenth of the texts is made periodic from some word on, as the contract says, before the operator sees it."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, words_of(F.col("text"))).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    docs = docs.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+    docs = docs.withColumn("p", F.when(n > 0, F.lit(1) + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("int")))
+    numbers = F.sequence(F.lit(0), n - 1)
+    turned = F.transform(numbers, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.select("doc_id", F.when(n > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs)
+    # The greatest length, then the smallest start, then the smallest period: the greatest of the negated rest.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("b.start"), F.col("b.length"), -F.col("b.period")
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
