@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, periodic_runs, quality_rules, sharding, simhash, site_quality, substring_dedup, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, periodic_runs, quality_rules, sharding, simhash, site_quality, substring_dedup, token_alignment, toxicity, url_filters
 from tidewatch.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,13 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pair = token_alignment.load_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align_documents(docs, pair).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
