@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, periodic_runs, quality_rules, sharding, simhash, site_quality, substring_dedup, token_alignment, toxicity, url_filters
+from tidewatch.llm import byte_bpe, decontaminate, lm_scoring, oracles, periodic_runs, quality_rules, sharding, simhash, site_quality, substring_dedup, threshold_topk, token_alignment, toxicity, url_filters
 from tidewatch.llm.common import words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,11 @@ def op12_cross_tokenizer(spark, sf_dir):
     return token_alignment.align_documents(docs, pair).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query("op13_exact_topk")
+def op13_exact_topk(spark, sf_dir):
+    return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
