@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 from itertools import combinations
 
@@ -12,7 +13,7 @@ import xxhash
 from llm_cases import PASSAGE
 from pyspark.sql import functions as F
 
-from tidewatch.llm import components, decontaminate, simhash, substring_dedup
+from tidewatch.llm import common, components, decontaminate, simhash, substring_dedup
 
 LOW = {i: i + 32 for i in range(65, 91)}
 
@@ -101,16 +102,51 @@ def test_one_of_each_component_stays(edge_docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def plain_pieces(text):
+    """Sentences end behind . ! or ? and white space, or at a line's end; long ones are cut behind the least words of all windows."""
+    out, at = [], 0
+    ends = [m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n\s*", text)] + [len(text)]
+    for end in ends:
+        sentence = text[at:end]
+        words = list(re.finditer(r"\S+", sentence))
+        cuts = set()
+        if len(words) > 12:
+            marks = [zlib.crc32(w.group().lower().encode()) for w in words]
+            for s in range(len(words) - 11):
+                least = min(marks[s : s + 12])
+                cuts.add(max(i for i in range(s, s + 12) if marks[i] == least))
+        piece = []
+        for i, w in enumerate(words):
+            stop = words[i + 1].start() if i + 1 < len(words) else len(sentence)
+            piece.append((w.group().lower(), sentence[w.start() if piece or i else 0 : stop]))
+            if i in cuts or i == len(words) - 1:
+                out.append((tuple(x for x, _ in piece), "".join(x for _, x in piece)))
+                piece = []
+        if not words and sentence:
+            out.append(((), sentence))
+        at = end
+    return out
+
+
 def plain_cuts(rows):
-    first, spans = {}, defaultdict(list)
+    """All runs of pieces as the words themselves, without hashes: what is first stays, all else goes."""
+    first, gone = {}, defaultdict(set)
     keys = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    cut = {(i, tie): plain_pieces(text or "") for i, text, tie in keys}
     for i, text, tie in keys:
-        for h, a, b in zip(*map(list, substring_dedup.runs_of(text or ""))):
-            if h in first:
-                spans[i, tie].append((a, b))
-            else:
-                first[h] = i
-    return {(i, tie): substring_dedup.cut_out(text, spans[i, tie]) if (i, tie) in spans else (text, 0) for i, text, tie in keys}
+        own = [k for k, (words, _) in enumerate(cut[i, tie]) if words]
+        for s in range(len(own)):
+            for e in range(s + 3, len(own) + 1):
+                run = tuple(cut[i, tie][k][0] for k in own[s:e])
+                if sum(map(len, run)) >= 15:
+                    if first.setdefault(run, (i, tie, s)) != (i, tie, s):
+                        gone[i, tie] |= set(range(own[s], own[e - 1] + 1))
+                    break
+    out = {}
+    for i, text, tie in keys:
+        pieces, drop = cut[i, tie], gone[i, tie]
+        out[i, tie] = ("".join(p for k, (_, p) in enumerate(pieces) if k not in drop), sum(len(w) for k, (w, _) in enumerate(pieces) if k in drop)) if drop else (text, 0)
+    return out
 
 
 def test_pieces_cover_the_text(edge_docs):
@@ -127,6 +163,18 @@ def test_repeats_are_cut_as_in_plain_python(spark, sf_dir, edge_docs):
     for r in got:
         assert (r.text, r.n_removed_words) == want[r.doc_id, r.h], r.doc_id
         assert r.n_removed_words or not r.first_ids
+    assert sum(r.n_removed_words > 0 for r in got) > 20
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 29])
+def test_bitmaps_never_deny_a_value(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BITMAP_BITS", (1 << 15, most))
+    held = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    found = common.bitmap(held, "k").value
+    own, others = (np.array([r.k for r in spark.range(a, a + 20_000).select(F.xxhash64("id").alias("k")).collect()]) for a in (0, 10**6))
+    assert found.holds(own).all() and len(found.bits) * 8 <= most
+    assert found.holds(others).mean() < (0.1 if most > 1 << 15 else 0.6)
+    assert not common.bitmap(held.limit(0), "k").value.holds(own).any()
 
 
 def test_a_passage_stays_once_wherever_it_stands(spark, edge_docs, no_docs):

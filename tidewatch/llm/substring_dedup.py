@@ -21,7 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import free_name, text_tie
+from tidewatch.llm.common import bitmap, free_name, text_tie
+from tidewatch.session import cut_lineage, scratch_path
 
 RUN_PIECES = 3
 RUN_WORDS = 15
@@ -95,23 +96,19 @@ def runs_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text with the hashes, first pieces and ends of its runs."""
     for batch in batches:
-        ids, ties, texts = (batch.column(c) for c in ("_id", "_tie", "_text"))
-        rows, hashes, starts, ends, held = [], [], [], [], 0
+        texts, rows, at, held = batch.column("_text"), [], 0, 0
         for i in range(batch.num_rows):
-            h, s, e = runs_of(texts[i].as_py() or "")
-            rows.append(np.full(len(h), i))
-            hashes.append(h)
-            starts.append(s)
-            ends.append(e)
-            held += len(h)
+            rows.append(runs_of(texts[i].as_py() or ""))
+            held += len(rows[-1][0])
             if held >= 50_000 or i == batch.num_rows - 1:
-                take = pa.array(np.concatenate(rows))
-                yield pa.record_batch({
-                    "_id": ids.take(take), "_tie": ties.take(take), "_hash": pa.array(np.concatenate(hashes)),
-                    "_from": pa.array(np.concatenate(starts).astype(np.int32)), "_to": pa.array(np.concatenate(ends).astype(np.int32)),
-                })
-                rows, hashes, starts, ends, held = [], [], [], [], 0
+                edges = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]).astype(np.int32))
+                flat = [np.concatenate(x) for x in zip(*rows)]
+                columns = [pa.ListArray.from_arrays(edges, pa.array(x.astype(t))) for x, t in zip(flat, (np.int64, np.int32, np.int32))]
+                part = batch.slice(at, i + 1 - at)
+                yield pa.record_batch([part.column("_id"), part.column("_tie"), *columns], ["_id", "_tie", "_hashes", "_starts", "_ends"])
+                rows, at, held = [], i + 1, 0
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -130,37 +127,68 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     First is the occurrence with the smallest id, then text hash, then place; null ids come before
     all. Rows that repeat id and text are one document: what they share with each other is kept.
+
+    Texts are cut into runs once. Hashes alone are counted first; only runs whose hash may occur again, as a bitmap
+    of bounded size says, are looked at further.
     """
-    kind = dict(docs.dtypes)[id_col]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("_id"), text_tie(F.col(text)).alias("_tie"), F.col(text).alias("_text"))
-    runs = source.mapInArrow(_runs, f"_id {kind}, _tie long, _hash long, _from int, _to int")
+    path = scratch_path(spark, "runs")
+    source.mapInArrow(_runs, f"_id {kind}, _tie long, _hashes array<long>, _starts array<int>, _ends array<int>").write.parquet(path)
+    stored = spark.read.parquet(path)
+    again = stored.select(F.explode("_hashes").alias("_hash")).groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1")
+    marked = bitmap(again, "_hash")
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_hashes")
+            hashes, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at = np.flatnonzero(marked.value.holds(hashes))
+            take = pa.array(row[at])
+            starts, ends = (batch.column(c).flatten().to_numpy()[at] for c in ("_starts", "_ends"))
+            yield pa.record_batch({"_id": batch.column("_id").take(take), "_tie": batch.column("_tie").take(take), "_hash": pa.array(hashes[at]), "_from": pa.array(starts), "_to": pa.array(ends)})
+
+    runs = stored.mapInArrow(repeated, f"_id {kind}, _tie long, _hash long, _from int, _to int")
     place = F.struct("_id", "_tie", "_from")
     # Aggregate and join instead of a window: combined before its shuffle, and splittable where one passage is everywhere.
     # The join is on the complement of the hash: by the hash itself it would have to take the aggregate's partitions as
     # they are, and adaptive execution could not split a hot one.
     key = F.bitwise_not("_hash").alias("_key")
     firsts = runs.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").select(key, "_first")
-    again = runs.select("_id", "_tie", "_from", "_to", key).join(firsts, "_key").where(~place.eqNullSafe(F.col("_first")))
-    return again.groupBy("_id", "_tie").agg(F.collect_set(F.struct("_from", "_to")).alias("spans"), F.collect_set("_first._id").alias("first_ids"))
+    others = runs.select("_id", "_tie", "_from", "_to", key).join(firsts, "_key").where(~place.eqNullSafe(F.col("_first")))
+    return others.groupBy("_id", "_tie").agg(F.collect_set(F.struct("_from", "_to")).alias("spans"), F.collect_set("_first._id").alias("first_ids"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", removed: str = "n_removed_words", first_ids: str = "first_ids") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and two more columns (replaced if present).
 
     ``removed`` counts the words cut (zero for texts left as they are), ``first_ids`` lists the ids of the
-    documents that keep the passages. Null and empty texts stay. All rows stay, if need be with an empty text.
+    documents that keep the passages. Null and empty texts stay. All rows stay, if need be with an empty text; other
+    columns stay, whatever their names. Texts of any length are cut whole. An empty table gives an empty one.
+
+    Only texts from which something may be cut are shuffled.
     """
-    tie, cut, of_id, of_tie, spans_of, firsts = (free_name(docs, n) for n in ("_own_tie", "_cut", "_of_id", "_of_tie", "_spans", "_first_ids"))
-    spans = repeated_spans(docs, id_col, text).select(
+    tie, cut, of_id, of_tie, spans_of, firsts, flag = (free_name(docs, n) for n in ("_own_tie", "_cut", "_of_id", "_of_tie", "_spans", "_first_ids", "_touched"))
+    spans = cut_lineage(repeated_spans(docs, id_col, text)).select(
         F.col("_id").alias(of_id), F.col("_tie").alias(of_tie), F.col("spans").alias(spans_of), F.array_sort("first_ids").alias(firsts)
     )
+    marked = bitmap(spans.select(F.xxhash64(of_id, of_tie).alias("k")), "k")
+
+    @F.pandas_udf("boolean")
+    def touched(keys: pd.Series) -> pd.Series:
+        return pd.Series(marked.value.holds(keys.to_numpy()))
 
     @F.pandas_udf("text string, words long")
     def shortened(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = [(None, 0) if r is None or t is None else cut_out(t, [(x["_from"], x["_to"]) for x in r]) for t, r in zip(texts, ranges)]
         return pd.DataFrame({"text": pd.Series([x for x, _ in out], dtype=object), "words": [n for _, n in out]})
 
-    joined = docs.withColumn(tie, text_tie(F.col(text))).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
+    tied = docs.withColumn(tie, text_tie(F.col(text)))
+    flagged = tied.withColumn(flag, touched(F.xxhash64(id_col, tie)))
+    kept = [c for c in docs.columns if c not in (removed, first_ids)]
+    none = F.array().cast(dict(spans.dtypes)[firsts])
+    rest = flagged.where(~F.col(flag)).select(*kept, F.lit(0).cast("long").alias(removed), none.alias(first_ids))
+    joined = flagged.where(flag).drop(flag).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
     done = joined.withColumn(cut, shortened(F.when(F.col(spans_of).isNotNull(), F.col(text)), F.col(spans_of)))
-    columns = [F.coalesce(F.col(f"{cut}.text"), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns if c not in (removed, first_ids)]
-    return done.select(*columns, F.col(f"{cut}.words").alias(removed), F.coalesce(firsts, F.array().cast(dict(spans.dtypes)[firsts])).alias(first_ids))
+    columns = [F.coalesce(F.col(f"{cut}.text"), F.col(text)).alias(c) if c == text else F.col(c) for c in kept]
+    return rest.union(done.select(*columns, F.col(f"{cut}.words").alias(removed), F.coalesce(firsts, none).alias(first_ids)))
