@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import cut_lineage
+from tidewatch.sources import files
+
+# Hash buckets of a table that is written by key.
+BUCKETS = 64
+
 
 def as_json_values(df: DataFrame) -> DataFrame:
     """Times become text; everything else has a JSON form already."""
@@ -30,37 +38,131 @@ def archive_run(df: DataFrame, path: str, run_id: str) -> None:
     ).parquet(path)
 
 
-def publish(tables: dict[str, DataFrame], base: str, version: int) -> None:
-    """Writes all tables under a new version, then names that version in the pointer table.
+def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Writes rows by key into a table of hash buckets; a row replaces the stored one of its key.
+
+    Only the buckets that hold one of the keys are read and rewritten, so a small batch costs a small part of the
+    table. ``rows`` has one row a key, else it is refused. ``buckets`` stays the same for the life of a table. Repeating an
+    interrupted write makes it whole; two writers at a time are not supported.
+    """
+    spark = rows.sparkSession
+    fresh = cut_lineage(rows.withColumn("bucket", _bucket(keys, buckets)))
+    # At most one row a bucket.
+    size = fresh.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*keys)).alias("k")).collect()
+    if any(r["n"] != r["k"] for r in size):
+        raise ValueError(f"several rows of one {', '.join(keys)}")
+    if not size:
+        return
+    stored = _stored(spark, path, fresh).where(F.col("bucket").isin([r["bucket"] for r in size]))
+    same = [stored[k].eqNullSafe(fresh[k]) for k in keys]
+    kept = stored.join(fresh.select("bucket", *keys), [*same, stored["bucket"] == fresh["bucket"]], "left_anti")
+    _rewrite(kept.unionByName(fresh), path)
+
+
+def remove_keys(gone: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Removes the rows of these keys from a table written by ``upsert``; other buckets are not touched."""
+    spark = gone.sparkSession
+    doomed = cut_lineage(gone.select(*keys).distinct().withColumn("bucket", _bucket(keys, buckets)))
+    touched = [r["bucket"] for r in doomed.select("bucket").distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    same = [stored[k].eqNullSafe(doomed[k]) for k in keys]
+    kept = cut_lineage(stored.join(doomed, [*same, stored["bucket"] == doomed["bucket"]], "left_anti"))
+    left = {r["bucket"] for r in kept.select("bucket").distinct().collect()}
+    _rewrite(kept, path)
+    for bucket in set(touched) - left:
+        files.remove(spark, f"{path}/bucket={bucket}")
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], like.schema)
+
+
+def _rewrite(rows: DataFrame, path: str) -> None:
+    whole = cut_lineage(rows).repartition("bucket")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_contexts(envelopes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Documents into a table keyed by type and id."""
+    upsert(envelopes, path, ["resource_type", "instance_id"], buckets)
+
+
+def publish(tables: dict[str, DataFrame], base: str, version: int, keep: int | None = None) -> None:
+    """Writes all tables into a folder of their own, then claims ``version`` for it by creating its commit marker.
 
-    Readers follow the pointer, so they see either all old tables or all new ones. The
-    pointer row is one committed append. A version that is not above the published one is refused,
-    since its files may be in use.
+    The marker can be created once, so of several writers of one version one wins and the others are
+    refused; their files are removed and nobody has seen them. Readers follow the newest marker and see either
+    all old tables or all new ones. A version that is not above the published one is refused. With ``keep`` older
+    versions than the newest so many are removed afterwards.
     """
-    held = next((published_version(df.sparkSession, base) for df in tables.values()), None)
+    if not tables:
+        raise ValueError("nothing to publish")
+    spark = next(iter(tables.values())).sparkSession
+    held = published_version(spark, base)
     if held is not None and version <= held:
         raise ValueError(f"version {version} is not above the published version {held}")
-    spark = None
+    folder = f"v={version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{base}/versions/v={version}/{name}")
-    if spark is None:
-        raise ValueError("nothing to publish")
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).coalesce(1).write.mode("append").json(f"{base}/pointer")
+        df.write.parquet(f"{base}/versions/{folder}/{name}")
+    if not files.create_new(spark, _marker(base, version), folder):
+        files.remove(spark, f"{base}/versions/{folder}")
+        raise ValueError(f"version {version} has been published by another job")
+    if keep is not None:
+        remove_old_versions(spark, base, keep)
+
+
+def _marker(base: str, version: int) -> str:
+    return f"{base}/commits/{version:019d}"
+
+
+def _committed(spark: SparkSession, base: str, newest: int | None = None) -> list[tuple[int, str]]:
+    """(version, folder) of the committed versions, newest first; a marker that is empty still is not committed yet."""
+    out = []
+    for name in reversed(files.names(spark, f"{base}/commits")):
+        if name.isdigit() and (folder := files.read_text(spark, f"{base}/commits/{name}")):
+            out.append((int(name), folder))
+            if newest is not None and len(out) == newest:
+                break
+    return out
 
 
 def published_version(spark: SparkSession, base: str) -> int | None:
-    try:
-        pointer = spark.read.schema("version bigint").json(f"{base}/pointer")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return None
-        raise
-    return pointer.agg(F.max("version")).first()[0]
+    found = _committed(spark, base, 1)
+    return found[0][0] if found else None
+
 
+def published_path(base: str, version: int, name: str, spark: SparkSession | None = None) -> str:
+    folder = files.read_text(spark or SparkSession.active(), _marker(base, version))
+    if not folder:
+        raise ValueError(f"version {version} is not published under {base}")
+    return f"{base}/versions/{folder}/{name}"
 
-def published_path(base: str, version: int, name: str) -> str:
-    return f"{base}/versions/v={version}/{name}"
+
+def remove_old_versions(spark: SparkSession, base: str, keep: int) -> list[int]:
+    """Removes all committed versions but the newest ``keep`` (one at least), and what refused or broken writers left of them.
+
+    Returns the removed versions. A reader that still holds an old one needs a ``keep`` that outlasts it.
+    """
+    kept = _committed(spark, base, max(1, keep))
+    if not kept:
+        return []
+    oldest, folders = kept[-1][0], {f for _, f in kept}
+    for folder in files.names(spark, f"{base}/versions"):
+        if folder not in folders and int(folder.partition("=")[2].partition("-")[0]) <= oldest:
+            files.remove(spark, f"{base}/versions/{folder}")
+    gone = [int(n) for n in files.names(spark, f"{base}/commits") if n.isdigit() and int(n) < oldest]
+    for version in gone:
+        files.remove(spark, _marker(base, version))
+    return gone
 
 
 def read_published(spark: SparkSession, base: str, name: str, schema: str | None = None) -> DataFrame:
@@ -70,4 +172,4 @@ def read_published(spark: SparkSession, base: str, name: str, schema: str | None
         if schema is None:
             raise ValueError(f"nothing is published under {base}")
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(published_path(base, version, name))
+    return spark.read.parquet(published_path(base, version, name, spark))
