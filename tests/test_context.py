@@ -7,6 +7,7 @@ import factory
 from factory import A, B, C
 from tidewatch.operators import analyze, context, correlate, extract, redact
 from tidewatch.plans import investigation
+from tidewatch.sources import writers
 from tidewatch.schemas import EC2, LOAD_BALANCER, RAW_AUDIT_EVENT, SCALING_GROUP
 
 
@@ -34,43 +35,63 @@ def test_last_one_wins_everywhere(contexts):
     assert row["snapshot"]["State"] == " Running "
     assert (row["lb_membership"]["target_group"], row["lb_membership"]["health"]) == ("tg2", "unhealthy")
     assert row["asg_membership"]["asg_name"] == "shared"
-    assert [e["event_name"] for e in row["events"]] == ["Start", "Start", "Stop"]
+    assert row["n_events"] == 3
 
 
 def test_instance_known_from_events_only(contexts):
     row = by_key(contexts)[(EC2, C)]["instance"]
     assert row["snapshot"] is None and row["lb_membership"] is None
-    assert [e["event_name"] for e in row["events"]] == ["Stop"]
+    assert row["n_events"] == 1
 
 
-def test_pages_keep_every_event(spark):
-    data = [(i, [("EC2 Instance", "hot")]) for i in range(500)] + [(1000, [("EC2 Instance", "cold")])]
-    events = spark.createDataFrame(data, "ord long, resources array<struct<type:string,name:string>>")
+def audit_events(spark, names):
+    """An event for each of the names, in order."""
+    rows = spark.createDataFrame([(i, [("EC2 Instance", n)]) for i, n in enumerate(names)], "ord long, resources array<struct<type:string,name:string>>")
     for f in context.EVENT_FIELDS:
-        events = events.withColumn(f, F.lit(False) if f == "read_only" else F.col("ord").cast("string"))
-    pages = context.instance_events(extract.event_links(events), page_rows=50).collect()
-    hot = [p for p in pages if p["resource_id"] == "hot"]
-    assert len(hot) == 10 and [p["page"] for p in pages if p["resource_id"] == "cold"] == [0]
-    assert max(len(p["events"]) for p in hot) < 120
-    assert sorted(int(e["v"]["event_name"]) for p in hot for e in p["events"]) == list(range(500))
-    assert all([e["o"]["ord"] for e in p["events"]] == sorted(e["o"]["ord"] for e in p["events"]) for p in hot)
+        rows = rows.withColumn(f, F.lit(False) if f == "read_only" else F.col("ord").cast("string"))
+    return rows
 
 
-def test_paged_contexts_redact_to_the_same_document(spark, snapshots, contexts):
+def test_documents_have_one_shape_for_few_and_many_events(spark, snapshots):
     parts = [snapshots[n] for n in ("instances", "load_balancers", "groups")]
-    more = snapshots["events"]
-    for i in range(6):
-        more = more.union(snapshots["events"].withColumn("event_name", F.concat("event_name", F.lit(f"-{i}"))).withColumn(
-            "ord", F.struct("ord._at", F.concat(F.lit(f"z{i}"), "ord._file").alias("_file"), "ord._pos")))
-    paged = context.build_contexts(*parts, more, page_rows=3).filter(F.col("resource_id") == A)
-    whole = context.build_contexts(*parts, more).filter(F.col("resource_id") == A)
-    assert paged.count() > 1 and whole.count() == 1
-    assert paged.filter("page > 0 and instance.snapshot is not null").count() == 0
-
-    def names(df):
-        return [e["event_name"] for e in redact.redact_instances(df).collect()[0]["events"]]
-
-    assert names(paged) == names(whole) and names(whole)[:2] == ["Start", "Stop"]
+    few, many = (context.build_contexts(*parts, audit_events(spark, ["hot"] * n + ["cold"])) for n in (10, 20_000))
+    assert few.schema == many.schema and few.count() == many.count()
+    got = {r["resource_id"]: r["instance"]["n_events"] for r in many.where("instance.n_events > 0").collect()}
+    assert got == {"hot": 20_000, "cold": 1}
+
+
+def test_each_source_is_read_once(spark, snapshots):
+    plan = investigation.contexts_of(snapshots)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("resources") and "Join" not in plan
+    events = audit_events(spark, ["a"])
+    built = context.build_contexts(*[snapshots[n] for n in ("instances", "load_balancers", "groups")], events)
+    assert built._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_stored_contexts_are_merged_without_an_exchange(spark, snapshots, contexts, tmp_path):
+    names = ["10.1.1.1"] * 300 + [A, B] * 20
+    events = context.instance_events(extract.event_links(audit_events(spark, names).orderBy(F.desc("ord"))))
+    path = str(tmp_path / "store")
+    writers.store_contexts(contexts, events, path, "kept", buckets=4)
+    for round_ in range(2):
+        documents, told = writers.open_contexts(spark, path, "kept", buckets=4)
+        merged = context.in_order(documents, told)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = merged._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Exchange" not in plan
+        rows = merged.collect()
+        assert len(rows) == 300 + 40 + contexts.where(~F.col("resource_id").isin("10.1.1.1", A, B)).count()
+        of = {}
+        for r in rows:
+            if r["event"]:
+                of.setdefault(r["resource_id"], []).append(int(r["event"]["event_name"]))
+        assert of == {n: [i for i, x in enumerate(names) if x == n] for n in set(names)}
+        # A later session enters the stored files into its catalog anew.
+        for what in ("documents", "events"):
+            spark.sql(f"DROP TABLE kept_{what}")
 
 
 def test_stale_and_prune(spark):
@@ -111,13 +132,18 @@ def test_correlation(snapshots):
 # --- redaction ------------------------------------------------------------------------
 
 
-def documents(contexts):
-    rows = redact.render_prompts(redact.redact(contexts), instructions="").collect()
+@pytest.fixture(scope="module")
+def events(snapshots):
+    return investigation.events_of(snapshots).cache()
+
+
+def documents(contexts, events):
+    rows = redact.render_prompts(redact.redact(contexts, events), instructions="").collect()
     return {(r["resource_type"], r["resource_id"]): json.loads(r["text"]) for r in rows}
 
 
-def test_instance_document(contexts):
-    doc = documents(contexts)[(EC2, A)]
+def test_instance_document(contexts, events):
+    doc = documents(contexts, events)[(EC2, A)]
     body = doc["context"]
     assert body["cloudwatch"] == {
         "state": " Running ",
@@ -131,34 +157,34 @@ def test_instance_document(contexts):
     ]
 
 
-def test_events_from_the_bridge_give_the_same_documents(snapshots, contexts):
+def test_events_from_the_bridge_give_the_same_documents(snapshots, contexts, events):
     bridge = extract.event_links(snapshots["events"])
     with_bridge = redact.render_prompts(redact.redact(contexts, bridge)).collect()
-    assert sorted(map(repr, with_bridge)) == sorted(map(repr, redact.render_prompts(redact.redact(contexts)).collect()))
+    assert sorted(map(repr, with_bridge)) == sorted(map(repr, redact.render_prompts(redact.redact(contexts, events)).collect()))
 
 
-def test_keep_errors_option(contexts):
-    assert documents(contexts)[(EC2, C)]["context"]["cloudwatch"] is None
-    docs = {r["resource_id"]: r for r in redact.redact_instances(contexts, keep_errors=True).collect()}
+def test_keep_errors_option(contexts, events):
+    assert documents(contexts, events)[(EC2, C)]["context"]["cloudwatch"] is None
+    docs = {r["resource_id"]: r for r in redact.redact_instances(contexts, events, keep_errors=True).collect()}
     assert [(e["event_name"], e["error_code"]) for e in docs[A]["events"]] == [("Start", ""), ("Start", "Denied"), ("Stop", "")]
 
 
-def test_load_balancer_document(contexts):
-    body = documents(contexts)[(LOAD_BALANCER, "shared")]["context"]
+def test_load_balancer_document(contexts, events):
+    body = documents(contexts, events)[(LOAD_BALANCER, "shared")]["context"]
     assert list(body["metrics"]) == ["request_count"]
     first, second = body["target_groups"]
     assert first["healthy_hosts"]["H"] == [["10:00", 1.0]] and second["healthy_hosts"] == 1.0 and first["unhealthy_hosts"] == 0.0
     assert [t["instance_id"] for t in first["targets"]] == [A, "10.1.1.1"] and "port" not in first["targets"][0]
 
 
-def test_scaling_group_document(contexts):
-    body = documents(contexts)[(SCALING_GROUP, "shared")]["context"]
+def test_scaling_group_document(contexts, events):
+    body = documents(contexts, events)[(SCALING_GROUP, "shared")]["context"]
     assert body["desired_capacity"] == 2 and body["scaling_activities"] == [{"status": "Successful", "description": "went up"}]
     assert [m["instance_id"] for m in body["instances"]] == [A, B]
 
 
-def test_no_topology_leaves(contexts):
-    text = json.dumps(list(documents(contexts).values()))
+def test_no_topology_leaves(contexts, events):
+    text = json.dumps(list(documents(contexts, events).values()))
     assert not any(secret in text for secret in ("secret.example", "vpc-", "10.0.0.1", "name of", "availability_zone", "1.2.3.4"))
 
 

@@ -210,8 +210,10 @@ def test_tree_takes_the_worst_child(spark):
     )
     got = {r["node_id"]: (r["level"], r["parent_id"], r["status"], r["child_count"]) for r in feed.resource_tree(members).collect()}
     assert got["lb"] == (0, None, "HIGH", 2) and got["t1"] == (1, "lb", "HIGH", 2) and got["t2"] == (1, "lb", "UNKNOWN", 1)
-    docs = feed.tree_documents(members, page_rows=1).collect()
-    assert sorted(c["id"] for d in docs for c in d["children"]) == ["i1", "i2", "i3"]
+    more = members.union(spark.createDataFrame([("a-lb", "t9", "i0", "LOW"), ("lb", "t1", "a0", "LOW")], members.schema))
+    walked = [(r["level"], r["node_id"], r["status"]) for r in feed.tree_in_order(more).collect()]
+    assert [n for _, n, _ in walked] == ["a-lb", "t9", "i0", "lb", "t1", "a0", "i1", "i2", "t2", "i3"]
+    assert walked[3] == (0, "lb", "HIGH") and walked[-1] == (2, "i3", "UNKNOWN")
 
 
 def test_day_over_day(spark):

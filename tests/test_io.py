@@ -98,7 +98,7 @@ def test_stored_contexts_read_like_built_ones(spark, tmp_path):
     lb = factory.load_balancer("web", "active", [("tg", [factory.target(A)])])
     put(tmp_path / "web.json", {"instance_id": "web", "resource_type": "Load Balancer", "context": lb})
     stored = readers.read_contexts(spark, str(tmp_path))
-    docs = {r["resource_id"]: json.loads(r["text"]) for r in redact.render_prompts(redact.redact(stored), "").collect()}
+    docs = {r["resource_id"]: json.loads(r["text"]) for r in redact.render_prompts(redact.redact(stored, readers.read_context_events(spark, str(tmp_path))), "").collect()}
     assert docs[A]["context"]["cloudtrail"] == [{"event_name": "Start", "service": "s", "error_code": ""}]
     assert docs[A]["context"]["cloudwatch"]["cpu"]["H"][1] == ["10:05", 2.0] and docs[A]["context"]["alb"] is None
     assert docs["web"]["context"]["target_groups"][0]["targets"][0]["instance_id"] == A

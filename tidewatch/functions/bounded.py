@@ -1,4 +1,4 @@
-"""Keep one-to-many lists bounded without dropping rows."""
+"""Small literal tables and global top-n."""
 
 from __future__ import annotations
 
@@ -7,43 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.schemas import struct_of
 
-PAGE_ROWS = 10_000
-
-
-def pages(
-    df: DataFrame,
-    keys: list[str],
-    order: Column,
-    item: Column,
-    salt_on: list[str],
-    name: str = "items",
-    page_rows: int = PAGE_ROWS,
-) -> DataFrame:
-    """Pack the rows of each key into ordered arrays of about ``page_rows`` items.
-
-    A key that fits one page gives exactly one row, so the usual document is whole.
-    A hot key gives as many pages as it needs: rows go to ``page`` by the hash of
-    ``salt_on``, a unique row key, so that no task ever holds a whole hot group. Items
-    carry their order value ``o``, by which a reader merges the pages of one key.
-    """
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = total.filter(F.col("_rows") > page_rows).select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.ceil(F.col("_rows") / page_rows).cast("int").alias("_pages"),
-    )
-    match = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        match = same if match is None else match & same
-    spread = df.join(hot, match, "left")
-    page = F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*salt_on), F.col("_pages")).cast("int"))
-    return (
-        spread.select(*keys, page.alias("page"), F.struct(order.alias("o"), item.alias("v")).alias("_item"))
-        .groupBy(*keys, "page")
-        .agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-        .select(*keys, "page", F.col("_items").alias(name))
-    )
-
 
 def literal_rows(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     """A small literal table as a plan of constants, whose size the optimizer knows."""

@@ -17,11 +17,10 @@ OUTCOME = "resource_type string, resource_id string, response string, attempts i
 
 def eligibility(contexts: DataFrame) -> DataFrame:
     """Adds ``state`` and ``eligible``. Unknown states are not analysed; scaling groups always are."""
-    first_pages = contexts.filter(F.col("page") == 0)
     state = C.state_text(
         F.col("resource_type"), F.col("instance.snapshot.State"), F.col("load_balancer.state")
     )
-    return with_eligibility(first_pages, state)
+    return with_eligibility(contexts, state)
 
 
 def with_eligibility(rows: DataFrame, state) -> DataFrame:

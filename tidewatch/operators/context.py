@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import bounded
 from tidewatch.schemas import COLLECTOR_COUNT, EC2, GENERATED_BY, LOAD_BALANCER, SCALING_GROUP
+from tidewatch.session import cut_lineage
 
 KEY = ["resource_type", "resource_id"]
 
@@ -92,22 +92,26 @@ def instance_asg_membership(members: DataFrame) -> DataFrame:
 EVENT_FIELDS = ["event_time", "event_name", "service", "username", "source_ip", "read_only", "error_code"]
 
 
-def instance_events(links: DataFrame, page_rows: int = bounded.PAGE_ROWS) -> DataFrame:
-    """All events of each instance in order, as (resource_id, page, events).
+def instance_events(links: DataFrame) -> DataFrame:
+    """All events of each instance, a row each: (resource_id, ord, event fields).
 
-    ``links`` is the narrowed event bridge with ``ord`` (source order) and ``link_ord``.
-    A normal instance has page 0 only; a hot one has as many pages as it needs. Every
-    event carries its ``ord``, which orders the events of all pages together.
+    ``links`` is the narrowed event bridge with ``ord`` (source order) and ``link_ord``. Events are never gathered
+    into a list, so an instance with very many of them is rows like any other; ``in_order`` brings
+    them behind their documents, by ``ord``.
     """
-    return bounded.pages(
-        links,
-        ["resource_id"],
-        order=F.struct("ord", "link_ord"),
-        item=F.struct(F.struct("ord", "link_ord").alias("ord"), *EVENT_FIELDS),
-        salt_on=["ord", "link_ord"],
-        name="events",
-        page_rows=page_rows,
-    )
+    return links.filter(_present("resource_id")).select("resource_id", F.struct("ord", "link_ord").alias("ord"), *EVENT_FIELDS)
+
+
+def in_order(documents: DataFrame, events: DataFrame) -> DataFrame:
+    """Documents with their events: a row an event, in order within each resource, and one row for a document without any.
+
+    A reader takes a document and its events off the stream one after another. Over tables stored by
+    ``writers.store_contexts`` the join needs no exchange.
+    """
+    told = events.withColumn("resource_type", F.lit(EC2)) if "resource_type" not in events.columns else events
+    members = [c for c in told.columns if c not in KEY]
+    rows = told.select(*KEY, F.struct(*members).alias("event"))
+    return documents.join(rows, KEY, "left").sortWithinPartitions(*KEY, "event.ord")
 
 
 def promote_load_balancers(load_balancers: DataFrame) -> DataFrame:
@@ -130,56 +134,37 @@ def promote_scaling_groups(groups: DataFrame) -> DataFrame:
     return last_wins(shaped, ["resource_id"], ["ord"], fields, "scaling_group")
 
 
-def build_contexts(
-    instances: DataFrame,
-    load_balancers: DataFrame,
-    groups: DataFrame,
-    events: DataFrame,
-    page_rows: int = bounded.PAGE_ROWS,
-) -> DataFrame:
-    """All contexts as a tagged union: exactly one of the three members is set per row.
+def build_contexts(instances: DataFrame, load_balancers: DataFrame, groups: DataFrame, events: DataFrame) -> DataFrame:
+    """All contexts as a tagged union, one row per resource: exactly one of the three members is set.
 
-    Inputs are unnested snapshot rows with ``ord``; ``events`` are parsed audit events
-    with ``ord`` and ``resources``. Page 0 is the document; more pages exist only for an
-    instance with more than ``page_rows`` events and hold further events of it.
+    Inputs are unnested snapshot rows with ``ord``; ``events`` are parsed audit events with ``ord`` and
+    ``resources``. An instance document says how many events it has (``n_events``); the events themselves are rows of
+    their own (``instance_events``), so documents have one shape however many there are.
+
+    Everything that is known of an instance is put together by one aggregate over all four sources, each read once.
     """
     from tidewatch.operators.extract import event_links
 
-    targets, members = lb_targets(load_balancers), asg_members(groups)
-    links = event_links(events)
-    known = spine(
-        (instances, "InstanceId", EC2), (targets, "resource_id", EC2), (members, "resource_id", EC2), (links, "resource_id", EC2)
-    )
-    fields = [c for c in instances.columns if c != "ord"]
-    snapshot = last_wins(
-        instances.filter(_present("InstanceId")).withColumn("resource_id", F.col("InstanceId")),
-        ["resource_id"], ["ord"], fields, "snapshot",
-    )
-    base = (
-        known.join(snapshot, "resource_id", "left")
-        .join(instance_lb_membership(targets), "resource_id", "left")
-        .join(instance_asg_membership(members), "resource_id", "left")
-    )
-    paged = instance_events(links, page_rows)
-    event_list = F.transform(
-        F.coalesce("events", F.array().cast(paged.schema["events"].dataType)), lambda e: e["v"]
-    ).alias("events")
-    # Only first pages are joined. Further pages of a hot instance stay rows of their own and meet no join key.
-    first = paged.filter(F.col("page") == 0).drop("page")
-    rest = paged.filter(F.col("page") > 0)
-    absent = [F.lit(None).cast(base.schema[n].dataType).alias(n) for n in ("snapshot", "lb_membership", "asg_membership")]
-    ec2 = (
-        base.join(first, "resource_id", "left")
-        .select("resource_id", F.lit(0).alias("page"), F.struct("snapshot", "lb_membership", "asg_membership", event_list).alias("instance"))
-        .unionByName(rest.select("resource_id", "page", F.struct(*absent, event_list).alias("instance")))
-        .select(F.lit(EC2).alias("resource_type"), "resource_id", "page", "instance")
-    )
-    lbs = promote_load_balancers(load_balancers).select(
-        F.lit(LOAD_BALANCER).alias("resource_type"), "resource_id", F.lit(0).alias("page"), "load_balancer"
-    )
-    asgs = promote_scaling_groups(groups).select(
-        F.lit(SCALING_GROUP).alias("resource_type"), "resource_id", F.lit(0).alias("page"), "scaling_group"
+    lb_fields = ["alb_name", "target_group", "health", "reason", "description", "port"]
+    asg_fields = ["asg_name", "health_status", "lifecycle_state", "availability_zone", "instance_type"]
+    seen = instances.filter(_present("InstanceId"))
+    parts = [
+        seen.select(F.col("InstanceId").alias("resource_id"), F.col("ord").alias("_s_ord"), F.struct(*[c for c in seen.columns if c != "ord"]).alias("_s")),
+        lb_targets(load_balancers).select("resource_id", F.struct("lb_ord", "tg_ord", "t_ord").alias("_t_ord"), F.struct(*lb_fields).alias("_t")),
+        asg_members(groups).select("resource_id", F.struct("asg_ord", "m_ord").alias("_m_ord"), F.struct(*asg_fields).alias("_m")),
+        event_links(events).filter(_present("resource_id")).select("resource_id", F.lit(1).cast("bigint").alias("_n")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # The last one of each source wins; a source that does not name the instance gives null.
+    known = rows.groupBy("resource_id").agg(
+        F.max_by("_s", "_s_ord").alias("snapshot"),
+        F.max_by("_t", "_t_ord").alias("lb_membership"),
+        F.max_by("_m", "_m_ord").alias("asg_membership"),
+        F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("n_events"),
     )
+    ec2 = known.select(F.lit(EC2).alias("resource_type"), "resource_id", F.struct("snapshot", "lb_membership", "asg_membership", "n_events").alias("instance"))
+    lbs = promote_load_balancers(load_balancers).select(F.lit(LOAD_BALANCER).alias("resource_type"), "resource_id", "load_balancer")
+    asgs = promote_scaling_groups(groups).select(F.lit(SCALING_GROUP).alias("resource_type"), "resource_id", "scaling_group")
     return ec2.unionByName(lbs, allowMissingColumns=True).unionByName(asgs, allowMissingColumns=True)
 
 
@@ -189,7 +174,6 @@ def envelope(contexts: DataFrame, generated_by: str = GENERATED_BY, collector_co
     return contexts.select(
         F.col("resource_id").alias("instance_id"),
         "resource_type",
-        "page",
         F.lit(generated_by).alias("generated_by"),
         F.lit(collector_count).alias("collector_count"),
         F.struct(*members).alias("context"),
@@ -206,11 +190,17 @@ def prune_stale(stored: DataFrame, current: DataFrame, keys: list[str] | None =
 
 
 def only_resource(rows: DataFrame, resource_id: str, id_col: str = "resource_id", must_exist: bool = True) -> DataFrame:
-    """Narrow a source to one resource before anything is joined; an unknown id is an error."""
+    """Narrow a source to one resource before anything is joined; an unknown id is an error.
+
+    The narrowed rows are few; they are materialised once and both the question and the reader use them.
+    """
     narrowed = rows.filter(F.col(id_col) == resource_id)
-    if must_exist and narrowed.isEmpty():
+    if not must_exist:
+        return narrowed
+    held = cut_lineage(narrowed)
+    if held.isEmpty():
         raise ValueError(f"resource {resource_id!r} is not in the collected data")
-    return narrowed
+    return held
 
 
 def build_context_for(

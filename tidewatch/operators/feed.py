@@ -111,7 +111,7 @@ def asg_telemetry(group: Column) -> Column:
 
 def telemetry(contexts: DataFrame) -> DataFrame:
     """Telemetry by type; at most one of the three members is set."""
-    return contexts.filter(F.col("page") == 0).select(
+    return contexts.select(
         "resource_type",
         "resource_id",
         F.when(F.col("resource_type") == EC2, instance_telemetry(F.col("instance.snapshot"))).alias("instance_telemetry"),
@@ -456,8 +456,27 @@ def resource_tree(members: DataFrame) -> DataFrame:
     return top.unionByName(middle).unionByName(leaves)
 
 
-def tree_documents(members: DataFrame, page_rows: int = bounded.PAGE_ROWS) -> DataFrame:
-    """Nested target-group nodes per page, for a viewer that wants ``children`` as a list."""
-    child = F.struct(F.col("instance_id").alias("id"), F.lit("EC2 Instance").alias("type"), F.col("severity").alias("status"))
-    paged = bounded.pages(members, ["lb", "target_group"], F.col("instance_id"), child, ["instance_id"], "children", page_rows)
-    return paged.withColumn("children", F.transform("children", lambda c: c["v"]))
+def tree_in_order(members: DataFrame) -> DataFrame:
+    """The tree for a viewer that walks it: every node before its children, siblings by id.
+
+    A viewer keeps the open nodes of the levels above and needs no list of children, so a node may have any number.
+    """
+    lb = F.struct("lb")
+    group, leaf = F.struct("lb", "target_group"), F.struct("lb", "target_group", "instance_id")
+    tree = resource_tree(members)
+    parents = members.select(group.alias("g")).distinct()
+    paths = (
+        members.select(lb.alias("p")).distinct().select(F.lit(0).alias("level"), F.col("p.lb").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
+        .union(parents.select(F.lit(1), "g.lb", "g.target_group", F.lit(None).cast("string")))
+        .union(members.select(leaf.alias("l")).select(F.lit(2), "l.lb", "l.target_group", "l.instance_id"))
+    )
+    return _walked(tree, paths)
+
+
+def _walked(tree: DataFrame, paths: DataFrame) -> DataFrame:
+    node = F.when(F.col("level") == 0, F.col("a")).when(F.col("level") == 1, F.col("b")).otherwise(F.col("c"))
+    parent = F.when(F.col("level") == 1, F.col("a")).when(F.col("level") == 2, F.col("b"))
+    known = paths.select("level", node.alias("node_id"), parent.alias("parent_id"), "a", "b", "c")
+    on = (known["level"] == tree["level"]) & known["node_id"].eqNullSafe(tree["node_id"]) & known["parent_id"].eqNullSafe(tree["parent_id"])
+    rows = known.join(tree, on).select(*[tree[c] for c in tree.columns], "a", "b", "c")
+    return rows.orderBy(F.asc_nulls_first("a"), F.asc_nulls_first("b"), F.asc_nulls_first("c")).drop("a", "b", "c")

@@ -80,24 +80,15 @@ def event_lists(firsts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def context_events(contexts: DataFrame) -> DataFrame:
-    """All events of stored contexts over all pages, one row each, with their source order."""
-    return contexts.filter(F.col("resource_type") == EC2).select("resource_id", F.explode("instance.events").alias("e")).select(
-        "resource_id", "e.ord", "e.event_time", "e.event_name", "e.service", "e.error_code"
-    )
-
-
-def redact_instances(contexts: DataFrame, events: DataFrame | None = None, keep_errors: bool = False) -> DataFrame:
+def redact_instances(contexts: DataFrame, events: DataFrame, keep_errors: bool = False) -> DataFrame:
     """State, kept payloads, memberships and deduplicated events.
 
-    ``events`` is the narrowed event bridge with ``ord``. Give it where it is at hand: events
-    are then reduced to one row per call name straight away. Without it they are taken out
-    of the stored contexts again.
+    ``events`` are the rows of ``context.instance_events`` (or the event bridge); they are reduced to one row per call
+    name straight away.
     """
-    rows = context_events(contexts) if events is None else events
-    lists = event_lists(first_events(rows, ["resource_id"], ["ord"], keep_errors), ["resource_id"])
+    lists = event_lists(first_events(events, ["resource_id"], ["ord"], keep_errors), ["resource_id"])
     i = F.col("instance")
-    docs = contexts.filter((F.col("resource_type") == EC2) & (F.col("page") == 0)).select(
+    docs = contexts.filter(F.col("resource_type") == EC2).select(
         F.lit(EC2).alias("resource_type"),
         "resource_id",
         i["snapshot"].isNotNull().alias("has_snapshot"),
@@ -161,7 +152,7 @@ def redact_scaling_groups(contexts: DataFrame) -> DataFrame:
     )
 
 
-def redact(contexts: DataFrame, events: DataFrame | None = None, keep_errors: bool = False) -> DataFrame:
+def redact(contexts: DataFrame, events: DataFrame, keep_errors: bool = False) -> DataFrame:
     """All types in one table: each branch keeps its own list, absent members are null.
 
     The type is a constant of each branch, so what follows the union is simplified per branch.

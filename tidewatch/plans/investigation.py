@@ -9,16 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
-from tidewatch.operators import analyze, context, feed, redact
+from tidewatch.operators import analyze, context, extract, feed, ledger, redact
 from tidewatch.session import cut_lineage
 from tidewatch.sources import readers, writers
 
 SOURCES = {"cloudwatch": "instances", "alb": "load_balancers", "autoscaling": "groups", "cloudtrail": "events"}
 
 
-def load_snapshots(spark: SparkSession, raw: str) -> dict[str, DataFrame]:
-    """The four collector outputs under ``raw``; a missing or broken one is empty."""
-    return {name: readers.read_snapshot(spark, raw, source).drop("snapshot_ts") for source, name in SOURCES.items()}
+def load_snapshots(spark: SparkSession, raw: str, as_of: dt.datetime | None = None, fresh_minutes: int | None = None) -> dict[str, DataFrame]:
+    """The four collector outputs under ``raw``; a missing or broken one is empty.
+
+    With ``fresh_minutes`` so is what an earlier run has left behind: older than that at ``as_of``.
+    """
+    out = {}
+    for source, name in SOURCES.items():
+        rows = readers.read_snapshot(spark, raw, source)
+        out[name] = (readers.fresh_only(rows, as_of, fresh_minutes) if fresh_minutes is not None else rows).drop("snapshot_ts")
+    return out
+
+
+def events_of(snapshots: dict[str, DataFrame], resource_id: str | None = None) -> DataFrame:
+    """The events of all instances, or of one, as rows."""
+    events = snapshots["events"]
+    if resource_id:
+        events = events.filter(F.exists("resources", lambda r: r["name"] == resource_id))
+    rows = context.instance_events(extract.event_links(events))
+    return rows.filter(F.col("resource_id") == resource_id) if resource_id else rows
 
 
 def contexts_of(snapshots: dict[str, DataFrame], resource_id: str | None = None) -> DataFrame:
@@ -34,6 +50,8 @@ def investigate(
     resource_id: str | None = None,
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc),
     instructions: str = redact.INSTRUCTIONS,
+    fresh_minutes: int | None = None,
+    ledger_path: str | None = None,
     **call_options,
 ) -> dict[str, DataFrame]:
     """One run over all resources, or over one of any state.
@@ -42,10 +60,13 @@ def investigate(
     ``severities`` holds it per resource id, and a resource without a score is LOW.
 
     Contexts and outcomes are checkpointed: both feed several results, and the analysis
-    must not be called again when an executor is lost later on.
+    must not be called again when an executor is lost later on. With ``ledger_path`` calls go through a ledger
+    (``operators.ledger``), so that answers outlive the job too. With ``fresh_minutes`` a source that is
+    older is left out and counts as failed.
     """
     started = clock()
-    contexts = cut_lineage(contexts_of(load_snapshots(spark, raw), resource_id))
+    snapshots = load_snapshots(spark, raw, started, fresh_minutes)
+    contexts, events = cut_lineage(contexts_of(snapshots, resource_id)), events_of(snapshots, resource_id)
     judged = analyze.eligibility(contexts)
     if resource_id:
         judged = judged.withColumn("eligible", F.lit(True))
@@ -54,17 +75,20 @@ def investigate(
         outcomes, reports = _by_rule(wanted, severities)
         ended = clock()
     else:
-        documents = redact.redact(contexts).join(wanted, ["resource_type", "resource_id"], "left_semi")
-        outcomes = cut_lineage(analyze.analyze(redact.render_prompts(documents, instructions), analyze_fn, **call_options))
+        documents = redact.redact(contexts, events).join(wanted, ["resource_type", "resource_id"], "left_semi")
+        prompts = redact.render_prompts(documents, instructions)
+        called = ledger.answer(prompts, analyze_fn, ledger_path, **call_options) if ledger_path else analyze.analyze(prompts, analyze_fn, **call_options)
+        outcomes = cut_lineage(called)
         ended = clock()
         reports = analyze.parse_responses(outcomes.filter(F.col("error").isNull()))
     reports = reports.withColumn("detected_at", C.instant(ended))
     timed = analyze.run_counters(judged, outcomes).withColumns({"start_ts": C.instant(started), "end_ts": C.instant(ended)})
     # One row per source, so the health map is small enough to be a literal of the run record.
-    health = [F.lit(v) for row in readers.collector_status(spark, raw).collect() for v in (row["collector"], row["status"])]
+    health = [F.lit(v) for row in readers.collector_status(spark, raw, started, fresh_minutes).collect() for v in (row["collector"], row["status"])]
     run = analyze.run_records(timed).withColumn("collectors", F.create_map(*health))
     return {
         "contexts": contexts,
+        "events": events,
         "skipped": analyze.skipped_resources(judged),
         "outcomes": outcomes,
         "reports": reports,
@@ -75,7 +99,8 @@ def investigate(
 def _by_rule(wanted: DataFrame, severities: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     if severities is None:
         raise ValueError("give an analysis function or rule severities")
-    scored = wanted.join(severities, "resource_id", "left").withColumns(
+    keys = [k for k in ("resource_type", "resource_id") if k in severities.columns]
+    scored = wanted.join(severities, keys, "left").withColumns(
         {
             "severity": F.coalesce("severity", F.lit("LOW")),
             **{n: F.coalesce(n, F.lit(0)) for n in ("breach_minutes", "longest_breach", "anomalies")},
@@ -111,7 +136,7 @@ def feed_tables(runs: DataFrame, reports: DataFrame, contexts: DataFrame, archiv
     rows as built; ``archived``: (archive_ts, resource_id, severity); ``previous``: the
     published ``state``.
     """
-    typed = contexts.filter(F.col("page") == 0).select("resource_id", "resource_type")
+    typed = contexts.select("resource_id", "resource_type")
     keys = [k for k in ("resource_type", "resource_id") if k in reports.columns and k in previous.columns]
     all_reports = feed.report_feed(reports, feed.telemetry(contexts), runs, previous, keys).withColumn("detected_at", C.iso_display(F.col("detected_at")))
     current = feed.report_columns(reports)

@@ -82,18 +82,10 @@ def member_last_wins(spark, sf_dir):
   min(ord) AS first_ord FROM links GROUP BY ALL""",
 )
 def events_per_resource(spark, sf_dir):
-    pages = context.instance_events(links(spark, sf_dir))
-    first, last = F.col("events")[0], F.element_at("events", -1)
-    ends = pages.select(
-        "resource_id", F.size("events").cast("bigint").alias("n"), first["o"]["ord"].alias("first_ord"), last["o"]["ord"].alias("last_ord"),
-        first["v"]["event_name"].alias("first_event"), last["v"]["event_name"].alias("last_event"),
-    )
-    return ends.groupBy("resource_id").agg(
-        F.sum("n").alias("events"),
-        F.min_by("first_event", "first_ord").alias("first_event"),
-        F.max_by("last_event", "last_ord").alias("last_event"),
-        F.min("first_ord").alias("first_ord"),
-    )
+    return context.instance_events(links(spark, sf_dir)).groupBy("resource_id").agg(
+        F.count("*").alias("events"), F.min_by("event_name", "ord").alias("first_event"), F.max_by("event_name", "ord").alias("last_event"),
+        F.min("ord.ord").alias("first_ord"),
+    )
 
 
 @query(
@@ -129,17 +121,12 @@ UNION ALL SELECT 'Auto Scaling Group', s_name, 4, NULL, NULL, s_name, 0 FROM sup
 def context_union(spark, sf_dir):
     docs = context.envelope(A.fleet_contexts(spark, sf_dir))
     c = F.col("context")
-    flat = docs.select(
+    return docs.select(
         "resource_type", "instance_id", "collector_count",
         F.coalesce(c["instance"]["snapshot"]["State"], c["load_balancer"]["state"]).alias("state"),
         F.coalesce(c["instance"]["lb_membership"]["alb_name"], c["load_balancer"]["alb_name"]).alias("alb_name"),
         F.coalesce(c["instance"]["asg_membership"]["asg_name"], c["scaling_group"]["asg_name"]).alias("asg_name"),
-        F.coalesce(F.size(c["instance"]["events"]), F.lit(0)).cast("bigint").alias("n"),
-    )
-    # Pages of one resource are added up; everything but the events is on page 0.
-    return flat.groupBy("resource_type", "instance_id", "collector_count").agg(
-        F.max("state").alias("state"), F.max("alb_name").alias("alb_name"), F.max("asg_name").alias("asg_name"),
-        F.greatest(F.sum("n"), F.lit(0)).alias("events"),
+        F.coalesce(c["instance"]["n_events"], F.lit(0).cast("bigint")).alias("events"),
     )
 
 
@@ -159,9 +146,9 @@ def single_resource(spark, sf_dir):
         "Customer#000000007", A.fleet_instances(spark, sf_dir), A.fleet_load_balancers(spark, sf_dir), A.fleet_groups(spark, sf_dir), A.fleet_events(spark, sf_dir)
     )
     i = F.col("instance")
-    return built.groupBy("resource_type", "resource_id").agg(
-        F.max(i["snapshot"]["State"]).alias("state"), F.max(i["lb_membership"]["alb_name"]).alias("alb_name"),
-        F.max(i["asg_membership"]["asg_name"]).alias("asg_name"), F.sum(F.size(i["events"])).alias("events"),
+    return built.select(
+        "resource_type", "resource_id", i["snapshot"]["State"].alias("state"), i["lb_membership"]["alb_name"].alias("alb_name"),
+        i["asg_membership"]["asg_name"].alias("asg_name"), i["n_events"].alias("events"),
     )
 
 
@@ -246,7 +233,7 @@ SELECT resource_id, s.state, CASE WHEN c_acctbal > 0 THEN 'cpu' ELSE '' END AS m
 FROM spine LEFT JOIN states s USING (resource_id) LEFT JOIN last_target t USING (resource_id) LEFT JOIN last_member m USING (resource_id) LEFT JOIN n USING (resource_id)""",
 )
 def redacted_instances(spark, sf_dir):
-    docs = redact.redact_instances(A.fleet_contexts(spark, sf_dir))
+    docs = redact.redact_instances(A.fleet_contexts(spark, sf_dir), links(spark, sf_dir))
     return docs.select(
         "resource_id", "state", F.array_join(F.map_keys(F.col("metrics")), ",").alias("metrics"),
         F.col("lb.target_health").alias("target_health"), F.col("lb.failure_reason").alias("failure_reason"),
@@ -299,7 +286,7 @@ SELECT 'Auto Scaling Group', s_name, '{{"instance_id":"' || s_name || '","resour
 def document_text(spark, sf_dir):
     from tidewatch.schemas import EC2
 
-    prompts = redact.render_prompts(redact.redact(A.fleet_contexts(spark, sf_dir)), instructions="")
+    prompts = redact.render_prompts(redact.redact(A.fleet_contexts(spark, sf_dir), links(spark, sf_dir)), instructions="")
     return prompts.filter(F.col("resource_type") != EC2)
 
 

@@ -37,7 +37,6 @@ RESOURCE_TYPES = {
 }
 _BROKEN = "_broken"
 _EVENT_NAMES = ["event_time", "event_name", "service", "username", "source_ip", "read_only", "error_code"]
-_EVENT = "struct<" + ",".join(f"{n}:{'boolean' if n == 'read_only' else 'string'}" for n in _EVENT_NAMES) + ">"
 
 
 def _empty(spark: SparkSession, ddl: str) -> DataFrame:
@@ -121,13 +120,17 @@ def fresh_only(snapshot: DataFrame, as_of, minutes: int) -> DataFrame:
     return snapshot.filter(F.col("snapshot_ts") >= C.instant(as_of) - F.make_dt_interval(mins=F.lit(minutes)))
 
 
-def collector_status(spark: SparkSession, base: str) -> DataFrame:
-    """SUCCESS for a source that gave an envelope with a resource list, FAILED otherwise."""
+def collector_status(spark: SparkSession, base: str, as_of=None, fresh_minutes: int | None = None) -> DataFrame:
+    """SUCCESS for a source that gave an envelope with a resource list, FAILED otherwise.
+
+    With ``fresh_minutes`` an envelope that is older at ``as_of`` does not count.
+    """
     parts = None
     for name, resource in RESOURCE_TYPES.items():
-        good = read_envelope(spark, f"{base.rstrip('/')}/{name}.json", resource).agg(
-            F.count_if(F.col("resources").isNotNull()).alias("n")
-        )
+        found = read_envelope(spark, f"{base.rstrip('/')}/{name}.json", resource)
+        if fresh_minutes is not None:
+            found = fresh_only(found.withColumn("snapshot_ts", F.coalesce(F.try_to_timestamp("timestamp"), F.col("_modified"))), as_of, fresh_minutes)
+        good = found.agg(F.count_if(F.col("resources").isNotNull()).alias("n"))
         row = good.select(F.lit(name).alias("collector"), F.when(F.col("n") > 0, "SUCCESS").otherwise("FAILED").alias("status"))
         parts = row if parts is None else parts.unionByName(row)
     return parts
@@ -137,16 +140,25 @@ def _stem(name) :
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def read_entities(spark: SparkSession, folder: str, ddl: str, key: str = "resource_id") -> DataFrame:
-    """One document per file, keyed by the file stem, with ``detected_at`` from the file time."""
+_KEYED = ", resource_type string, resource_id string"
+
+
+def read_entities(spark: SparkSession, folder: str, ddl: str, key: str = "resource_id", layout: str = "auto") -> DataFrame:
+    """One document per file, keyed by the file stem, with ``detected_at`` from the file time.
+
+    With ``layout="lines"`` files hold many documents, a line each, with the key as one of their members.
+    """
+    if layout == "lines":
+        keyed = read_json(spark, f"{folder.rstrip('/')}/*.json", f"{ddl}, {key} string", layout, with_file=True)
+        return keyed.select(key, *[c for c in keyed.columns if c != key and not c.startswith("_")], F.col("_modified").alias("detected_at"))
     docs = read_json(spark, f"{folder.rstrip('/')}/*.json", ddl, with_file=True)
     return docs.select(
         _stem(F.url_decode("_file")).alias(key), *[c for c in docs.columns if not c.startswith("_")], F.col("_modified").alias("detected_at")
     )
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    return read_entities(spark, folder, REPORT)
+def read_reports(spark: SparkSession, folder: str, layout: str = "auto") -> DataFrame:
+    return read_entities(spark, folder, REPORT, layout=layout)
 
 
 def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,13 +166,9 @@ def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_entities(spark, folder, CONTEXT)
     c = F.col("context")
     kind = F.coalesce("resource_type", F.lit(EC2))
-    no_order = F.lit(None).cast("bigint")
-    events = F.transform(
-        F.coalesce(c["cloudtrail"], F.array().cast(struct_of(f"e array<{_EVENT}>")["e"].dataType)),
-        lambda e, i: F.struct(F.struct(i.alias("ord"), no_order.alias("link_ord")).alias("ord"), *[e[n].alias(n) for n in _EVENT_NAMES]),
-    )
+    n_events = F.greatest(F.coalesce(F.size(c["cloudtrail"]), F.lit(0)), F.lit(0)).cast("bigint")
     instance = F.struct(
-        c["cloudwatch"].alias("snapshot"), c["alb"].alias("lb_membership"), c["autoscaling"].alias("asg_membership"), events.alias("events")
+        c["cloudwatch"].alias("snapshot"), c["alb"].alias("lb_membership"), c["autoscaling"].alias("asg_membership"), n_events.alias("n_events")
     )
 
     def metrics(ddl):
@@ -174,13 +182,20 @@ def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         kind.alias("resource_type"),
         "resource_id",
-        F.lit(0).alias("page"),
         F.when(kind == EC2, instance).alias("instance"),
         F.when(kind == LOAD_BALANCER, member(lb, LB_METRICS)).alias("load_balancer"),
         F.when(kind == SCALING_GROUP, member(asg, ASG_METRICS)).alias("scaling_group"),
     )
 
 
+def read_context_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of stored context documents, a row each, as ``context.instance_events`` makes them."""
+    docs = read_entities(spark, folder, CONTEXT).where(F.coalesce("resource_type", F.lit(EC2)) == EC2)
+    rows = docs.select("resource_id", F.posexplode("context.cloudtrail").alias("at", "e"))
+    order = F.struct(F.col("at").cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("link_ord"))
+    return rows.select("resource_id", order.alias("ord"), *[F.col(f"e.{n}").alias(n) for n in _EVENT_NAMES])
+
+
 def read_runs(spark: SparkSession, folder: str, layout: str = "auto") -> DataFrame:
     """Run summaries with their times, in no order; ``oldest_first`` orders them for display."""
     docs = read_json(spark, f"{folder.rstrip('/')}/*.json", RUN, layout, with_file=True)
@@ -203,19 +218,21 @@ def with_run_times(runs: DataFrame) -> DataFrame:
     )
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, layout: str = "auto") -> DataFrame:
     """(archive_ts, run_id, resource_id, report fields) of ``<folder>/<run>/reports/*.json``.
 
-    Folders whose name is no run id are left out.
+    Folders whose name is no run id are left out. With ``layout="lines"`` a file holds many reports, a line each, with
+    ``resource_type`` and ``resource_id`` in them, as ``run_store.store_run`` writes them.
     """
-    docs = read_json(spark, f"{folder.rstrip('/')}/*/reports/*.json", REPORT, with_file=True)
+    lines = layout == "lines"
+    docs = read_json(spark, f"{folder.rstrip('/')}/*/reports/*.json", REPORT + (_KEYED if lines else ""), layout, with_file=True)
     run = F.url_decode(F.element_at(F.split("_path", "/"), -3))
     shaped = docs.select(
         C.parse_run_id(run).alias("archive_ts"),
         run.alias("run_id"),
-        _stem(F.url_decode("_file")).alias("resource_id"),
+        (F.col("resource_id") if lines else _stem(F.url_decode("_file"))).alias("resource_id"),
         F.upper("severity").alias("severity"),
-        *[c for c in docs.columns if c not in ("severity", "_file", "_path", "_modified")],
+        *[c for c in docs.columns if c not in ("severity", "resource_id", "_file", "_path", "_modified")],
     )
     return shaped.filter(F.col("archive_ts").isNotNull())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.schemas import EC2
 from tidewatch.session import cut_lineage
 from tidewatch.sources import files
 
@@ -38,57 +40,114 @@ def archive_run(df: DataFrame, path: str, run_id: str) -> None:
     ).parquet(path)
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+def upsert(rows: DataFrame, base: str, keys: list[str], buckets: int = BUCKETS, merge=None, keep: int = 2) -> None:
     """Writes rows by key into a table of hash buckets; a row replaces the stored one of its key.
 
-    Only the buckets that hold one of the keys are read and rewritten, so a small batch costs a small part of the
-    table. ``rows`` has one row a key, else it is refused. ``buckets`` stays the same for the life of a table. Repeating an
-    interrupted write makes it whole; two writers at a time are not supported.
+    Only the buckets that hold one of the keys are read and written anew, into a folder of their own; then a manifest that
+    names the folder of every bucket is committed as the next version, so readers see all of a batch or nothing of
+    it, a broken job loses nothing, and of two writers at a time one is refused. ``rows`` has one row a key, else it is
+    refused; with ``merge`` it may have more, and ``merge(stored rows of the buckets with the new ones)`` says what
+    stays. ``buckets`` stays the same for the life of a table. Folders that the newest ``keep`` versions do not name are removed.
     """
     spark = rows.sparkSession
     fresh = cut_lineage(rows.withColumn("bucket", _bucket(keys, buckets)))
     # At most one row a bucket.
-    size = fresh.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*keys)).alias("k")).collect()
-    if any(r["n"] != r["k"] for r in size):
+    size = fresh.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*[F.coalesce(F.to_json(F.struct(k)), F.lit("")) for k in keys])).alias("k")).collect()
+    if merge is None and any(r["n"] != r["k"] for r in size):
         raise ValueError(f"several rows of one {', '.join(keys)}")
     if not size:
         return
-    stored = _stored(spark, path, fresh).where(F.col("bucket").isin([r["bucket"] for r in size]))
-    same = [stored[k].eqNullSafe(fresh[k]) for k in keys]
-    kept = stored.join(fresh.select("bucket", *keys), [*same, stored["bucket"] == fresh["bucket"]], "left_anti")
-    _rewrite(kept.unionByName(fresh), path)
-
-
-def remove_keys(gone: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    version, manifest = _manifest(spark, base)
+    touched = [r["bucket"] for r in size]
+    stored = _bucket_rows(spark, base, {b: f for b, f in manifest.items() if b in touched}, rows.schema).withColumn("bucket", _bucket(keys, buckets))
+    if merge is None:
+        same = [stored[k].eqNullSafe(fresh[k]) for k in keys]
+        whole = stored.join(fresh.select("bucket", *keys), [*same, stored["bucket"] == fresh["bucket"]], "left_anti").unionByName(fresh)
+    else:
+        whole = merge(stored.drop("bucket").unionByName(fresh.drop("bucket"))).withColumn("bucket", _bucket(keys, buckets))
+    _commit_buckets(spark, base, version, manifest, whole, touched, keep)
+
+
+def remove_keys(gone: DataFrame, base: str, keys: list[str], buckets: int = BUCKETS, keep: int = 2) -> None:
     """Removes the rows of these keys from a table written by ``upsert``; other buckets are not touched."""
     spark = gone.sparkSession
     doomed = cut_lineage(gone.select(*keys).distinct().withColumn("bucket", _bucket(keys, buckets)))
-    touched = [r["bucket"] for r in doomed.select("bucket").distinct().collect()]
-    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    version, manifest = _manifest(spark, base)
+    touched = [r["bucket"] for r in doomed.select("bucket").distinct().collect() if r["bucket"] in manifest]
+    if not touched:
+        return
+    stored = _bucket_rows(spark, base, {b: manifest[b] for b in touched}, None).withColumn("bucket", _bucket(keys, buckets))
     same = [stored[k].eqNullSafe(doomed[k]) for k in keys]
-    kept = cut_lineage(stored.join(doomed, [*same, stored["bucket"] == doomed["bucket"]], "left_anti"))
-    left = {r["bucket"] for r in kept.select("bucket").distinct().collect()}
-    _rewrite(kept, path)
-    for bucket in set(touched) - left:
-        files.remove(spark, f"{path}/bucket={bucket}")
+    _commit_buckets(spark, base, version, manifest, stored.join(doomed, [*same, stored["bucket"] == doomed["bucket"]], "left_anti"), touched, keep)
+
+
+def read_keyed(spark: SparkSession, base: str, schema=None) -> DataFrame:
+    """The current rows of a table written by ``upsert``; empty with ``schema`` before the first write."""
+    _, manifest = _manifest(spark, base)
+    if not manifest and schema is None:
+        raise ValueError(f"nothing is stored under {base}")
+    return _bucket_rows(spark, base, manifest, schema)
 
 
 def _bucket(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], like.schema)
+def _manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]]:
+    """The newest version and the folder of each bucket."""
+    newest = _committed(spark, base, 1)
+    return (newest[0][0], {int(b): f for b, f in json.loads(newest[0][1]).items()}) if newest else (0, {})
 
 
-def _rewrite(rows: DataFrame, path: str) -> None:
-    whole = cut_lineage(rows).repartition("bucket")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def _bucket_rows(spark: SparkSession, base: str, folders: dict[int, str], schema) -> DataFrame:
+    paths = [f"{base}/data/{folder}/bucket={b}" for b, folder in sorted(folders.items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(*paths)
+
+
+def _commit_buckets(spark: SparkSession, base: str, version: int, manifest: dict[int, str], rows: DataFrame, touched: list[int], keep: int) -> None:
+    folder = uuid.uuid4().hex
+    whole = cut_lineage(rows)
+    whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/data/{folder}")
+    full = {r["bucket"] for r in whole.select("bucket").distinct().collect()}
+    left = {b: f for b, f in manifest.items() if b not in touched} | {b: folder for b in full}
+    if not files.create_new(spark, _marker(base, version + 1), json.dumps(left)):
+        files.remove(spark, f"{base}/data/{folder}")
+        raise ValueError(f"another job has written to {base} meanwhile")
+    # A folder that no version has ever named may belong to a writer at work; those of versions that go are removed.
+    kept = _committed(spark, base, max(1, keep))
+    named = {f for _, text in kept for f in json.loads(text).values()}
+    for name in files.names(spark, f"{base}/commits"):
+        if name.isdigit() and int(name) < kept[-1][0]:
+            for old in set(json.loads(files.read_text(spark, f"{base}/commits/{name}") or "{}").values()) - named:
+                files.remove(spark, f"{base}/data/{old}")
+            files.remove(spark, f"{base}/commits/{name}")
+
+
+CONTEXT_KEY = ["resource_type", "resource_id"]
+
+
+def store_contexts(documents: DataFrame, events: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
+    """Documents and their events as two tables that are bucketed alike by resource, under ``path``.
+
+    They are named ``<name>_documents`` and ``<name>_events`` in the session's catalog. Joining them by resource, as
+    ``context.in_order`` does, moves no row; the events of a resource lie together in order.
+    """
+    told = events if "resource_type" in events.columns else events.withColumn("resource_type", F.lit(EC2))
+    for rows, what, order in ((documents, "documents", CONTEXT_KEY), (told, "events", [*CONTEXT_KEY, "ord"])):
+        dealt = rows.repartition(buckets, *CONTEXT_KEY).sortWithinPartitions(*order)
+        dealt.write.mode("overwrite").bucketBy(buckets, *CONTEXT_KEY).sortBy(*CONTEXT_KEY).option("path", f"{path}/{what}").saveAsTable(f"{name}_{what}")
+
+
+def open_contexts(spark: SparkSession, path: str, name: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The stored documents and events, entered into the catalog if this session does not know them yet."""
+    for what in ("documents", "events"):
+        if not spark.catalog.tableExists(f"{name}_{what}"):
+            ddl = spark.read.parquet(f"{path}/{what}")._jdf.schema().toDDL()
+            keys = ", ".join(CONTEXT_KEY)
+            spark.sql(f"CREATE TABLE {name}_{what} ({ddl}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}/{what}'")
+    return spark.table(f"{name}_documents"), spark.table(f"{name}_events")
 
 
 def upsert_contexts(envelopes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
