@@ -269,10 +269,10 @@ def test_severity_changes_do_not_depend_on_batches(spark, tmp_path, max_files):
         spark.createDataFrame([(r, s, t + dt.timedelta(minutes=m)) for r, s, m in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
         for f in os.listdir(f"{tmp_path}/in/b{i}"):
             os.utime(f"{tmp_path}/in/b{i}/{f}", (1_700_000_000 + i * 100,) * 2)
-    keeper = jobs.SeverityChanges(spark, f"{tmp_path}/state", buckets=4)
-    jobs.run_batches(jobs.ingest(spark, f"{tmp_path}/in/*", schema, max_files=max_files), keeper, f"{tmp_path}/ck")
-    keeper.flush(keeper.next_batch())
-    got = sorted((r["resource_id"], (r["detected_at"] - t).seconds // 60, r["severity"], r["is_new"], r["severity_changed_from"]) for r in keeper.changes().collect())
+    stream = jobs.ingest(spark, f"{tmp_path}/in/*", schema, max_files=max_files)
+    jobs.run_once(jobs.severity_changes(stream), f"{tmp_path}/out", f"{tmp_path}/ck")
+    every = spark.read.parquet(f"{tmp_path}/out").unionByName(jobs.waiting_changes(spark, f"{tmp_path}/ck"))
+    got = sorted((r["resource_id"], (r["detected_at"] - t).seconds // 60, r["severity"], r["is_new"], r["severity_changed_from"]) for r in every.collect())
     assert got == [
         ("a", 0, "LOW", True, None), ("a", 2, "MEDIUM", False, "LOW"), ("a", 5, "CRITICAL", False, "MEDIUM"), ("a", 60, "CRITICAL", False, "HIGH"),
         ("b", 0, "HIGH", True, None), ("b", 3, "HIGH", False, "LOW"), ("c", 6, "LOW", True, None), ("c", 59, "MEDIUM", False, "LOW"),

@@ -202,10 +202,12 @@ def stream_severity_changes(spark, sf_dir):
     metric = F.col("metric")
     severity = F.when(metric == "error", "CRITICAL").when(metric == "purchase", "HIGH").when(metric == "click", "MEDIUM").otherwise("LOW")
     reports = event_stream(spark, sf_dir).select(F.col("resource_id").cast("string").alias("resource_id"), severity.alias("severity"), F.col("ts").alias("detected_at"))
-    keeper = jobs.SeverityChanges(spark, scratch_path(spark, "severity"))
-    jobs.run_batches(reports, keeper, scratch_path(spark, "ckpt"))
-    keeper.flush(keeper.next_batch())
-    return keeper.changes().select("resource_id", A.ts_text("detected_at").alias("at"), "severity", "is_new", "severity_changed_from")
+    out, checkpoint = scratch_path(spark, "severity"), scratch_path(spark, "ckpt")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    jobs.run_once(jobs.severity_changes(reports), out, checkpoint)
+    # The newest reports still wait for the watermark.
+    every = spark.read.parquet(out).unionByName(jobs.waiting_changes(spark, checkpoint))
+    return every.select("resource_id", A.ts_text("detected_at").alias("at"), "severity", "is_new", "severity_changed_from")
 
 
 @query(

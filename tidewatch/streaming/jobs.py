@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import thresholds
-from tidewatch.schemas import PERIOD_SECONDS
+from tidewatch.schemas import PERIOD_SECONDS, SEVERITY_RANKS
+from tidewatch.sources import writers
 
 LATENESS = "10 minutes"
+# The state store that keyed state needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ingest(
@@ -50,8 +54,20 @@ def tumbling_statistic(stream: DataFrame, keys: list[str], period_seconds: int =
 def sliding_statistic(
     stream: DataFrame, keys: list[str], length: str = "60 minutes", slide: str = "5 minutes", lateness: str = LATENESS
 ) -> DataFrame:
+    """Statistics of overlapping windows, out of panes of one slide that each row enters once.
+
+    Panes are aggregated first, and the windows add up panes: what is copied into all windows that hold it is a pane of a
+    series, not its rows. ``length`` is a multiple of ``slide``.
+    """
     timed = stream.withWatermark("ts", lateness)
-    return _statistic(timed.groupBy(*keys, F.window("ts", length, slide).alias("w")), keys)
+    pane = timed.groupBy(*keys, F.window("ts", slide).alias("p")).agg(
+        F.sum("value").alias("s"), F.count("value").alias("n"), F.max("value").alias("m")
+    )
+    windows = pane.groupBy(*keys, F.window(F.window_time("p"), length, slide).alias("w"))
+    return windows.agg(F.sum("s").alias("sum_value"), F.sum("n").alias("samples"), F.max("m").alias("max_value")).select(
+        *keys, F.col("w.start").alias("ts"), F.col("w.end").alias("end_ts"), "sum_value", "max_value",
+        F.try_divide("sum_value", "samples").alias("avg_value"), "samples",
+    )
 
 
 def breach_alerts(stream: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
@@ -66,8 +82,7 @@ def dedup_events(stream: DataFrame, key: str = "event_id", ts: str = "ts", laten
 
 
 CHANGES = "resource_id string, detected_at timestamp, severity string, is_new boolean, severity_changed_from string"
-_REPORTS = "resource_id string, detected_at timestamp, severity string"
-_STATE = f"{_REPORTS}, bucket int"
+_WAITING = "detected_at timestamp, severity string"
 
 
 def event_time_changes(reports: DataFrame, state: DataFrame) -> DataFrame:
@@ -87,74 +102,97 @@ def event_time_changes(reports: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-class SeverityChanges:
-    """Severity changes of a stream in event time, whatever its batches hold.
+def _rank(severity: str | None) -> int:
+    return SEVERITY_RANKS.get((severity or "").upper(), 0)
+
+
+class _Changes(StatefulProcessor):
+    """Per resource: the reports that wait for the watermark, and the newest one that it has passed.
+
+    One timer stands at the earliest waiting report; when it fires, all that the watermark has passed is compared in
+    order. A second one forgets the resource when nothing has come for long enough.
+    """
 
-    Reports wait until the newest time seen is ``lateness`` ahead of them, so they are compared in the
-    order of ``detected_at``; one that comes later still is dropped. State is the newest report of each
-    resource, in buckets: a batch writes the buckets that it changes, under its own version, so that a
-    repeated batch overwrites itself. ``flush`` takes what still waits once the stream has ended.
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.last = handle.getValueState("last", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues):
+        earliest = None
+        for part in rows:
+            part = part[part["detected_at"].notna()]
+            if len(part):
+                self.waiting.appendList([(t.to_pydatetime(), s) for t, s in zip(part["detected_at"], part["severity"])])
+                first = part["detected_at"].min()
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(_millis(earliest))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if _millis(r[0]) <= passed), key=lambda r: (r[0], _rank(r[1]), r[1] or ""))
+        later = [r for r in rows if _millis(r[0]) > passed]
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for at, severity in due:
+            if before is not None and _millis(at) - _millis(before[0]) > self.forget_ms:
+                before = None
+            worse = before is not None and _rank(severity) > _rank(before[1])
+            if before is None or worse:
+                out.append((key[0], at, severity, before is None, before[1] if worse else None))
+            before = (at, severity)
+        if due:
+            self.last.update(before)
+            self.handle.registerTimer(_millis(before[0]) + self.forget_ms)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(_millis(r[0]) for r in later))
+        elif rows:
+            self.waiting.clear()
+        if not due and before is not None and _millis(before[0]) + self.forget_ms < passed:
+            self.last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["resource_id", "detected_at", "severity", "is_new", "severity_changed_from"]).astype(
+                {"detected_at": "datetime64[us]", "severity_changed_from": object}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(t) -> int:
+    """Milliseconds since 1970; a time without a zone is UTC."""
+    return int(pd.Timestamp(t).as_unit("ns").value // 1_000_000)
+
+
+def severity_changes(stream: DataFrame, lateness: str = LATENESS, forget_days: int = 90) -> DataFrame:
+    """Severity changes of a stream (resource_id, severity, detected_at) in event time, whatever its batches hold.
+
+    Reports wait until the watermark, ``lateness`` behind the newest time seen, has passed them, so they are
+    compared in the order of ``detected_at``; one that comes later still is dropped. State is keyed: a batch reads and writes
+    that of the resources it holds or whose timer fires. A resource of which nothing has come for ``forget_days`` is
+    new again. Needs the RocksDB state store.
     """
+    timed = stream.select("resource_id", "detected_at", "severity").withWatermark("detected_at", lateness)
+    return timed.groupBy("resource_id").transformWithStateInPandas(
+        statefulProcessor=_Changes(forget_days * 86_400_000), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime"
+    )
+
 
-    def __init__(self, spark: SparkSession, path: str, lateness: str = LATENESS, buckets: int = 64):
-        self.spark, self.path, self.lateness, self.buckets = spark, path.rstrip("/"), lateness, buckets
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("detected_at").alias("t")).first()["t"]
-        passed, before = self._horizon(batch_id), self._horizon(batch_id)
-        if newest is not None:
-            reached = self.spark.range(1).select((F.lit(newest) - F.expr(f"INTERVAL {self.lateness}")).alias("t")).first()["t"]
-            passed = reached if passed is None else max(passed, reached)
-        self._advance(batch.select("resource_id", "detected_at", "severity"), batch_id, before, passed)
-
-    def flush(self, batch_id: int) -> None:
-        """All that waits after the batches below ``batch_id``."""
-        self._advance(self.spark.createDataFrame([], _REPORTS), batch_id, self._horizon(batch_id), None)
-
-    def changes(self) -> DataFrame:
-        return self._read("changes", CHANGES + ", version bigint").drop("version")
-
-    def next_batch(self) -> int:
-        """The number after the last batch."""
-        last = self._read("progress", "passed timestamp, version bigint").agg(F.max("version")).first()[0]
-        return 0 if last is None else last + 1
-
-    def _advance(self, fresh: DataFrame, batch_id: int, before, passed) -> None:
-        waiting = self._read("waiting", f"{_REPORTS}, version bigint").where(F.col("version") == batch_id - 1).drop("version")
-        in_time = fresh if before is None else fresh.where(F.col("detected_at") > F.lit(before))
-        reports = waiting.unionByName(in_time)
-        due = F.lit(True) if passed is None else F.col("detected_at") <= F.lit(passed)
-        ready, bucket = reports.where(due), F.pmod(F.xxhash64("resource_id"), F.lit(self.buckets)).cast("int")
-        state = self._state(batch_id)
-        rank = C.severity_rank(F.col("severity"))
-        newest = ready.groupBy("resource_id").agg(F.max(F.struct("detected_at", rank.alias("rank"), "severity")).alias("n"))
-        newest = newest.select("resource_id", "n.detected_at", "n.severity", bucket.alias("bucket"))
-        touched = newest.select("bucket").distinct()
-        kept = state.join(touched, "bucket", "left_semi").join(newest.select("resource_id"), "resource_id", "left_anti")
-        self._write(event_time_changes(ready, state), "changes", batch_id)
-        self._write(kept.select("resource_id", "detected_at", "severity", "bucket").unionByName(newest), "state", batch_id, "bucket")
-        self._write(reports.where(~due), "waiting", batch_id)
-        self._write(self.spark.range(1).select(F.lit(passed).cast("timestamp").alias("passed")), "progress", batch_id)
-
-    def _state(self, batch_id: int) -> DataFrame:
-        """Of each bucket the newest version before this batch."""
-        stored = self._read("state", f"{_STATE}, version bigint").where(F.col("version") < batch_id)
-        newest = stored.groupBy("bucket").agg(F.max("version").alias("version"))
-        return stored.join(newest, ["bucket", "version"], "left_semi").drop("version")
-
-    def _horizon(self, batch_id: int):
-        return self._read("progress", "passed timestamp, version bigint").where(F.col("version") < batch_id).agg(F.max("passed")).first()[0]
-
-    def _read(self, name: str, ddl: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], ddl)
-
-    def _write(self, df: DataFrame, name: str, batch_id: int, *parts: str) -> None:
-        df.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.path}/{name}/version={batch_id}")
+def waiting_changes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The changes among the reports that still wait in the state of a stream that has ended."""
+    def state(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+    waiting = state("waiting").select("key.resource_id", F.col("list_element.detected_at").alias("detected_at"), F.col("list_element.severity").alias("severity"))
+    last = state("last").select("key.resource_id", "value.severity")
+    return event_time_changes(waiting, last)
 
 
 def newest_phase(rows: DataFrame) -> DataFrame:
@@ -165,14 +203,18 @@ def newest_phase(rows: DataFrame) -> DataFrame:
 
 def run_progress(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, phase, percent, ts) as of the batches that ``keep_progress`` has written."""
-    return newest_phase(spark.read.parquet(path)).withColumn("percent", C.clamp_percent(F.col("percent"))).select("run_id", "phase", "percent", "ts")
+    rows = writers.read_keyed(spark, path)
+    return rows.withColumn("percent", C.clamp_percent(F.col("percent"))).select("run_id", "phase", "percent", "ts")
+
 
+def keep_progress(path: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the newest phase of each run in a table by run, of which a batch rewrites the buckets it touches.
 
-def keep_progress(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each batch adds the newest phase of the runs that it holds, and keeps no state."""
+    A repeated batch changes nothing, and the number of files stays bounded however many batches there are.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest_phase(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        writers.upsert(newest_phase(batch), path, ["run_id"], buckets, merge=newest_phase)
 
     return write
 
