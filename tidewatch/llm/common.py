@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,6 +71,12 @@ def text_tie(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def release_memory() -> None:
+    """Gives what a Python worker no longer uses back to its machine: workers live on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

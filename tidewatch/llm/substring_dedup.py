@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import bitmap, free_name, text_tie
+from tidewatch.llm.common import bitmap, free_name, release_memory, text_tie
 from tidewatch.session import cut_lineage, scratch_path
 
 RUN_PIECES = 3
@@ -109,6 +109,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = batch.slice(at, i + 1 - at)
                 yield pa.record_batch([part.column("_id"), part.column("_tie"), *columns], ["_id", "_tie", "_hashes", "_starts", "_ends"])
                 rows, at, held = [], i + 1, 0
+        release_memory()
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -147,6 +148,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             take = pa.array(row[at])
             starts, ends = (batch.column(c).flatten().to_numpy()[at] for c in ("_starts", "_ends"))
             yield pa.record_batch({"_id": batch.column("_id").take(take), "_tie": batch.column("_tie").take(take), "_hash": pa.array(hashes[at]), "_from": pa.array(starts), "_to": pa.array(ends)})
+            release_memory()
 
     runs = stored.mapInArrow(repeated, f"_id {kind}, _tie long, _hash long, _from int, _to int")
     place = F.struct("_id", "_tie", "_from")

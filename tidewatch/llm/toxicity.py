@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import free_name, text_tie
+from tidewatch.llm.common import free_name, release_memory, text_tie
 from tidewatch.session import cut_lineage
 
 # Labelled rows that features and model are fitted on, and features that the model may have.
@@ -122,6 +122,7 @@ def _choose_features(sample: DataFrame) -> dict[str, float]:
                 if len(features) >= FEATURE_ROWS:
                     yield packed(features, marks)
                     features, marks = [], []
+            release_memory()
         yield packed(features, marks)
 
     def packed(features: list[str], marks: list[int]) -> pa.RecordBatch:
