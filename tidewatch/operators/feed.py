@@ -310,8 +310,9 @@ def top_affected(archived: DataFrame, contexts: DataFrame, k: int = 5, min_sever
 
 
 def resource_distribution(contexts: DataFrame) -> DataFrame:
+    """Resources of each type, the most frequent first; types of one count by name."""
     label = F.coalesce(C.type_label(F.col("resource_type")), F.lit("Unknown"))
-    return contexts.groupBy(label.alias("type")).agg(F.count(F.lit(1)).alias("count"))
+    return contexts.groupBy(label.alias("type")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "type")
 
 
 def inventory(contexts: DataFrame) -> DataFrame:

@@ -402,3 +402,78 @@ def feed_analytics(spark, sf_dir):
     item = F.when(F.col("section") == "severity_trend", F.date_format("at", "yyyy-MM-dd")).otherwise(F.coalesce("run_id", "type"))
     count = F.when(F.col("section") == "resource_distribution", F.col("count"))
     return rows.select("section", item.alias("item"), count.alias("count"))
+
+
+@query(
+    "distribution_order",
+    f"WITH {TYPES_SQL}, n AS (SELECT coalesce(type, 'Unknown') AS type, count(*) AS count FROM kinds GROUP BY ALL) SELECT type, count, row_number() OVER (ORDER BY count DESC, type)::INTEGER AS position FROM n",
+)
+def distribution_order(spark, sf_dir):
+    """The types as a chart lists them; there are as many rows as types."""
+    rows = feed.resource_distribution(customer_types(spark, sf_dir)).collect()
+    return spark.createDataFrame([(r["type"], r["count"], i + 1) for i, r in enumerate(rows)], "type string, count long, position int")
+
+
+def _label(c):
+    return f"strftime({c} + INTERVAL 330 MINUTE, '%d %b, %H:%M')"
+
+
+@query(
+    "feed_export",
+    f"""WITH {TOTALS_SQL}, {ARCHIVES_SQL},
+s AS (SELECT archive_ts, count(*) FILTER (lower(severity) = 'critical') AS critical, count(*) FILTER (lower(severity) = 'high') AS high,
+  count(*) FILTER (lower(severity) = 'medium') AS medium, count(*) FILTER (lower(severity) = 'low') AS low FROM archived GROUP BY ALL),
+top AS (SELECT resource_id, count(*) AS incidents FROM archived GROUP BY ALL ORDER BY incidents DESC, resource_id LIMIT 5),
+recent AS (SELECT resource_id, summary FROM reports ORDER BY detected_at DESC, resource_id LIMIT 6)
+SELECT 'summary' AS part, unnest(['total_resources', 'critical_issues', 'high_severity', 'investigations', 'success_rate']) AS item,
+  unnest([discovered, critical, high, analyzed - failed, round((analyzed - failed) / analyzed * 100, 1)])::DOUBLE AS value, CAST(NULL AS VARCHAR) AS label FROM latest, t
+UNION ALL SELECT 'health', unnest(['total', 'healthy', 'warning', 'critical', 'unknown']), unnest([discovered, healthy, warning, critical, greatest(discovered - reported, 0) + odd])::DOUBLE, NULL FROM latest, t
+UNION ALL SELECT 'latest', run_id, seconds_int::DOUBLE, status FROM (SELECT run_id, status, round_even(seconds, 0)::BIGINT AS seconds_int FROM latest)
+UNION ALL SELECT 'incident_trend', run_id, (analyzed - failed)::DOUBLE, {_label('start_ts')} FROM runs
+UNION ALL SELECT 'execution_time_trend', run_id, seconds, {_label('start_ts')} FROM runs
+UNION ALL SELECT 'severity_trend ' || unnest(['critical', 'high', 'medium', 'low']), strftime(archive_ts, '%Y-%m'), unnest([critical, high, medium, low])::DOUBLE, {_label('archive_ts')} FROM s
+UNION ALL SELECT 'top', CAST(resource_id AS VARCHAR), incidents::DOUBLE, '—' FROM top
+UNION ALL SELECT 'recent', CAST(resource_id AS VARCHAR), NULL, summary FROM recent
+UNION ALL SELECT 'reports', severity, count(*)::DOUBLE, NULL FROM reports GROUP BY severity
+UNION ALL SELECT 'state', severity, count(*)::DOUBLE, NULL FROM reports GROUP BY severity""",
+)
+def feed_export(spark, sf_dir):
+    """The whole export published as one version and read back: every table with its values, dates and labels."""
+    from tidewatch.plans import investigation
+    from tidewatch.session import scratch_path
+    from tidewatch.sources import writers
+
+    base = scratch_path(spark, "export")
+    named = lambda df: df.withColumn("resource_id", F.col("resource_id").cast("string"))
+    reports = named(A.current_reports(spark, sf_dir)).withColumns(
+        {"recommendations": F.array().cast("array<string>"), "evidence": F.array().cast("array<string>"), "raw_response": F.lit(None).cast("string")}
+    )
+    investigation.export_feed(
+        base, 1, runs=A.runs(spark, sf_dir), reports=reports, contexts=A.fleet_contexts(spark, sf_dir), archived=named(A.archived_reports(spark, sf_dir)).select("archive_ts", "resource_id", "severity")
+    )
+    of = lambda name: writers.read_published(spark, base, name)
+    none, text, number = F.lit(None).cast("string"), lambda c: F.col(c).cast("string"), lambda c: F.col(c).cast("double")
+
+    def rows(df, part, item, value, label=none):
+        return df.select((F.lit(part) if isinstance(part, str) else part).alias("part"), item.alias("item"), value.alias("value"), label.alias("label"))
+
+    health, trends = of("infrastructure_health"), of("analytics")
+    parts = [
+        rows(of("summary"), "summary", F.col("kpi"), F.col("value")),
+        rows(health.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), number(c).alias("v")) for c in health.columns]))), "health", F.col("k"), F.col("v")),
+        rows(of("latest_execution"), "latest", F.col("run_id"), number("duration_seconds"), F.col("status")),
+        rows(trends.where("section = 'incident_trend'"), "incident_trend", F.col("run_id"), number("count"), F.col("date")),
+        rows(trends.where("section = 'execution_time_trend'"), "execution_time_trend", F.col("run_id"), F.col("avg_seconds"), F.col("date")),
+        rows(
+            trends.where("section = 'severity_trend'").select("at", "date", F.inline(F.array(*[F.struct(F.lit(s).alias("s"), number(s).alias("n")) for s in feed.SEVERITIES]))),
+            F.concat(F.lit("severity_trend "), "s"), F.date_format("at", "yyyy-MM"), F.col("n"), F.col("date"),
+        ),
+        rows(of("top_affected"), "top", F.col("resource_id"), number("incidents"), F.col("type")),
+        rows(of("recent"), "recent", F.col("resource_id"), F.lit(None).cast("double"), F.col("summary")),
+        rows(of("reports").groupBy("severity").count(), "reports", F.col("severity"), number("count")),
+        rows(of("state").groupBy("severity").count(), "state", F.col("severity"), number("count")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

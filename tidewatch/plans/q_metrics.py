@@ -7,6 +7,8 @@ from tidewatch.operators import metrics, thresholds
 from tidewatch.plans import adapters as A
 from tidewatch.plans.registry import query
 from tidewatch.schemas import SNAPSHOT_LOOKBACK_MINUTES, TREND_LOOKBACK_MINUTES
+from tidewatch.session import scratch_path
+from tidewatch.sources import datapoints
 
 STATS_SQL = "stats(metric, statistic, unit) AS (VALUES " + ", ".join(str(r) for r in A.STATISTIC_ROWS) + ")"
 THRESHOLDS_SQL = (
@@ -59,8 +61,11 @@ SELECT event_id, user_id AS resource_id, event_type AS metric, value FROM events
 WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL {TREND_LOOKBACK_MINUTES} MINUTE AND (SELECT max(ts) FROM events)""",
 )
 def lookback_trend(spark, sf_dir):
-    window = metrics.lookback(A.table(spark, sf_dir, "events"), A.as_of(spark, sf_dir), TREND_LOOKBACK_MINUTES)
-    return window.select("event_id", F.col("user_id").alias("resource_id"), F.col("event_type").alias("metric"), "value")
+    """The last hour out of a store by day: of all its days one or two are read, also to find the newest time."""
+    path = scratch_path(spark, "datapoints")
+    datapoints.write_datapoints(A.datapoints(spark, sf_dir), path)
+    window = datapoints.read_window(spark, path, datapoints.newest(spark, path), TREND_LOOKBACK_MINUTES)
+    return window.select("event_id", "resource_id", "metric", "value")
 
 
 @query(

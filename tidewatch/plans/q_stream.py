@@ -121,6 +121,110 @@ def log_scan(spark, sf_dir):
     return extract.parse_log_lines(readers.read_log_lines(spark, path)).groupBy("logger").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(
+    "analysis_ledger",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'first ' || o_orderkey ELSE 'second ' || o_orderkey END AS response,
+  CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END::INTEGER AS attempts, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END::INTEGER AS failed_attempts,
+  CASE WHEN o_orderstatus = 'F' THEN 'no answer' END AS error FROM orders""",
+)
+def analysis_ledger(spark, sf_dir):
+    """Two runs over one ledger: the second does not call what the first has answered."""
+    from tidewatch.operators import ledger
+
+    def answering(word):
+        def answer(text):
+            if text.startswith("F"):
+                raise RuntimeError("no answer")
+            return f"{word} {text[2:]}"
+
+        return answer
+
+    path = scratch_path(spark, "ledger")
+    orders = A.table(spark, sf_dir, "orders")
+    prompts = orders.select(
+        F.lit("order").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"), F.concat_ws("|", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("text"), "o_orderpriority"
+    )
+    options = dict(max_attempts=2, parallel_calls=8, task_calls=2_000, sleep=lambda seconds: None)
+    ledger.answer(prompts.where("o_orderpriority = '1-URGENT'"), answering("first"), path, **options)
+    return ledger.answer(prompts, answering("second"), path, **options).select("resource_id", "response", "attempts", "failed_attempts", "error")
+
+
+@query(
+    "run_store_roundtrip",
+    """
+WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN '05-01-2024_10-30-00' ELSE '06-01-2024_10-30-00' END AS run_id, * FROM orders),
+c AS (SELECT run_id, o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM r GROUP BY ALL),
+cur AS (SELECT o_custkey, max(run_id) AS run_id FROM c GROUP BY ALL)
+SELECT run_id, 'SUCCESS' AS status, count(*) AS reports_generated, count(*) AS archived, count(*) FILTER (p = '2-HIGH') AS high, 30.5::DOUBLE AS seconds,
+  (SELECT count(*) FROM cur WHERE cur.run_id = c.run_id) AS current FROM c GROUP BY run_id""",
+)
+def run_store_roundtrip(spark, sf_dir):
+    """Two runs are stored one after another and found again as history, archives and current reports."""
+    import datetime as dt
+
+    from tidewatch.functions import columns as C
+    from tidewatch.operators import analyze
+    from tidewatch.plans import run_store
+
+    base = scratch_path(spark, "store")
+    history = A.report_history(spark, sf_dir).join(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_no"), "o_orderstatus"), "report_no")
+    for day, of in ((5, F.col("o_orderstatus") == "F"), (6, F.col("o_orderstatus") != "F")):
+        at = dt.datetime(2024, 1, day, 5, tzinfo=dt.timezone.utc)
+        rows = analyze.latest_reports(history.where(of).drop("o_orderstatus"), ["resource_id"], ["report_no"])
+        reports = rows.select(
+            F.lit("EC2").alias("resource_type"), F.col("resource_id").cast("string").alias("resource_id"), F.lit(f"run of day {day}").alias("summary"), "severity", "confidence", "root_cause",
+            F.array().cast("array<string>").alias("evidence"), F.array().cast("array<string>").alias("recommendations"), F.lit(None).cast("string").alias("raw_response"), C.instant(at).alias("detected_at"),
+        )
+        outcomes = reports.select("resource_type", "resource_id", F.lit(None).cast("string").alias("error"), F.lit(0).alias("failed_attempts"))
+        timed = analyze.run_counters(reports.select(F.lit(True).alias("eligible")), outcomes).withColumns({"start_ts": C.instant(at), "end_ts": C.instant(at + dt.timedelta(seconds=30.5))})
+        run_store.store_run(base, {"run": analyze.run_records(timed), "reports": reports})
+    held = run_store.history(spark, base)
+    archived = held["archived"].groupBy("run_id").agg(F.count("*").alias("archived"), F.count_if(F.col("severity") == "HIGH").alias("high"))
+    current = held["reports"].groupBy(F.when(F.col("summary") == "run of day 5", "05-01-2024_10-30-00").otherwise("06-01-2024_10-30-00").alias("run_id")).agg(F.count("*").alias("current"))
+    runs = held["runs"].select("run_id", "status", "reports_generated", F.col("execution_time_seconds").alias("seconds"))
+    return runs.join(archived, "run_id", "left").join(current, "run_id", "left").withColumn("current", F.coalesce("current", F.lit(0).cast("long")))
+
+
+@query(
+    "keyed_upserts",
+    """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 3 THEN 'third' WHEN c_nationkey < 12 THEN 'second' ELSE 'first' END AS batch, c_acctbal AS balance FROM customer WHERE c_nationkey >= 12 OR c_custkey % 3 <> 0 OR c_custkey % 10 = 3
+UNION ALL SELECT -s_suppkey, 'third', s_acctbal FROM supplier""",
+)
+def keyed_upserts(spark, sf_dir):
+    """Three batches and a deletion into one table by key."""
+    path = scratch_path(spark, "keyed")
+    customers = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), "c_nationkey")
+    named = lambda rows, word: rows.select("id", F.lit(word).alias("batch"), "balance")
+    writers.upsert(named(customers, "first"), path, ["id"])
+    low = customers.where("c_nationkey < 12")
+    writers.upsert(named(low, "second"), path, ["id"])
+    writers.remove_keys(low.where("id % 3 = 0").select("id"), path, ["id"])
+    fresh = A.table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_acctbal").alias("balance"))
+    writers.upsert(named(customers.where("id % 10 = 3").select("id", "balance").union(fresh), "third"), path, ["id"])
+    return writers.read_keyed(spark, path)
+
+
+@query(
+    "stored_lookup",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS report_id, CAST(o_custkey AS VARCHAR) AS instance_id FROM orders WHERE o_orderkey = 77 OR o_custkey = 77
+ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 1""",
+)
+def stored_lookup(spark, sf_dir):
+    """A report looked up in a table with Bloom filters on both of its ids."""
+    from tidewatch.operators import history
+    from tidewatch.sources import lookups
+
+    path = scratch_path(spark, "reports")
+    reports = A.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("report_id"), F.col("o_custkey").cast("string").alias("instance_id"), A.utc("o_orderdate").alias("detected_at")
+    )
+    lookups.write_for_lookup(reports, path, ["report_id", "instance_id"])
+    return history.get_report(spark.read.parquet(path), "77").select("report_id", "instance_id")
+
+
 # --- streams ----------------------------------------------------------------------
 
 
