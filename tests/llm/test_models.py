@@ -183,6 +183,85 @@ def test_sparse_sites_shrink_to_the_whole(spark):
     assert out[1000].site_share == pytest.approx(2 / 3, abs=0.05) and out[1001].site_share == pytest.approx(2 / 3, abs=0.05)
 
 
+def test_path_strength_is_that_within_hosts(spark):
+    """Two hosts that are unlike, each with paths that are alike: hosts differ, paths do not."""
+    rows = [(h, p, 100.0, 90.0 if h == "a" else 10.0) for h in "ab" for p in range(20)]
+    paths = spark.createDataFrame(rows, "_host string, _path int, n double, s double")
+    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    assert site_quality._strength(paths, "_host") > 500 and site_quality._strength(hosts) < 3
+    unlike = spark.createDataFrame([("a", p, 100.0, 95.0 if p % 2 else 5.0) for p in range(20)], paths.schema)
+    assert site_quality._strength(unlike, "_host") < 2 and site_quality._strength(paths.limit(0), "_host") == 10.0
+
+
+def plain_strength(groups, parent):
+    more = room = 0.0
+    for key in {parent(g) for g in groups}:
+        own = [v for g, v in groups.items() if parent(g) == key]
+        n, s = sum(x for x, _ in own), sum(x for _, x in own)
+        if len(own) < 2:
+            continue
+        share = s / n
+        var = share * (1 - share)
+        more += sum(a * (b / a - share) ** 2 for a, b in own) - (len(own) - 1) * var
+        room += (n - sum(a * a for a, _ in own) / n - (len(own) - 1)) * var
+    return 10.0 if room <= 0 else 1 / min(max(more / room, 1e-3), 0.5) - 1
+
+
+def test_site_quality_equals_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = {r.doc_id: r for r in site_quality.classify(docs, labels).collect()}
+    bins = site_quality.measures(docs, "text").select("doc_id", "source", "lang", *[F.expr(e).alias(k) for k, (e, _) in site_quality.BINS.items()]).collect()
+    y = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            y[r.doc_id] = min(y.get(r.doc_id, 1), r.quality)
+    place = lambda r, k: None if r[k] is None else sum(r[k] > e for e in site_quality.BINS[k][1])
+    known = [r for r in bins if r.doc_id in y]
+    share, llr = sum(y[r.doc_id] for r in known) / len(known), {r.doc_id: 0.0 for r in bins}
+    for k, (_, ends) in site_quality.BINS.items():
+        counts = [[1.0 + sum(place(r, k) == b and y[r.doc_id] == kind for r in known) for b in range(len(ends) + 1)] for kind in (0, 1)]
+        for r in bins:
+            if (b := place(r, k)) is not None:
+                llr[r.doc_id] += math.log(counts[1][b] / sum(counts[1])) - math.log(counts[0][b] / sum(counts[0]))
+    odds = math.log(share / (1 - share))
+    e = {r.doc_id: y.get(r.doc_id, 1 / (1 + math.exp(-(llr[r.doc_id] + odds)))) for r in bins}
+    paths, hosts = {}, {}
+    for r in bins:
+        for table, key in ((paths, (r.source, r.lang)), (hosts, r.source)):
+            n, s = table.get(key, (0.0, 0.0))
+            table[key] = n + 1, s + e[r.doc_id]
+    of_path, of_host = plain_strength(paths, lambda g: g[0]), plain_strength(hosts, lambda g: 0)
+    assert len(got) == len(bins)
+    for r in bins:
+        (hn, hs), (n, s), own = hosts[r.source], paths[r.source, r.lang], e[r.doc_id]
+        host = (hs - own + of_host * share) / (hn - 1 + of_host)
+        path = (s - own + of_path * host) / (n - 1 + of_path)
+        logit = math.log(min(max(path, 1e-4), 1 - 1e-4) / (1 - min(max(path, 1e-4), 1 - 1e-4)))
+        posterior = 1 / (1 + math.exp(-(llr[r.doc_id] + logit)))
+        row = got[r.doc_id]
+        assert row.evidence == pytest.approx(llr[r.doc_id], abs=1e-9) and row.site_share == pytest.approx(path, abs=1e-9) and row.posterior == pytest.approx(posterior, abs=1e-9)
+        assert row.kept == (row.posterior >= 0.5)
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf_dir):
+    """Expected severity from the model's numbers alone, feature by feature."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        found = {}
+        for word in toxicity._WORD.findall((r.text or "").lower()):
+            for f in toxicity.features_of(word):
+                if f in model.index:
+                    found[f] = found.get(f, 0) + 1
+        z = sum(float(model.weights[model.index[f]]) * math.log1p(n) for f, n in found.items())
+        below = [0.0, *(1 / (1 + math.exp(-(float(c) - z))) for c in model.cuts), 1.0]
+        p = [b - a for a, b in zip(below, below[1:])]
+        assert r.severity == pytest.approx(sum(k * x for k, x in enumerate(p)), abs=1e-6) and r.p_toxic == pytest.approx(1 - p[0], abs=1e-6)
+        assert r.grade == max(range(len(p)), key=lambda k: (p[k], -k)) and r.toxic == (r.p_toxic >= toxicity.REJECT_AT)
+
+
 def test_site_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(None, 1), (1, 1), (2, None)], "doc_id long, quality int")
     rows = site_quality.classify(edge_docs, labels).collect()

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import quality_rules, sharding, url_filters
 
@@ -78,6 +79,35 @@ def test_url_rules_need_tokens_and_empty_tables_work(spark):
     assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_a_host_of_very_many_labels(spark):
+    """Linear in the labels: 20,000 of them take no longer than the rest of the job."""
+    import time
+
+    hosts = [".".join(["a"] * n + ["example", "org"]) for n in (1, 20_000)]
+    few, many = (spark.createDataFrame([(1, f"http://{h}/en/1?{'q' * len(h)}")], "page_id long, url string") for h in hosts)
+    took = []
+    for pages in (few, few, many):
+        start = time.time()
+        assert [r.rule for r in url_filters.judge_urls(pages).collect()] == ["example.org/en/1"]
+        took.append(time.time() - start)
+    assert took[2] < took[1] + 1
+
+
+def test_large_rule_tables(spark):
+    sites = spark.range(100_000).select(F.concat(F.lit("h"), "id", F.lit(".example.net")).alias("host"), F.lit("/").alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"))
+    patterns = spark.range(50_000).select(
+        F.concat(F.lit("r"), "id").alias("name"), F.concat(F.lit("/t"), "id", F.lit(r"\b")).alias("pattern"), F.array(F.concat(F.lit("t"), "id"), F.lit("common")).alias("tokens"), F.lit("block").alias("verdict")
+    )
+    urls = ["http://x.h4.example.net/", "http://h5.example.net/common/t9", "http://other.org/common/t17", "http://other.org/common/t17b", "http://other.org/t99999"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.pattern, r.verdict) for r in url_filters.judge_urls(pages, site_rules=sites, pattern_rules=patterns).collect()}
+    assert got == {0: ("h4.example.net/", None, "block"), 1: ("h5.example.net/", None, "allow"), 2: (None, "r17", "block"), 3: (None, None, "allow"), 4: (None, None, "allow")}
+    with pytest.raises(ValueError):
+        url_filters.judge_urls(pages, pattern_rules=patterns.withColumn("tokens", F.array(F.lit("Not one"))))
+    with pytest.raises(ValueError):
+        url_filters.judge_urls(pages, site_rules=(), pattern_rules=())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 1000, 65537])
 def test_permutation_and_its_inverse(n):
     p = sharding.permute(np.arange(n), n, 7)

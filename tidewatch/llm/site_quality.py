@@ -70,22 +70,27 @@ def _evidence(binned: DataFrame) -> Column:
         n = len(ends) + 1
         good, bad = ([got[f"{name}_{b}_{kind}"] + SMOOTHING for b in range(n)] for kind in ("good", "bad"))
         ratios = [F.lit(math.log(good[b] / sum(good)) - math.log(bad[b] / sum(bad))) for b in range(n)]
-        total = total + F.coalesce(F.element_at(F.array(*ratios), F.col(name) + 1), F.lit(0.0))
+        # Spark takes an element of an array without nulls for not null, whatever its place is; so a silent measure is asked first.
+        total = total + F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(F.element_at(F.array(*ratios), F.coalesce(name, F.lit(0)) + 1))
     return total
 
 
-def _strength(groups: DataFrame, share: float) -> float:
-    """Prior strength from the moments of the groups' shares: the more they differ, the weaker."""
-    row = groups.agg(
-        F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - share, 2)).alias("spread"),
-    ).first()
-    g, n, var = row["g"], row["n"] or 0.0, share * (1 - share)
-    room = n - (row["nn"] or 0.0) / n - (g - 1) if n else 0.0
-    if g < 2 or room <= 0 or var <= 0:
+def _strength(groups: DataFrame, within: str | None = None) -> float:
+    """Prior strength from the moments of the groups' shares around that of what they shrink towards: the more they differ, the weaker.
+
+    ``groups`` has n documents and s good ones a row. They are compared with the share of their ``within`` (hosts
+    with the whole, paths with their own host), so what sets hosts apart says nothing about their paths.
+    """
+    parent = [] if within is None else [within]
+    sums = groups.groupBy(*parent).agg(
+        F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss")
+    )
+    share = F.col("s") / F.col("n")
+    var, spread, room = share * (1 - share), F.col("ss") - F.col("s") * share, F.col("n") - F.col("nn") / F.col("n") - (F.col("g") - 1)
+    row = sums.where("n > 0 AND g > 1").agg(F.sum(spread - (F.col("g") - 1) * var).alias("more"), F.sum(room * var).alias("room")).first()
+    if not row["room"] or row["room"] <= 0:
         return 10.0
-    likeness = ((row["spread"] or 0.0) - (g - 1) * var) / (room * var)
-    likeness = min(max(likeness, 1e-3), 0.5)
+    likeness = min(max(row["more"] / row["room"], 1e-3), 0.5)
     return 1 / likeness - 1
 
 
@@ -97,7 +102,8 @@ def classify(
     ``site_share`` is the posterior of the path without the document itself, ``posterior`` adds the
     document's evidence to its log-odds, ``kept`` if that is at least one half. Hosts and paths that
     are null are groups of their own. Null texts count as empty. Of repeated labels the lowest counts; without
-    labels of both kinds evidence is zero and all are kept. Other columns are not carried.
+    labels of both kinds evidence is zero and all are kept. Very long texts count whole, repeated rows are documents of their own, an
+    empty table gives an empty one. Other columns are not carried, whatever their names.
     """
     known = labels.where(F.col(good).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.min(F.col(good).cast("double")).alias("_y"))
     plain = documents.select(F.col(id_col).alias("_id"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"))
@@ -111,7 +117,7 @@ def classify(
     marked = marked.withColumn("_e", F.coalesce("_y", 1 / (1 + F.exp(-(F.col("_llr") + odds)))))
     paths = cut_lineage(marked.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_e").alias("s")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    priors = Priors(share, _strength(hosts, share), _strength(paths, share))
+    priors = Priors(share, _strength(hosts), _strength(paths, "_host"))
     of_host = hosts.select(F.col("_host").alias("_h"), F.col("n").alias("_hn"), F.col("s").alias("_hs"))
     sites = paths.join(of_host, F.col("_host").eqNullSafe(F.col("_h"))).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "n", "s", "_hn", "_hs")
     joined = marked.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))

@@ -2,7 +2,7 @@
 
 Pattern rules (regular expressions with their literal tokens) are indexed by the token that is rarest
 in the URLs at hand; site rules (host and path prefix) by their host. Each distinct URL offers its
-tokens and the suffixes of its host as keys, an equi join fetches the candidate rules, and only those
+tokens and the last labels of its host as keys, an equi join fetches the candidate rules, and only those
 are evaluated. Built-in functions throughout.
 """
 
@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.common import free_name, lower_ascii, small_side
+from tidewatch.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -75,54 +76,72 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(lower_ascii(url), "[^a-z0-9]+"), ""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parents: ``a.b.c``, ``b.c``, ``c``."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """The last label of the host, the last two, and so on up to ``most`` labels: no rule has a longer host."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, most)))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
 
 
-def index_rules(urls: DataFrame, site_rules: tuple[SiteRule, ...], pattern_rules: tuple[PatternRule, ...]) -> DataFrame:
+SITE_COLUMNS = "host string, path string, verdict string"
+PATTERN_COLUMNS = "name string, pattern string, tokens array<string>, verdict string"
+
+
+def site_table(spark: SparkSession, rules: tuple[SiteRule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], SITE_COLUMNS)
+
+
+def pattern_table(spark: SparkSession, rules: tuple[PatternRule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.pattern, list(r.tokens), r.verdict) for r in rules], PATTERN_COLUMNS)
+
+
+def index_rules(urls: DataFrame, sites: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per rule with its key. A pattern rule's key is the one of its tokens that fewest URLs hold.
 
     The counts come from all URLs, in one aggregate over the tokens that rules name. The choice
     changes how many candidates there are, never a verdict.
     """
-    spark = urls.sparkSession
-    named = sorted({t for r in pattern_rules for t in r.tokens})
-    seen = {}
-    if named:
-        # At most one row per token of a rule comes back.
-        held = urls.select(F.explode(F.array_intersect(tokens_of(F.col("_url")), F.array(*map(F.lit, named)))).alias("token"))
-        seen = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
-    rows = [("host", r.host, f"{r.host}{r.path}", r.path, None, r.verdict) for r in site_rules]
-    for r in pattern_rules:
-        rows.append(("token", min(r.tokens, key=lambda t: (seen.get(t, 0), t)), r.name, None, r.pattern, r.verdict))
-    return spark.createDataFrame(rows, "_kind string, _key string, _rule string, _prefix string, _pattern string, _rule_verdict string")
+    named = patterns.select("name", F.explode("tokens").alias("token")).distinct()
+    wanted = small_side(named.select("token").distinct())
+    seen = urls.select(F.explode(tokens_of(F.col("_url"))).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("seen"))
+    rarest = named.join(seen, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token"))["token"].alias("_key"))
+    none = F.lit(None).cast("string")
+    by_host = sites.select(F.lit("host").alias("_kind"), F.col("host").alias("_key"), F.concat("host", "path").alias("_rule"), F.col("path").alias("_prefix"), none.alias("_pattern"), F.col("verdict").alias("_rule_verdict"))
+    by_token = patterns.join(rarest, "name").select(F.lit("token"), "_key", "name", none, "pattern", "verdict")
+    return cut_lineage(by_host.union(by_token))
 
 
 def judge_urls(
     pages: DataFrame,
     url: str = "url",
-    site_rules: tuple[SiteRule, ...] = SITE_RULES,
-    pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES,
+    site_rules: tuple[SiteRule, ...] | DataFrame = SITE_RULES,
+    pattern_rules: tuple[PatternRule, ...] | DataFrame = PATTERN_RULES,
 ) -> DataFrame:
     """``pages`` with host, path, rule (of the sites, else null), pattern (that decided, else null) and verdict.
 
+    Rules are given in code or as tables (``SITE_COLUMNS``, ``PATTERN_COLUMNS``) of any size; names of pattern rules differ.
     The longest fitting site rule decides (ties: the first by its text). Without one, a matching
     allow pattern, then a matching block pattern (the first by name), then ``allow``. Null URLs and
     those without ``://`` have empty host and path and no site rule. Repeated rows are judged alike;
-    columns named as the new ones are replaced.
+    columns named as the new ones are replaced. Very long URLs are judged whole; an empty table gives an empty one.
     """
-    if not site_rules and not pattern_rules:
+    spark = pages.sparkSession
+    sites = site_rules if isinstance(site_rules, DataFrame) else site_table(spark, site_rules)
+    patterns = pattern_rules if isinstance(pattern_rules, DataFrame) else pattern_table(spark, pattern_rules)
+    count = sites.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
+    token = F.size(F.filter("tokens", lambda t: ~F.regexp_like(t, F.lit("^[a-z0-9]+$"))))
+    bad = patterns.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("tokens") < 1, F.lit(True)) | (token > 0)).alias("bad")).first()
+    if not count["n"] and not bad["n"]:
         raise ValueError("no rules given")
+    if bad["bad"]:
+        raise ValueError(f"{bad['bad']} pattern rules lack literal tokens of a to z and 0 to 9")
     # A URL is judged once however many pages have it. Partial aggregation makes a hot URL one row per task.
     urls = pages.select(F.col(url).alias("_url")).where(F.col(url).isNotNull()).distinct()
-    rules = small_side(index_rules(urls, site_rules, pattern_rules))
+    rules = small_side(index_rules(urls, sites, patterns))
     offered = urls.select(
         "_url",
         F.explode(
             F.concat(
-                F.transform(host_suffixes(host_of(F.col("_url"))), lambda s: F.struct(F.lit("host").alias("kind"), s.alias("key"))),
+                F.transform(host_suffixes(host_of(F.col("_url")), count["labels"] or 1), lambda s: F.struct(F.lit("host").alias("kind"), s.alias("key"))),
                 F.transform(tokens_of(F.col("_url")), lambda t: F.struct(F.lit("token").alias("kind"), t.alias("key"))),
             )
         ).alias("_offer"),
