@@ -112,13 +112,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
 
 
-def cut_out(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the pieces in ``spans`` (from, to), and how many words went."""
+def cut_out(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[str, int]:
+    """The text without the pieces from ``starts`` up to ``ends``, and how many words went."""
     pieces = pieces_of(text)
     drop = np.zeros(len(pieces) + 1, np.int64)
-    for a, b in spans:
-        drop[a] += 1
-        drop[b] -= 1
+    np.add.at(drop, starts, 1)
+    np.add.at(drop, ends, -1)
     gone = np.cumsum(drop)[:-1] > 0
     return "".join(text[p[0] : p[1]] for p, g in zip(pieces, gone) if not g), sum(p[3] for p, g in zip(pieces, gone) if g)
 
@@ -180,10 +179,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def touched(keys: pd.Series) -> pd.Series:
         return pd.Series(marked.value.holds(keys.to_numpy()))
 
-    @F.pandas_udf("text string, words long")
-    def shortened(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if r is None or t is None else cut_out(t, [(x["_from"], x["_to"]) for x in r]) for t, r in zip(texts, ranges)]
-        return pd.DataFrame({"text": pd.Series([x for x, _ in out], dtype=object), "words": [n for _, n in out]})
+    # Ranges stay in Arrow: as Python objects those of a batch would be many times the texts.
+    @F.arrow_udf("text string, words long")
+    def shortened(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        found, words = [], []
+        for i in range(len(texts)):
+            if texts[i].is_valid and starts[i].is_valid:
+                text, n = cut_out(texts[i].as_py(), starts[i].values.to_numpy(), ends[i].values.to_numpy())
+            else:
+                text, n = None, 0
+            found.append(text)
+            words.append(n)
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(words, pa.int64())], ["text", "words"])
 
     tied = docs.withColumn(tie, text_tie(F.col(text)))
     flagged = tied.withColumn(flag, touched(F.xxhash64(id_col, tie)))
@@ -191,6 +198,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     none = F.array().cast(dict(spans.dtypes)[firsts])
     rest = flagged.where(~F.col(flag)).select(*kept, F.lit(0).cast("long").alias(removed), none.alias(first_ids))
     joined = flagged.where(flag).drop(flag).join(spans, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)), "left")
-    done = joined.withColumn(cut, shortened(F.when(F.col(spans_of).isNotNull(), F.col(text)), F.col(spans_of)))
+    done = joined.withColumn(cut, shortened(F.when(F.col(spans_of).isNotNull(), F.col(text)), F.col(f"{spans_of}._from"), F.col(f"{spans_of}._to")))
     columns = [F.coalesce(F.col(f"{cut}.text"), F.col(text)).alias(c) if c == text else F.col(c) for c in kept]
     return rest.union(done.select(*columns, F.col(f"{cut}.words").alias(removed), F.coalesce(firsts, none).alias(first_ids)))
