@@ -57,6 +57,46 @@ def test_lookups_skip_row_groups(spark, tmp_path):
     assert history.reports_of_run(spark.read.parquet(stored), wanted.run_id).count() == 1
 
 
+def test_many_small_entities_are_few_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "entities"
+    os.mkdir(folder)
+    for i in range(2_500):
+        (folder / f"e{i}.json").write_text('{"severity":"LOW","summary":"%d"}' % i)
+    monkeypatch.setattr(readers, "TASK_FILES", 1_000)
+    found = readers.read_reports(spark, str(folder))
+    assert found.rdd.getNumPartitions() <= 3
+    assert found.count() == 2_500 and found.select("resource_id").distinct().count() == 2_500
+
+
+def test_exact_leaves_equal_those_of_the_text(spark):
+    import json
+    import random
+
+    from tidewatch.operators import extract
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth < 5 else 3)
+        if kind < 3:
+            return rng.choice(["x", 'q"u\\o', "ü:", "", "a\nb", 1, None, True])
+        if kind == 3:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice("abcde") + str(j): value(depth + 1) for j in range(rng.randrange(4))}
+
+    rows = [(i, json.dumps(value(0), ensure_ascii=bool(i % 2))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (900, None), (901, "no json"), (None, '"x"')], "id int, t string")
+    exact = {}
+    for r in extract.string_leaves_exact(df, "id", "t").collect():
+        exact.setdefault(r.id, []).append(r.value)
+    text = {r.id: r.l for r in df.where("id < 900").select("id", extract.string_leaves(F.col("t")).alias("l")).collect()}
+    assert {i: sorted(v) for i, v in exact.items()} == {i: sorted(v) for i, v in text.items() if v}
+    deep = spark.createDataFrame([(1, "[" * 60 + '"x"' + "]" * 60)], "id int, t string")
+    assert extract.string_leaves_exact(deep, "id", "t").first().path == "$" + "[0]" * 60
+    with pytest.raises(Exception):
+        extract.string_leaves_exact(deep, "id", "t", depth=20).collect()
+
+
 def analyst(word):
     def answer(text):
         return '{"severity":"%s","summary":"s"}' % word

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,31 @@ def string_leaves(text: Column) -> Column:
     return F.transform(values, plain)
 
 
+WALK_DEPTH = 100
+
+
+def string_leaves_exact(df: DataFrame, key: str, text: str, depth: int = WALK_DEPTH) -> DataFrame:
+    """(key, path, value): every string value of JSON texts, by an exact walk of the parsed value.
+
+    A recursive query opens objects and arrays level by level, so keys, escapes, repeats and nesting are what the
+    parser says they are. ``path`` is like ``$.a[2].b``. A row in which ``key`` or ``text`` is null, or whose text is no
+    JSON, has no leaves; rows that share a key keep their leaves. Objects hold their members by name, not in the
+    order of the text (``string_leaves`` keeps that). Texts nested deeper than ``depth`` raise.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("k"), F.try_parse_json(text).alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull())
+    view = f"leaves_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    step = "CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END"
+    walked = spark.sql(f"""
+        WITH RECURSIVE walk(k, path, v) MAX RECURSION LEVEL {int(depth)} AS (
+          SELECT k, '$' AS path, v FROM {view}
+          UNION ALL
+          SELECT w.k, concat(w.path, {step}), e.value FROM walk w, LATERAL variant_explode(w.v) e)
+        SELECT k, path, CAST(v AS STRING) AS value FROM walk WHERE schema_of_variant(v) = 'STRING' LIMIT ALL""")
+    return walked.withColumnRenamed("k", key)
+
+
 def literal_start(pattern: str) -> str:
     """Text that every match must contain: the literal characters a pattern begins with."""
     if "|" in pattern or "(?i" in pattern:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import extract
 from tidewatch.plans import adapters as A
 from tidewatch.plans.registry import query
+from tidewatch.schemas import ENTITY_PATTERNS
 
 # Patterns that occur in the documents; written so that both regex engines read them alike.
 TEXT_PATTERNS = {
@@ -76,6 +77,46 @@ def string_leaves(spark, sf_dir):
     )
 
 
+@query(
+    "string_leaves_exact",
+    """
+SELECT conv_id || '/' || turn AS id, '$.body.role' AS path, length(role) AS length, md5(role) AS digest FROM conversations
+UNION ALL SELECT conv_id || '/' || turn, '$.body.parts[0].text', length(text), md5(text) FROM conversations
+UNION ALL SELECT conv_id || '/' || turn, '$.body.parts[1][0][0]', length(role), md5(role) FROM conversations WHERE turn % 2 = 0""",
+)
+def string_leaves_exact(spark, sf_dir):
+    """The walk of the parsed value on nested texts with escapes, numbers, and arrays of arrays in some."""
+    part = F.to_json(F.struct("turn", "text"))
+    nested = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(",[["), F.to_json(F.struct(F.col("role").alias("r"))), F.lit("]]"))).otherwise("")
+    inner = F.regexp_replace(nested, r'\{"r":(.*)\}\]\]$', "$1]]")
+    body = F.concat(F.lit('{"conv_id":1,"body":{"role":"'), F.col("role"), F.lit('","parts":['), part, inner, F.lit("]}}"))
+    rows = A.table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), body.alias("t"))
+    leaves = extract.string_leaves_exact(rows, "id", "t")
+    return leaves.select("id", "path", F.length("value").cast("bigint").alias("length"), F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+PATTERN_TEXT = {
+    "EC2 Instance": "i-0000000", "Security Group": "sg-0000000", "VPC": "vpc-0000000", "Subnet": "subnet-0000000", "Volume": "vol-0000000", "Network Interface": "eni-0000000",
+    "Internet Gateway": "igw-0000000", "NAT Gateway": "nat-0000000", "Auto Scaling": "arn:aws:autoscaling:us:", "Load Balancer": "arn:aws:elasticloadbalancing:us:", "IAM": "arn:aws:iam::",
+}
+PATTERNS_SQL = " UNION ALL ".join(
+    f"SELECT event_id, '{kind}' AS type, unnest(regexp_extract_all(t, '{pattern}')) AS name FROM texts" for kind, pattern in ENTITY_PATTERNS.items()
+)
+
+
+@query(
+    "entity_patterns",
+    "WITH texts AS (SELECT event_id, concat_ws(' ', " + ", ".join(f"'{start}' || printf('%x', user_id * {i + 16} + 4096)" for i, start in enumerate(PATTERN_TEXT.values()))
+    + f") || CASE WHEN event_type = 'error' THEN ' i-12 xvpc-00000000 arn:aws:iam' ELSE '' END AS t FROM events), e AS ({PATTERNS_SQL}) SELECT DISTINCT * FROM e",
+)
+def entity_patterns(spark, sf_dir):
+    """All default patterns in their plain form, which also match inside longer words."""
+    ids = [F.concat(F.lit(start), F.lower(F.hex(F.col("user_id") * (i + 16) + 4096))) for i, start in enumerate(PATTERN_TEXT.values())]
+    odd = F.when(F.col("event_type") == "error", " i-12 xvpc-00000000 arn:aws:iam").otherwise("")
+    rows = A.table(spark, sf_dir, "events").select("event_id", F.concat(F.concat_ws(" ", *ids), odd).alias("t"))
+    return extract.entity_rows(rows, "event_id", "t", ENTITY_PATTERNS)
+
+
 @query(
     "audit_parse",
     """

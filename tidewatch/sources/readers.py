@@ -43,6 +43,21 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], struct_of(ddl))
 
 
+# Bytes and files of one task that reads small files whole.
+TASK_BYTES = 128 << 20
+TASK_FILES = 5_000
+
+
+def _packed(spark: SparkSession, raw: DataFrame, path: str) -> DataFrame:
+    """``raw`` in no more tasks than its files need by size and number, going by their listing alone.
+
+    Left to itself Spark counts each file as some megabytes, so a folder of very many small entities would be
+    very many tasks of a few files.
+    """
+    listing = spark.read.format("binaryFile").load(path).agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    return raw.coalesce(max(1, -(-(listing["bytes"] or 0) // TASK_BYTES), -(-listing["n"] // TASK_FILES)))
+
+
 def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
     """Lines or whole files with ``_file`` (name), ``_path`` and ``_modified``; None if the path is missing."""
     try:
@@ -51,6 +66,8 @@ def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return None
+    if whole and "*" in path:
+        raw = _packed(spark, raw, path)
     m = "_metadata"
     return raw.select(
         "value", F.col(f"{m}.file_name").alias("_file"), F.col(f"{m}.file_path").alias("_path"), F.col(f"{m}.file_modification_time").alias("_modified")
