@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -146,8 +145,3 @@ def op12_cross_tokenizer(spark, sf_dir):
 @query("op13_exact_topk")
 def op13_exact_topk(spark, sf_dir):
     return threshold_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
-
-
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
