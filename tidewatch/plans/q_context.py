@@ -270,6 +270,78 @@ def redacted_scaling_groups(spark, sf_dir):
     )
 
 
+# --- documents with several groups, targets, members and trends: nations as load balancers and scaling groups ---
+
+
+def _trend(key, value):
+    """A metric of a trend map as a source file has it: samples are pairs of texts."""
+    return F.create_map(F.lit(key), F.struct(F.lit("Count").alias("U"), F.array(F.array(F.lit("10:00"), F.lit("0.5")), F.array(F.lit("10:05"), value.cast("string"))).alias("H")))
+
+
+def nation_load_balancers(spark, sf_dir):
+    """A load balancer a nation, a target group a market segment, a target a customer; groups of buildings have trends."""
+    from tidewatch.schemas import LB_RESOURCE
+
+    healthy = F.col("c_acctbal") >= 0
+    target = F.struct(F.col("c_name").alias("instance_id"), F.lit(80).alias("port"), F.when(healthy, "healthy").otherwise("unhealthy").alias("health"), F.col("c_mktsegment").alias("reason"), F.lit("d").alias("description"))
+    groups = A.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(
+        F.collect_list(target).alias("targets"), F.count_if(healthy).cast("double").alias("healthy_hosts"), F.count_if(~healthy).cast("double").alias("unhealthy_hosts")
+    )
+    trend = F.when(F.col("c_mktsegment") == "BUILDING", _trend("HealthyHostCount", F.col("healthy_hosts")))
+    group = F.struct(F.col("c_mktsegment").alias("target_group_name"), F.lit("HTTP").alias("protocol"), F.lit(80).alias("port"), F.lit("/").alias("health_check_path"), "healthy_hosts", "unhealthy_hosts", "targets", trend.alias("MetricTrends"))
+    lbs = groups.groupBy("c_nationkey").agg(F.collect_list(group).alias("target_groups"), F.sum("healthy_hosts").alias("n"))
+    name = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    raw = F.to_json(F.struct(name.alias("alb_name"), F.lit("active").alias("state"), "target_groups", _trend("RequestCount", F.col("n")).alias("MetricTrends")))
+    return lbs.select(F.col("c_nationkey").cast("bigint").alias("ord"), F.from_json(raw, LB_RESOURCE).alias("r")).select("ord", "r.*")
+
+
+@query(
+    "redacted_targets",
+    """
+WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) FILTER (c_acctbal >= 0) AS healthy, count(*) FILTER (c_acctbal < 0) AS unhealthy FROM customer GROUP BY ALL),
+n AS (SELECT c_nationkey, count(*) FILTER (c_acctbal >= 0) AS requests FROM customer GROUP BY ALL)
+SELECT 'n' || c_nationkey AS alb_name, c_mktsegment AS target_group, c_name AS target, CASE WHEN c_acctbal >= 0 THEN 'healthy' ELSE 'unhealthy' END AS health, c_mktsegment AS reason,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN healthy END::DOUBLE AS healthy_trend, CASE WHEN c_mktsegment <> 'BUILDING' THEN healthy END::DOUBLE AS healthy_value, unhealthy::DOUBLE AS unhealthy_value,
+  requests::DOUBLE AS requests FROM customer JOIN g USING (c_nationkey, c_mktsegment) JOIN n USING (c_nationkey)""",
+)
+def redacted_targets(spark, sf_dir):
+    """Every target of every group of every load balancer, and counts as trend or as number."""
+    from tidewatch.schemas import LOAD_BALANCER
+
+    docs = redact.redact_load_balancers(context.promote_load_balancers(nation_load_balancers(spark, sf_dir)).withColumn("resource_type", F.lit(LOAD_BALANCER)))
+    requests = F.element_at(F.try_element_at("metrics", F.lit("request_count"))["H"], -1)["value"]
+    groups = docs.select("alb_name", requests.alias("requests"), F.explode("target_groups").alias("g"))
+    rows = groups.select("alb_name", "requests", "g.*", F.explode("g.targets").alias("t"))
+    return rows.select(
+        "alb_name", F.col("target_group_name").alias("target_group"), F.col("t.instance_id").alias("target"), F.col("t.health").alias("health"), F.col("t.reason").alias("reason"),
+        F.element_at("healthy_hosts_trend.H", -1)["value"].alias("healthy_trend"), F.col("healthy_hosts_value").alias("healthy_value"), F.col("unhealthy_hosts_value").alias("unhealthy_value"), "requests",
+    )
+
+
+@query(
+    "redacted_members",
+    """
+WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL)
+SELECT 'n' || c_nationkey AS asg_name, c_name AS member, CASE WHEN c_acctbal >= 0 THEN 'InService' ELSE 'Standby' END AS lifecycle_state,
+  CASE WHEN c_nationkey % 2 = 0 THEN n END::DOUBLE AS desired_trend, CASE WHEN c_nationkey % 2 = 1 THEN n END::INTEGER AS desired_value, 'scaled to ' || n AS activity FROM customer JOIN n USING (c_nationkey)""",
+)
+def redacted_members(spark, sf_dir):
+    """Every member of every scaling group; the desired capacity as trend or as number."""
+    from tidewatch.schemas import ASG_RESOURCE, SCALING_GROUP
+
+    member = F.struct(F.col("c_name").alias("instance_id"), F.when(F.col("c_acctbal") >= 0, "InService").otherwise("Standby").alias("lifecycle_state"), F.lit("Healthy").alias("health_status"))
+    groups = A.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(member).alias("instances"), F.count("*").alias("n"))
+    activity = F.array(F.struct(F.lit("Successful").alias("status"), F.concat(F.lit("scaled to "), F.col("n").cast("string")).alias("description")))
+    trends = F.when(F.col("c_nationkey") % 2 == 0, _trend("DesiredCapacity", F.col("n")))
+    raw = F.to_json(F.struct(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("asg_name"), F.lit(1).alias("min_size"), F.col("n").alias("desired_capacity"), "instances", activity.alias("scaling_activities"), trends.alias("MetricTrends")))
+    rows = groups.select(F.col("c_nationkey").cast("bigint").alias("ord"), F.from_json(raw, ASG_RESOURCE).alias("r")).select("ord", "r.*")
+    docs = redact.redact_scaling_groups(context.promote_scaling_groups(rows).withColumn("resource_type", F.lit(SCALING_GROUP)))
+    return docs.select("*", F.explode("members").alias("m")).select(
+        "asg_name", F.col("m.instance_id").alias("member"), F.col("m.lifecycle_state").alias("lifecycle_state"), F.element_at("desired_capacity_trend.H", -1)["value"].alias("desired_trend"),
+        F.col("desired_capacity_value").alias("desired_value"), F.col("scaling_activities")[0]["description"].alias("activity"),
+    )
+
+
 @query(
     "document_text",
     f"""

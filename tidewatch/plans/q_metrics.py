@@ -6,7 +6,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import metrics, thresholds
 from tidewatch.plans import adapters as A
 from tidewatch.plans.registry import query
-from tidewatch.schemas import SNAPSHOT_LOOKBACK_MINUTES, TREND_LOOKBACK_MINUTES
+from tidewatch.schemas import METRIC_CATALOG, SNAPSHOT_LOOKBACK_MINUTES, TREND_LOOKBACK_MINUTES
 from tidewatch.session import scratch_path
 from tidewatch.sources import datapoints
 
@@ -54,6 +54,50 @@ def catalog_join(spark, sf_dir):
     return metrics.with_catalog(points, catalog).groupBy("metric", "statistic", "unit").agg(F.count(F.lit(1)).alias("points"))
 
 
+CATALOG_SQL = "catalog(resource_type, metric_key, namespace, metric, statistic, unit, tracked) AS (VALUES " + ", ".join(
+    "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in METRIC_CATALOG
+) + ")"
+
+
+@query(
+    "catalog_rows",
+    f"""
+WITH {CATALOG_SQL}, c AS (SELECT *, row_number() OVER () - 1 AS i FROM catalog)
+SELECT resource_type, metric_key, statistic, unit, tracked, count(*) AS points, round(CASE statistic WHEN 'Sum' THEN sum(value) WHEN 'Maximum' THEN max(value) ELSE avg(value) END, 4) AS value
+FROM events JOIN c ON event_id % {len(METRIC_CATALOG) + 1} = i GROUP BY resource_type, metric_key, statistic, unit, tracked""",
+)
+def catalog_rows(spark, sf_dir):
+    """Datapoints dealt over all metrics of the catalog, and some of a metric that it does not know."""
+    known = [F.struct(F.lit(r[0]).alias("resource_type"), F.lit(r[2]).alias("namespace"), F.lit(r[3]).alias("metric")) for r in METRIC_CATALOG]
+    unknown = F.struct(F.lit("EC2").alias("resource_type"), F.lit("AWS/EC2").alias("namespace"), F.lit("NotTracked").alias("metric"))
+    at = F.element_at(F.array(*known, unknown), (F.col("event_id") % (len(known) + 1) + 1).cast("int"))
+    points = A.datapoints(spark, sf_dir).select(at.alias("m"), "value", F.lit("").alias("statistic"), F.lit("").alias("unit")).select("m.*", "value", "statistic", "unit")
+    joined = metrics.with_catalog(points, metrics.metric_catalog(spark))
+    value = F.when(F.col("statistic") == "Sum", F.sum("value")).when(F.col("statistic") == "Maximum", F.max("value")).otherwise(F.avg("value"))
+    return joined.groupBy("resource_type", "metric_key", "statistic", "unit", "tracked").agg(F.count("*").alias("points"), F.round(value, 4).alias("value"))
+
+
+@query(
+    "history_window",
+    f"""
+WITH {THRESHOLDS_SQL}, w AS (SELECT * FROM events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL {TREND_LOOKBACK_MINUTES} MINUTE AND (SELECT max(ts) FROM events)),
+b AS (SELECT user_id AS resource_id, event_type AS metric, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, CAST(round(sum(value), 2) AS DECIMAL(18, 2)) AS value FROM w GROUP BY ALL)
+SELECT resource_id, metric, any_value(op) AS op, count(*) AS points, string_agg(strftime(ts + INTERVAL 330 MINUTE, '%H:%M') || '=' || CAST(value AS VARCHAR), ' ' ORDER BY ts) AS history
+FROM b LEFT JOIN th USING (metric) GROUP BY resource_id, metric""",
+)
+def history_window(spark, sf_dir):
+    """The payloads of the lookback out of the store by day: a list holds the periods of an hour, whatever is stored."""
+    path, keys = scratch_path(spark, "datapoints"), ["resource_id", "metric"]
+    datapoints.write_datapoints(A.datapoints(spark, sf_dir), path)
+    window = datapoints.read_window(spark, path, datapoints.newest(spark, path), TREND_LOOKBACK_MINUTES)
+    binned = metrics.period_statistic(window, keys, statistic=F.lit("Sum"))
+    series = thresholds.attach_thresholds(binned, A.thresholds_table(spark), ["metric"]).withColumn("unit", F.lit("Count"))
+    point = F.transform("payload.H", lambda p: F.concat_ws("=", p["label"], p["value"].cast("decimal(18,2)").cast("string")))
+    return metrics.history_payload(series, keys).select(
+        *keys, F.col("payload.TH.OP").alias("op"), F.size("payload.H").cast("bigint").alias("points"), F.array_join(point, " ").alias("history")
+    )
+
+
 @query(
     "lookback_trend",
     f"""
