@@ -165,6 +165,60 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels)).count() == 0
 
 
+def one_token(model, inputs, at, token):
+    """P(token | inputs up to ``at``) and the sum over all tokens of its unnormalised weights, by loops: dense attention over one window."""
+    first = max(0, (at // attention_lm.STRIDE) * attention_lm.STRIDE - (attention_lm.WINDOW - attention_lm.STRIDE))
+    weights = []
+    for k in range(first, at + 1):
+        s = sum(float(a) * float(b) for a, b in zip(model.query[inputs[at]], model.key[inputs[k]])) + float(model.near[at - k])
+        weights.append(math.exp(min(s, 30.0)))
+    mix = []
+    for z in range(attention_lm.PARTS):
+        seen = sum(w * float(model.value[inputs[k]][z]) for w, k in zip(weights, range(first, at + 1))) / sum(weights)
+        mix.append(math.exp(min(seen + float(model.now[inputs[at]][z]), 30.0)))
+    return [m / sum(mix) for m in mix], sum(m * float(p) for m, p in zip(mix, model.parts[token])) / sum(mix)
+
+
+def test_scores_equal_dense_attention_token_by_token(spark, vocabulary, monkeypatch):
+    """The whole score of short and long texts from the model's tables and plain counts alone."""
+    held, train = [], attention_lm.train
+    monkeypatch.setattr(attention_lm, "train", lambda *a, **k: held.append(train(*a, **k)) or held[0])
+    rng = random.Random(8)
+    words = ["the", "of", "Straße", "unbelievable", "x", "kangaroo", "don't", "and"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 20, 45]))), i % 3 > 0) for i in range(18)] + [(50, "never seen the words", False), (51, None, False), (52, "", True)]
+    rows = lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string, t boolean"), vocabulary, "t", ["doc_id"]).collect()
+    model, end, encode = held[0], len(vocabulary.ranks), vocabulary.encoding.encode_ordinary
+    split = lambda t: (t or "").lower().split()
+    count = Counter(w for _, t, own in docs if own for w in split(t))
+    ends = sum(own for *_, own in docs)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    whole = n + 0.1 * (v + 1)
+    starts = Counter()
+    for w, c in count.items():
+        starts[encode(" " + w)[0]] += c
+    starts[end] = ends
+    begins = [i for b, i in vocabulary.ranks.items() if b[:1] == b" "] + [end]
+    in_group = np.asarray(model.parts, dtype=np.float64)[begins].sum(axis=0)
+    text = {i: t for i, t, _ in docs}
+    for r in rows:
+        own = [(w, encode(" " + w), count[w]) for w in split(text[r.doc_id])] + [(None, [end], ends)]
+        inputs, score = [end], 0.0
+        for _, ids, c in own:
+            spelled = 1.0
+            for j, token in enumerate(ids):
+                mix, p = one_token(model, inputs, len(inputs) - 1, token)
+                if j == 0:
+                    start = p / sum(m * float(g) for m, g in zip(mix, in_group))
+                spelled *= p
+                inputs.append(token)
+            of = starts[ids[0]]
+            start = (1 - lm_scoring.PLAIN) * start + lm_scoring.PLAIN * of / n
+            p = lm_scoring.SPELLED * spelled + ((1 - lm_scoring.SPELLED - 0.1 / whole) * start * c / max(of, 1) if c else 0.1 / whole)
+            score += math.log10(min(p, 1))
+        assert r.score == pytest.approx(score, rel=2e-4, abs=2e-4), text[r.doc_id]
+        assert r.base_score == pytest.approx(sum(math.log10((c + 0.1) / whole) for *_, c in own), abs=1e-9)
+
+
 def test_site_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
