@@ -179,10 +179,12 @@ def one_token(model, inputs, at, token):
     return [m / sum(mix) for m in mix], sum(m * float(p) for m, p in zip(mix, model.parts[token])) / sum(mix)
 
 
-def test_scores_equal_dense_attention_token_by_token(spark, vocabulary, monkeypatch):
+@pytest.mark.parametrize("group", [3, 10_000])
+def test_scores_equal_dense_attention_token_by_token(spark, vocabulary, monkeypatch, group):
     """The whole score of short and long texts from the model's tables and plain counts alone."""
-    held, train = [], attention_lm.train
-    monkeypatch.setattr(attention_lm, "train", lambda *a, **k: held.append(train(*a, **k)) or held[0])
+    held, learned = [], lm_scoring.learned_model
+    monkeypatch.setattr(lm_scoring, "learned_model", lambda *a: held.append(learned(*a)) or held[0])
+    monkeypatch.setattr(lm_scoring, "GROUP_SPANS", group)
     rng = random.Random(8)
     words = ["the", "of", "Straße", "unbelievable", "x", "kangaroo", "don't", "and"]
     docs = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 20, 45]))), i % 3 > 0) for i in range(18)] + [(50, "never seen the words", False), (51, None, False), (52, "", True)]
@@ -219,6 +221,38 @@ def test_scores_equal_dense_attention_token_by_token(spark, vocabulary, monkeypa
         assert r.base_score == pytest.approx(sum(math.log10((c + 0.1) / whole) for *_, c in own), abs=1e-9)
 
 
+def test_joined_fits_are_means_by_occurrence():
+    rng = np.random.default_rng(5)
+    seqs = [rng.integers(0, 30, rng.integers(2, 90)) for _ in range(60)]
+    counts = np.bincount(np.concatenate(seqs), minlength=30).astype(float)
+    start = attention_lm.learn(seqs[:20], 30, counts)
+    fits = [attention_lm.learn(part, 30, counts, epochs=1, start=start) for part in (seqs[:30], seqs[30:40], seqs[40:])]
+    sums = {}
+    for fit in fits:
+        batch = lm_scoring._packed_rows(fit).to_pydict()
+        for page, data in zip(batch["page"], batch["data"]):
+            sums.setdefault(page, []).append(data)
+    flat = pa.record_batch({"page": pa.array([p for p in sums for _ in sums[p]], pa.int64()), "data": pa.array([d for x in sums.values() for d in x], pa.binary())})
+    out = {r["page"]: np.frombuffer(r["data"]) for b in lm_scoring._added(iter([flat])) for r in b.to_pylist()}
+    table = out[0].reshape(lm_scoring.PAGE_TOKENS, -1)
+    for t in range(30):
+        own = [(f.weight[f.tokens == t][0], f.rows[f.tokens == t][0]) for f in fits if (f.tokens == t).any()]
+        np.testing.assert_allclose(table[t, :-1] / table[t, -1], sum(w * r for w, r in own) / sum(w for w, _ in own), rtol=1e-4, atol=1e-5)
+    assert set(out) == {-1, 0}
+
+
+def test_every_stretch_is_learned_from_once(spark, vocabulary):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(text, True), (text, True), (None, True), ("", True), ("other words", False)], "t string, own boolean")
+    spans = lm_scoring._spans(docs, spark.sparkContext.broadcast(vocabulary), "t", "own", 1).collect()
+    end = len(vocabulary.ranks)
+    got = sorted(vocabulary.encoding.decode([i for i in r.ids if i != end]).strip() for r in spans)
+    assert got == sorted(" ".join(f"w{i}" for i in range(s, min(100, s + 48))) for s in (0, 48, 96))
+    assert sum(r.ids[0] == end for r in spans) == sum(r.ids[-1] == end for r in spans) == 1
+    shares = sum(len(list(lm_scoring.spans_of(" ".join(f"v{i} {i * 7}" for i in range(20_000)), s))) for s in (64,))
+    assert 5 <= shares <= 25
+
+
 def test_site_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
