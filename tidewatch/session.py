@@ -32,6 +32,20 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+# Rows of a batch that goes to Python where rows hold whole texts: with some kilobytes a row a few megabytes.
+TEXT_BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches of rows for Python hold no more than TEXT_BATCH_ROWS, if the session allows more.
+
+    A worker holds a batch several times over (as Arrow, as strings, as results), and so does its executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(name, str(TEXT_BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
