@@ -20,7 +20,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import free_name
+from tidewatch.llm.common import free_name, release_memory
 from tidewatch.llm.word_blocks import Lists, pack, schema_of, text_sequences, word_pages, words_in
 
 # Fixed value: the characters that \s stands for in the encoder's own pattern language.
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
 
     def put_together(texts: pa.Table, pages: pa.Table) -> pa.Table:
         """The ids of one block's texts."""
+        release_memory()
         lists, columns = Lists.of(pages, "_sizes", "_ids"), []
         for ranks, n in lists.chunks(texts.column("_sequence").to_pylist(), CHUNK):
             words = np.concatenate(([0], np.cumsum(lists.size[ranks])))
@@ -189,5 +190,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", n
         for batch in batches:
             rows = [None if not x.is_valid else b"".join(map(table.__getitem__, listed(x))) for x in batch.column(ids)]
             yield pa.record_batch([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, name])
+            release_memory()
 
     return encoded.select(*others).mapInArrow(task, schema)

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidewatch.llm.common import release_memory
+
 # Characters of text after which a block is closed. A block's word list and sequences are held by one task.
 BLOCK_CHARS = 8_000_000
 # Word pages per shuffle partition: more pages mean smaller groups.
@@ -109,9 +111,10 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, cut: Cutter, counted: s
             if held >= BLOCK_CHARS:
                 yield close()
                 rows, held, n_blocks = [], 0, n_blocks + 1
-                pa.default_memory_pool().release_unused()
+                release_memory()
     if rows:
         yield close()
+    release_memory()
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
