@@ -181,6 +181,14 @@ def test_co_movement_matches_pairwise_join(spark):
     assert got == {(r["p"], r["q"]): (r["n"], round(r["c"], 9)) for r in want.collect() if r["n"] >= 3}
 
 
+def test_co_movement_with_a_constant_metric_is_null(spark):
+    values = {"x": [0.1] * 4, "y": [1, 2, 3, 5], "z": [2, 4, 6, 10], "w": [3e-200, 1e-200, 2e-200, 0]}
+    rows = [("a", m, 5 * i, float(v)) for m, own in values.items() for i, v in enumerate(own)]
+    got = {(r["metric_a"], r["metric_b"]): (r["n"], r["corr"]) for r in signals.co_movement(points(spark, rows), list(values)).collect()}
+    assert round(got.pop(("y", "z"))[1], 9) == 1.0
+    assert len(got) == 5 and set(got.values()) == {(4, None)}
+
+
 def test_co_movement_has_no_join(spark):
     plan = signals.co_movement(points(spark, [("a", "x", 0, 1)]), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan

@@ -165,6 +165,7 @@ def co_movement(series: DataFrame, metrics: list[str], key: str = "resource_id",
 
     Metrics become columns of one row per (resource, period) and all pairs are plain
     aggregates of that row. No self join, and no pair rows before the aggregation.
+    A pair of which one metric stays the same has a null (``corr`` itself divides by zero there).
     """
     column = {m: f"m{i}" for i, m in enumerate(metrics)}
     wide = series.filter(F.col("metric").isin(metrics)).groupBy(key, "ts").agg(
@@ -175,7 +176,8 @@ def co_movement(series: DataFrame, metrics: list[str], key: str = "resource_id",
     for i, (a, b) in enumerate(pairs):
         ca, cb = F.col(column[a]), F.col(column[b])
         both = ca.isNotNull() & cb.isNotNull()
-        aggs += [F.corr(ca, cb).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+        spread = F.stddev_pop(F.when(both, ca)) * F.stddev_pop(F.when(both, cb))
+        aggs += [F.try_divide(F.covar_pop(ca, cb), spread).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
     packed = F.array(
         *[
             F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))

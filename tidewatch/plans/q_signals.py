@@ -147,7 +147,9 @@ FROM s a JOIN s b ON a.resource_id = b.resource_id AND a.ts = b.ts AND a.metric
 )
 def metric_corr(spark, sf_dir):
     names = sorted(m for m, _, _ in A.THRESHOLD_ROWS)
-    return signals.co_movement(A.daily_series(spark, sf_dir), names).withColumn("corr", F.round("corr", 6))
+    found = signals.co_movement(A.daily_series(spark, sf_dir), names)
+    # The correlation with a constant series is NaN in SQL.
+    return found.withColumn("corr", F.coalesce(F.round("corr", 6), F.lit(float("nan"))))
 
 
 @query(
