@@ -285,3 +285,25 @@ def test_alerts_and_progress(spark, tmp_path):
     index = spark.createDataFrame([("a", "GT", 50.0)], "resource_id string, op string, threshold double")
     jobs.run_once(jobs.breach_alerts(stream, index, ["resource_id"]), f"{tmp_path}/out", f"{tmp_path}/ck")
     assert [r["value"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [99.0]
+
+
+def test_a_folder_of_entities_is_listed_once(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / f"i-{i}.json", {"severity": "LOW"})
+    (tmp_path / "deeper" / tmp_path.name).mkdir(parents=True)
+    put(tmp_path / "deeper" / tmp_path.name / "i-40.json", {"severity": "LOW"})
+    (tmp_path / "run_id=1").mkdir()
+    put(tmp_path / "run_id=1" / "i-41.json", {"severity": "LOW"})
+    (tmp_path / "many.json").mkdir()
+    put(tmp_path / "many.json" / "part-0", {"severity": "HIGH"})
+    put(tmp_path / "i-42.txt", {"severity": "LOW"})
+    put(tmp_path / "_i-43.json", {"severity": "LOW"})
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = readers.read_reports(spark, f"{tmp_path}/")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # A pattern of files is a task for each of them.
+    assert max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))) < 40
+    rows = {r["resource_id"]: r["severity"] for r in found.collect()}
+    assert rows == {**{f"i-{i}": "LOW" for i in range(40)}, "part-0": "HIGH"}

@@ -43,7 +43,10 @@ def run_history_scan(spark, sf_dir):
 def entity_scan(spark, sf_dir):
     """A file per supplier, keyed by its stem and timed by the file."""
     path = scratch_path(spark, "entities")
-    A.table(spark, sf_dir, "supplier").select(F.lit("HIGH").alias("severity"), F.col("s_name").alias("summary")).write.option("maxRecordsPerFile", 1).json(path)
+    rows = A.table(spark, sf_dir, "supplier").select(F.lit("HIGH").alias("severity"), F.col("s_name").alias("summary"))
+    # Small tables come as one task; and the second way of committing lets each task move its files, not the driver all.
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism)
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
     found = readers.read_reports(spark, path)
     keyed = (F.col("resource_id") != "") & ~F.col("resource_id").contains(".json")
     return found.select("summary", "severity", keyed.alias("keyed"), F.col("detected_at").isNotNull().alias("timed"))

@@ -13,6 +13,12 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def depth(spark: SparkSession, path: str) -> int:
+    """How many folders deep a path is, counted from the root of its file system."""
+    where, fs = _at(spark, path)
+    return fs.makeQualified(where).depth()
+
+
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
     """Creates a file with ``text``; false if it exists already.
 

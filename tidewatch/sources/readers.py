@@ -28,6 +28,7 @@ from tidewatch.schemas import (
     SCALING_GROUP,
     struct_of,
 )
+from tidewatch.sources import files
 
 RESOURCE_TYPES = {
     "cloudwatch": INSTANCE_RESOURCE,
@@ -48,26 +49,43 @@ TASK_BYTES = 128 << 20
 TASK_FILES = 5_000
 
 
-def _packed(spark: SparkSession, raw: DataFrame, path: str) -> DataFrame:
+def _packed(raw: DataFrame, listing: DataFrame) -> DataFrame:
     """``raw`` in no more tasks than its files need by size and number, going by their listing alone.
 
     Left to itself Spark counts each file as some megabytes, so a folder of very many small entities would be
     very many tasks of a few files.
     """
-    listing = spark.read.format("binaryFile").load(path).agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
-    return raw.coalesce(max(1, -(-(listing["bytes"] or 0) // TASK_BYTES), -(-listing["n"] // TASK_FILES)))
+    held = listing.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    return raw.coalesce(max(1, -(-(held["bytes"] or 0) // TASK_BYTES), -(-held["n"] // TASK_FILES)))
+
+
+def _matched(depth: int) -> Column:
+    """Whether a file is ``*.json`` in a folder of that depth, or lies in a folder of that name there.
+
+    The folder is read and its files are filtered: a pattern of files would have Spark list each match on its own, once a read.
+    """
+    inside = F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", "")
+    parts = F.split(inside, "/")
+    return ((F.size(parts) == depth + 2) & inside.endswith(".json")) | ((F.size(parts) == depth + 3) & F.element_at(parts, -2).endswith(".json"))
 
 
 def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
     """Lines or whole files with ``_file`` (name), ``_path`` and ``_modified``; None if the path is missing."""
+    folder, _, name = path.rpartition("/")
+    listed = whole and name == "*.json" and "{" not in folder
     try:
-        raw = spark.read.text(path, wholetext=whole)
+        if listed:
+            found = spark.read.option("recursiveFileLookup", "true")
+            ours = _matched(files.depth(spark, folder))
+            raw = _packed(found.text(folder, wholetext=True).where(ours), found.format("binaryFile").load(folder).where(ours))
+        else:
+            raw = spark.read.text(path, wholetext=whole)
+            if whole and "*" in path:
+                raw = _packed(raw, spark.read.format("binaryFile").load(path))
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return None
-    if whole and "*" in path:
-        raw = _packed(spark, raw, path)
     m = "_metadata"
     return raw.select(
         "value", F.col(f"{m}.file_name").alias("_file"), F.col(f"{m}.file_path").alias("_path"), F.col(f"{m}.file_modification_time").alias("_modified")
