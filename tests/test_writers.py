@@ -108,3 +108,15 @@ def test_files_stay_bounded_over_many_batches(spark, tmp_path):
     rows = {r.id: r.v for r in writers.read_keyed(spark, path).collect()}
     assert rows == {**{i: i for i in range(11)}, **{i: 11 for i in range(11, 31)}}
     assert len(held(path)) <= 2 * 4 and len(files.names(spark, f"{path}/commits")) == 2
+
+
+def test_an_upsert_stores_its_batch_once_beside_the_table(spark, tmp_path, monkeypatch):
+    stored, cut = [], writers.cut_lineage
+    monkeypatch.setattr(writers, "cut_lineage", lambda df: stored.append(1) or cut(df))
+    base = str(tmp_path / "keyed")
+    writers.upsert(spark.createDataFrame([(1, None, "a"), (2, "x", "b")], "k long, l string, v string"), base, ["k", "l"], 4)
+    writers.upsert(spark.createDataFrame([(1, None, "c"), (1, "", "d")], "k long, l string, v string"), base, ["k", "l"], 4)
+    assert len(stored) == 2
+    assert sorted(r["v"] for r in writers.read_keyed(spark, base).collect()) == ["b", "c", "d"]
+    writers.remove_keys(spark.createDataFrame([(2, "x")], "k long, l string"), base, ["k", "l"], 4)
+    assert sorted(r["v"] for r in writers.read_keyed(spark, base).collect()) == ["c", "d"]

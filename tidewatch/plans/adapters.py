@@ -269,8 +269,8 @@ def severity_of(priority: Column) -> Column:
     )
 
 
-def report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report per order; ``resource_id`` is the customer."""
+def report_history(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """One report per order, with its columns ``also``; ``resource_id`` is the customer."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("resource_id"),
         F.col("o_orderkey").alias("report_no"),
@@ -279,6 +279,7 @@ def report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"),
         F.col("o_orderpriority").alias("root_cause"),
         utc("o_orderdate").alias("detected_at"),
+        *also,
     )
 
 

@@ -6,7 +6,7 @@ from tidewatch.plans import adapters as A
 from tidewatch.plans.q_context import C_ORDER
 from tidewatch.plans.q_metrics import BREACH_SQL, THRESHOLDS_SQL
 from tidewatch.plans.registry import query
-from tidewatch.session import scratch_path
+from tidewatch.session import cut_lineage, scratch_path
 from tidewatch.sources import readers, writers
 from tidewatch.streaming import jobs
 
@@ -171,14 +171,15 @@ def run_store_roundtrip(spark, sf_dir):
     from tidewatch.plans import run_store
 
     base = scratch_path(spark, "store")
-    history = A.report_history(spark, sf_dir).join(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_no"), "o_orderstatus"), "report_no")
+    history = A.report_history(spark, sf_dir, "o_orderstatus")
     for day, of in ((5, F.col("o_orderstatus") == "F"), (6, F.col("o_orderstatus") != "F")):
         at = dt.datetime(2024, 1, day, 5, tzinfo=dt.timezone.utc)
         rows = analyze.latest_reports(history.where(of).drop("o_orderstatus"), ["resource_id"], ["report_no"])
-        reports = rows.select(
+        # Read by the counters, the archive and the table: made once.
+        reports = cut_lineage(rows.select(
             F.lit("EC2").alias("resource_type"), F.col("resource_id").cast("string").alias("resource_id"), F.lit(f"run of day {day}").alias("summary"), "severity", "confidence", "root_cause",
             F.array().cast("array<string>").alias("evidence"), F.array().cast("array<string>").alias("recommendations"), F.lit(None).cast("string").alias("raw_response"), C.instant(at).alias("detected_at"),
-        )
+        ))
         outcomes = reports.select("resource_type", "resource_id", F.lit(None).cast("string").alias("error"), F.lit(0).alias("failed_attempts"))
         timed = analyze.run_counters(reports.select(F.lit(True).alias("eligible")), outcomes).withColumns({"start_ts": C.instant(at), "end_ts": C.instant(at + dt.timedelta(seconds=30.5))})
         run_store.store_run(base, {"run": analyze.run_records(timed), "reports": reports})

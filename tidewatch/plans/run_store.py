@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import retention
 from tidewatch.plans import investigation
 from tidewatch.schemas import REPORT
+from tidewatch.session import cut_lineage
 from tidewatch.sources import files, readers, writers
 
 KEY = ["resource_type", "resource_id"]
@@ -23,7 +24,8 @@ def store_run(base: str, result: dict[str, DataFrame], buckets: int = writers.BU
 
     The summary comes last: a run without one is not in the history, and storing it again replaces what is there.
     """
-    run_id = result["run"].select("run_id").first()["run_id"]
+    run = cut_lineage(result["run"])
+    run_id = run.select("run_id").first()["run_id"]
     reports = result["reports"]
     reports.select(*KEY, *REPORT_FIELDS).write.mode("overwrite").json(f"{base}/archive/{run_id}/reports")
     if "contexts" in result:
@@ -32,7 +34,7 @@ def store_run(base: str, result: dict[str, DataFrame], buckets: int = writers.BU
     if "skipped" in result:
         writers.archive_run(result["skipped"], f"{base}/skipped", run_id)
     writers.upsert(reports.select(*KEY, *REPORT_FIELDS, "detected_at"), f"{base}/reports", KEY, buckets)
-    summary = result["run"].drop("start_ts", "end_ts").withColumn("archive_created", F.lit(True))
+    summary = run.drop("start_ts", "end_ts").withColumn("archive_created", F.lit(True))
     writers.write_snapshot(summary, f"{base}/summary/{run_id}.json")
     return run_id
 

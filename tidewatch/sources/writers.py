@@ -52,7 +52,8 @@ def upsert(rows: DataFrame, base: str, keys: list[str], buckets: int = BUCKETS,
     spark = rows.sparkSession
     fresh = cut_lineage(rows.withColumn("bucket", _bucket(keys, buckets)))
     # At most one row a bucket.
-    size = fresh.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*[F.coalesce(F.to_json(F.struct(k)), F.lit("")) for k in keys])).alias("k")).collect()
+    by_key = fresh.groupBy("bucket", *keys).agg(F.count("*").alias("n"))
+    size = by_key.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
     if merge is None and any(r["n"] != r["k"] for r in size):
         raise ValueError(f"several rows of one {', '.join(keys)}")
     if not size:
@@ -108,9 +109,8 @@ def _bucket_rows(spark: SparkSession, base: str, folders: dict[int, str], schema
 
 def _commit_buckets(spark: SparkSession, base: str, version: int, manifest: dict[int, str], rows: DataFrame, touched: list[int], keep: int) -> None:
     folder = uuid.uuid4().hex
-    whole = cut_lineage(rows)
-    whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/data/{folder}")
-    full = {r["bucket"] for r in whole.select("bucket").distinct().collect()}
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/data/{folder}")
+    full = {int(name.partition("=")[2]) for name in files.names(spark, f"{base}/data/{folder}") if name.startswith("bucket=")}
     left = {b: f for b, f in manifest.items() if b not in touched} | {b: folder for b in full}
     if not files.create_new(spark, _marker(base, version + 1), json.dumps(left)):
         files.remove(spark, f"{base}/data/{folder}")
