@@ -105,3 +105,16 @@ def test_the_ledger_counts_per_run(spark, tmp_path):
     assert {r.run_key: r.n for r in rows} == {"a": 4, "b": 2}
     empty = ledger.answer(prompts(spark, 3).limit(0), lambda t: "z", path)
     assert empty.count() == 0 and ledger.read_ledger(spark, path).count() == 6
+
+
+def test_quick_calls_take_few_jobs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = prompts(spark, 200)
+    assert ledger.answer(rows, lambda t: "x", path, parallel_calls=2, task_calls=2).where("response = 'x' AND attempts = 1").count() == 200
+    # A file is a task's answers: chunk by chunk there would be a hundred.
+    assert len([n for n in os.listdir(path) if n.endswith(".parquet")]) <= 20
+
+
+def test_chunks_grow_while_calls_are_quick(monkeypatch):
+    monkeypatch.setattr(ledger, "CHUNK_SECONDS", 10.0)
+    assert [ledger._next_size(4, s) for s in (1, 9.9, 15, 20, 40, 1000)] == [8, 8, 4, 4, 2, 1]

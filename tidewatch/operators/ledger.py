@@ -27,6 +27,8 @@ LEDGER = f"{CALLS}, run_key string, attempt int"
 # Calls of one task, and tasks of one chunk: a chunk is what a crash can make a job call again.
 TASK_CALLS = 50
 CHUNK_TASKS = 16
+# Chunks that take less time than so many seconds are doubled, as each is a job and a write of its own.
+CHUNK_SECONDS = 10.0
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +91,13 @@ def _caller(analyze_fn: Callable[[str], str]) -> Callable[[Iterator[pd.DataFrame
     return run
 
 
+def _next_size(size: int, seconds: float) -> int:
+    """Chunks to take together after ``size`` of them have taken ``seconds``."""
+    if seconds < CHUNK_SECONDS:
+        return 2 * size
+    return max(1, int(size * min(1.0, 2 * CHUNK_SECONDS / seconds)))
+
+
 def answer(
     prompts: DataFrame,
     analyze_fn: Callable[[str], str],
@@ -105,9 +114,9 @@ def answer(
     ``analyze_fn(text) -> response`` is called once a round for each prompt that the ledger under ``path`` holds no
     answer to; rounds wait ``first_delay`` seconds, then twice as long each time. A prompt that an earlier run has
     answered is not called and has no attempts. A run that was killed is taken up again under its ``run_key``: its
-    attempts count on. At most ``parallel_calls`` tasks call at a time, and after a crash at most the
-    ``parallel_calls * task_calls`` prompts of one chunk are called again. Rows that repeat a resource and a text are
-    one prompt. Two jobs should not work on one ledger at the same time: both would call.
+    attempts count on. At most ``parallel_calls`` tasks call at a time, and after a crash at most the prompts of one chunk
+    are called again: ``parallel_calls * task_calls``, or, where calls are so quick that such a chunk takes less than CHUNK_SECONDS,
+    as many as take about twice that time. Rows that repeat a resource and a text are one prompt. Two jobs should not work on one ledger at the same time: both would call.
     """
     spark, run_key = prompts.sparkSession, run_key or uuid.uuid4().hex
     wanted = cut_lineage(with_hash(prompts.select("resource_type", "resource_id", "text")).dropDuplicates(KEY))
@@ -120,12 +129,16 @@ def answer(
             sleep(first_delay * 2 ** (attempt - 2))
         n_chunks = -(-n // (parallel_calls * task_calls))
         chunks = scratch_path(spark, "prompts")
-        open_.withColumn("chunk", F.pmod(F.xxhash64(*KEY), F.lit(n_chunks)).cast("int")).write.partitionBy("chunk").parquet(chunks)
+        dealt = open_.withColumn("chunk", F.pmod(F.xxhash64(*KEY), F.lit(n_chunks)).cast("int"))
+        dealt.repartition("chunk").write.partitionBy("chunk").parquet(chunks)
         stored = spark.read.parquet(chunks)
-        for chunk in range(n_chunks):
-            todo = stored.where(F.col("chunk") == chunk).select(*KEY, "text").repartition(parallel_calls)
+        at, size = 0, 1
+        while at < n_chunks:
+            began = time.monotonic()
+            todo = stored.where((F.col("chunk") >= at) & (F.col("chunk") < at + size)).select(*KEY, "text").repartition(parallel_calls)
             done = todo.mapInPandas(_caller(analyze_fn), CALLS)
             done.select("*", F.lit(run_key).alias("run_key"), F.lit(attempt).alias("attempt")).write.mode("append").parquet(path)
+            at, size = at + size, _next_size(size, time.monotonic() - began)
     ledger = read_ledger(spark, path)
     tried = attempts_of(ledger, run_key)
     none = F.lit(0)
