@@ -84,3 +84,27 @@ def test_edge_rows(edge_docs, no_docs):
     rows = kept.collect()
     assert sum(not (r.text or "").strip() for r in rows) == 1 and sum(r.doc_id == 2 for r in rows) == 2
     assert similar.one_of_each(no_docs).count() == 0
+
+
+def pairs_of(sets):
+    groups = {}
+    for r in sets.collect():
+        groups.setdefault(r.set, set()).add(r.same)
+    return groups, {p for g in groups.values() for p in combinations(sorted(g), 2)}
+
+
+def test_texts_of_equal_prints_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "UNIT", 16)
+    monkeypatch.setattr(similar, "PRINTS", 1)
+    nodes = spark.createDataFrame([(i, b"\1\2\3\4\5") for i in range(40)], "same long, wide binary")
+    groups, met = pairs_of(similar.candidate_sets(nodes))
+    assert met == set(combinations(range(40), 2))
+    assert max(map(len, groups.values())) <= 2 * 16
+
+
+def test_a_group_of_near_copies_is_one_set(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, similar.PRINTS * similar.BITS, dtype=np.uint8)
+    rows = [(i, np.packbits(base ^ (rng.random(len(base)) < 0.04), bitorder="little").tobytes()) for i in range(300)]
+    groups, met = pairs_of(similar.candidate_sets(spark.createDataFrame(rows, "same long, wide binary")))
+    assert len(groups) == 1 and len(met) == 300 * 299 // 2

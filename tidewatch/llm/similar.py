@@ -170,7 +170,7 @@ def trie_pairs(starts: np.ndarray, ends: np.ndarray, value: np.ndarray, bits: in
 
 
 def _linked_sets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(set, same) of the linked sets of each unit; rows come sorted by unit. A set is named by its members."""
+    """(set, first, same) of the linked sets of each unit; rows come sorted by unit. A set is named by its members."""
     held: list[pa.RecordBatch] = []
 
     def sets(rows: pa.Table) -> pa.RecordBatch:
@@ -186,7 +186,9 @@ def _linked_sets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         label, members = label[order], same[own][order]
         edges = np.flatnonzero(np.diff(label, prepend=-1, append=-1))
         names = [xxhash.xxh64_intdigest(members[lo:hi].tobytes(), SEED) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist())]
-        return pa.record_batch({"set": pa.array(np.repeat(np.array(names, dtype=np.uint64).view(np.int64), np.diff(edges))), "same": pa.array(members)})
+        sizes = np.diff(edges)
+        named = np.repeat(np.array(names, dtype=np.uint64).view(np.int64), sizes)
+        return pa.record_batch({"set": pa.array(named), "first": pa.array(np.repeat(members[edges[:-1]], sizes)), "same": pa.array(members)})
 
     for batch in batches:
         held.append(batch)
@@ -255,7 +257,23 @@ def _similar_in_set(rows: pa.Table) -> pa.Table:
 
 
 def candidate_sets(nodes: DataFrame) -> DataFrame:
-    """(set, same): sets of at most UNIT texts that links within the budget of any print connect."""
+    """(set, same): sets of some UNIT texts at most, which hold all pairs of texts that links within the budget of any print connect.
+
+    Texts that sets connect, directly or by a chain, are one set if they are no more than UNIT: each of them stands in it once, and
+    not once in each of its units. Beyond that the sets stay as they are.
+    """
+    sets = cut_lineage(_unit_sets(nodes))
+    found = cut_lineage(components(sets.where("first <> same").select("first", "same").distinct(), "first", "same"))
+    whole = found.select(F.col("root").alias("set"), F.col("node").alias("same")).union(found.select("root", "root").distinct())
+    large = cut_lineage(found.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= UNIT).select(F.col("root").alias("set")))
+    if large.isEmpty():
+        return whole
+    tied = whole.join(small_side(large), "set", "left_semi").select(F.col("same").alias("first"))
+    return whole.join(small_side(large), "set", "left_anti").union(sets.join(tied, "first", "left_semi").select("set", "same"))
+
+
+def _unit_sets(nodes: DataFrame) -> DataFrame:
+    """(set, first, same): the linked sets of all units, ``first`` being one of the set."""
     n_blocks = 4 if nodes.count() <= FOUR_BLOCKS else 5
     bits = BITS * BUDGET // n_blocks
     rows = nodes.where("wide IS NOT NULL").select("same", "wide").mapInArrow(lambda b: _prints(b, n_blocks), "key long, value long, same long")
@@ -264,7 +282,7 @@ def candidate_sets(nodes: DataFrame) -> DataFrame:
         large = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > UNIT))
         more = not large.isEmpty()
         small = rows.join(small_side(large), "key", "left_anti") if more else rows
-        walked = small.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, bits=bits: _linked_sets(b, bits), "set long, same long")
+        walked = small.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b, bits=bits: _linked_sets(b, bits), "set long, first long, same long")
         sets = walked if sets is None else sets.union(walked)
         if not more:
             return sets.distinct()
@@ -272,13 +290,11 @@ def candidate_sets(nodes: DataFrame) -> DataFrame:
         if bits < 2 * (BUDGET + 1):
             break
         rows, bits = _split(rows, bits), bits - bits // (BUDGET + 1)
-    # Texts that differ in next to no bit of a print: parts that share the smallest, which ties them together.
-    dealt = rows.join(large.withColumn("parts", F.ceil(2 * F.col("n") / UNIT)), "key")
-    first = dealt.groupBy("key", "parts").agg(F.min("same").alias("same"))
-    part = F.pmod(F.xxhash64("same"), F.col("parts"))
-    tied = first.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "same")
-    parts = dealt.select(part.alias("part"), "key", "same").union(tied)
-    return sets.union(parts.select(F.xxhash64("key", "part").alias("set"), "same")).distinct()
+    # Texts that differ in next to no bit of a print: parts of half a unit, and a set of each two of them, so that every pair meets.
+    firsts = rows.groupBy("key").agg(F.min("same").alias("first"), F.ceil(2 * F.count("*") / UNIT).alias("parts"))
+    dealt = rows.join(firsts, "key").withColumn("part", F.pmod(F.xxhash64("same"), F.col("parts")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    return sets.union(met.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("set"), "first", "same")).distinct()
 
 
 def _keys(id_col: str, tie: str):
