@@ -393,3 +393,12 @@ def test_every_stage_takes_edge_rows(spark, edge_docs, tmp_path):
 
 def test_names_and_folds():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_no_training_stretch_is_left_out(spark, vocabulary, monkeypatch):
+    held, spans = [], lm_scoring._spans
+    monkeypatch.setattr(lm_scoring, "FIRST_SPANS", 2)
+    monkeypatch.setattr(lm_scoring, "_spans", lambda *a: held.append(spans(*a)) or held[0])
+    docs = [(i, " ".join(f"w{i} v{j}" for j in range(240)), True) for i in range(4)]
+    lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string, t boolean"), vocabulary, "t", ["doc_id"])
+    assert held[0].count() == 4 * 480 // lm_scoring.SPAN_WORDS

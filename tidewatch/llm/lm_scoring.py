@@ -1,9 +1,8 @@
 """Language-model scoring of whole texts: word counts of all training texts and self-attention on subword ids.
 
 Words are counted over the whole corpus through the global distinct-word shuffle, in which each distinct
-word is also turned into subword ids once. The attention model is trained by tasks on a fixed share of
-all training texts, with corpus-wide counts of the subwords, and scores every subword once, in overlapping
-windows.
+word is also turned into subword ids once. The attention model is trained by tasks on all training texts, with
+corpus-wide counts of the subwords, and scores every subword once, in overlapping windows.
 
 Scores are over the same events as the base: the known words, the end, and one class for all unknown
 words. A known word has the model's probability of its first subword (given that a word begins) times its
@@ -28,9 +27,8 @@ from tidewatch.llm.common import UPPER, free_name
 from tidewatch.llm.word_blocks import Lists, pack, schema_of, text_sequences, unpack, word_pages, words_in
 from tidewatch.session import cut_lineage
 
-# Of stretches of so many words at least one in FIT_SHARE is learned from.
+# Words of a stretch, as training texts are cut to be learned from.
 SPAN_WORDS = 48
-FIT_SHARE = 64
 # Stretches of the first fit, which is the common start, and of each task's fit after it; tokens of a page of sums.
 FIRST_SPANS = 10_000
 GROUP_SPANS = 10_000
@@ -155,18 +153,16 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"page": pa.array([now], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def learned_model(rows: DataFrame, vocabulary, text: str, counted: str, counts: np.ndarray, n_words: int) -> attention_lm.Attention:
+def learned_model(rows: DataFrame, vocabulary, text: str, counted: str, counts: np.ndarray) -> attention_lm.Attention:
     """The attention model of all training texts.
 
-    At least one stretch in FIT_SHARE of the training texts' ``n_words`` is learned from, so what is learned from grows with the
-    corpus, and of a small corpus so many more that there are some FIRST_SPANS. A first fit on at most
+    Every stretch of them is learned from, equal ones once. A first fit on at most
     FIRST_SPANS of them sets the weights that all tasks go on from; each task then learns from its GROUP_SPANS, and
     the weights are joined as means by how often their tokens stood there. What comes back to the driver is
     bounded by the vocabulary.
     """
     n_tokens = len(vocabulary.value.ranks) + 1
-    share = min(FIT_SHARE, max(1, n_words // (SPAN_WORDS * FIRST_SPANS)))
-    spans = _spans(rows, vocabulary, text, counted, share)
+    spans = _spans(rows, vocabulary, text, counted, 1)
     first = spans.orderBy(F.xxhash64("ids"), "ids").limit(FIRST_SPANS).toArrow().column("ids").to_pylist()
     start = attention_lm.learn([np.array(s, dtype=np.int64) for s in first], n_tokens, counts)
     n_groups = -(-spans.count() // GROUP_SPANS)
@@ -237,7 +233,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, trains: str, keep: list[str],
     counts, start_counts = summed("_tokens", "_times"), summed("_starts", "_start_times")
     begins = np.zeros(end + 1, bool)
     begins[[i for b, i in vocabulary.ranks.items() if b[:1] == b" "] + [end]] = True
-    model = learned_model(source.select(body, counted), shared, body, counted, counts, n_train)
+    model = learned_model(source.select(body, counted), shared, body, counted, counts)
     held = docs.sparkSession.sparkContext.broadcast(model)
     whole = n_train + SMOOTHING * (n_distinct + 1)
     unknown = SMOOTHING / whole
