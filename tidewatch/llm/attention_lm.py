@@ -57,6 +57,16 @@ def windows_of(length: int, window: int = WINDOW, stride: int = STRIDE) -> np.nd
     return np.where((at >= 0) & (at < length), at, -1)
 
 
+def _all_windows(lengths: np.ndarray) -> np.ndarray:
+    """``windows_of`` the inputs (all but the last token) of sequences that lie one after another, as positions there."""
+    inputs = np.maximum(lengths - 1, 0)
+    n = -(-inputs // STRIDE)
+    own = np.repeat(np.arange(len(lengths)), n)
+    first = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE - (WINDOW - STRIDE)
+    at = first[:, None] + np.arange(WINDOW)
+    return np.where((at >= 0) & (at < inputs[own][:, None]), at + (np.cumsum(lengths) - lengths)[own][:, None], -1)
+
+
 def _mixing(model: Attention, inputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Unnormalised mixing weights after the last STRIDE inputs of each window (rows of ``inputs``)."""
     rows = bias.shape[0]
@@ -84,16 +94,10 @@ def token_log_probs(
     """
     flat = np.concatenate([*sequences, np.array([model.pad])]).astype(np.int64)
     starts = np.cumsum([0, *map(len, sequences)])
-    index = []
+    index = _all_windows(np.diff(starts))
     in_group = model.parts[: len(group)][group].sum(axis=0)
-    for s, seq in zip(starts, sequences):
-        if len(seq) < 2:
-            continue
-        at = windows_of(len(seq) - 1)
-        index.append(np.where(at >= 0, at + s, -1))
     out, of_group = np.zeros(len(flat), np.float32), np.zeros(len(flat), np.float32)
-    if index:
-        index = np.concatenate(index)
+    if len(index):
         bias = _bias(model.near)
         for i in range(0, len(index), batch):
             at = index[i : i + batch]
@@ -108,21 +112,61 @@ def token_log_probs(
     return tuple([x[s + 1 : s + len(q)] for s, q in zip(starts, sequences)] for x in (out, of_group))
 
 
-def _adam(p, g, m, v, step, rate):
-    m *= 0.9
-    m += 0.1 * g
-    v *= 0.99
-    v += 0.01 * g * g
-    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+class _Adam:
+    """Adam on rows of a table of which a step touches few.
 
+    A row that no step touches has zero gradients and coasts on its moments: the way it went and what is left of
+    the moments are made up for when it is next read. So a step costs its own rows, not the table.
+    """
 
-def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by index."""
-    order = np.argsort(index, kind="stable")
-    own, first = np.unique(index[order], return_index=True)
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[own] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    def __init__(self, table: np.ndarray):
+        self.table, self.first, self.second = table, np.zeros_like(table), np.zeros_like(table)
+        self.last = np.zeros(len(table), np.int64)
+
+    def read(self, own: np.ndarray, step: int, rate: float) -> np.ndarray:
+        """The rows ``own`` as they are before step ``step``."""
+        missed = np.maximum(step - 1 - self.last[own], 0)[:, None].astype(np.float32)
+        ratio = np.float32(0.9 / 0.99**0.5)
+        coasted = rate * ratio * (1 - ratio**missed) / (1 - ratio)
+        table, first, second = self.table[own], self.first[own], self.second[own]
+        # Corrected for their start as of the step before; rows of which nothing is known stay.
+        began = np.maximum(self.last[own], 1)[:, None].astype(np.float32)
+        coasted *= np.sqrt(1 - np.float32(0.99) ** began) / (1 - np.float32(0.9) ** began)
+        table -= coasted * first / (np.sqrt(second) + np.float32(1e-6))
+        first *= np.float32(0.9) ** missed
+        second *= np.float32(0.99) ** missed
+        self._now = own, table, first, second
+        return table
+
+    def write(self, g: np.ndarray, step: int, rate: float) -> None:
+        """A step on the rows read last, with gradients ``g``."""
+        own, table, first, second = self._now
+        first *= np.float32(0.9)
+        first += np.float32(0.1) * g
+        g *= g
+        second *= np.float32(0.99)
+        second += np.float32(0.01) * g
+        root = np.sqrt(second)
+        root *= np.float32((1 - 0.99**step) ** -0.5)
+        root += np.float32(1e-6)
+        np.divide(first, root, out=root)
+        root *= np.float32(rate / (1 - 0.9**step))
+        table -= root
+        self.table[own], self.first[own], self.second[own], self.last[own] = table, first, second, step
+
+
+def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indexes and the sum of the rows of each, added in pairs."""
+    # Narrow integers are sorted by radix.
+    order = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
+    ordered, out = index[order], rows.take(order, axis=0)
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    place = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
+    while len(odd := np.flatnonzero(place & 1)):
+        out[odd - 1] += out.take(odd, axis=0)
+        even = np.flatnonzero(place & 1 == 0)
+        out, place = out.take(even, axis=0), place[even] >> 1
+    return ordered[first], out
 
 
 @dataclass
@@ -147,6 +191,28 @@ class Learned:
         return out
 
 
+class Sums:
+    """Means by weight of fits that started alike, added up one at a time."""
+
+    def __init__(self, n_tokens: int):
+        self.n_tokens, self.any = n_tokens, False
+
+    def add(self, fit: Learned) -> None:
+        total = fit.weight.sum()
+        if not self.any:
+            self.any, self.weight, self.rows = True, np.zeros(self.n_tokens), np.zeros((self.n_tokens, fit.rows.shape[1]), np.float32)
+            self.near, self.usual = np.zeros(len(fit.near)), np.zeros(len(fit.usual))
+        self.weight[fit.tokens] += fit.weight
+        self.rows[fit.tokens] += fit.rows * fit.weight[:, None].astype(np.float32)
+        self.near += fit.near * total
+        self.usual += fit.usual * total
+
+    def joined(self) -> Learned:
+        tokens = np.flatnonzero(self.weight)
+        weight, total = self.weight[tokens], max(self.weight.sum(), 1e-30)
+        return Learned(tokens, weight, self.rows[tokens] / weight[:, None].astype(np.float32), self.near / total, self.usual / total)
+
+
 def train(sequences: list[np.ndarray], n_tokens: int, counts: np.ndarray, seed: int = 1, epochs: int = 2, batch: int = 128, rate: float = 0.02) -> Attention:
     """The model of ``sequences`` alone; ``counts`` are the corpus-wide counts of the tokens."""
     return finished(learn(sequences, n_tokens, counts, seed, epochs, batch, rate), n_tokens, counts)
@@ -161,12 +227,14 @@ def learn(
     """
     rng = np.random.default_rng(seed)
     # Only tokens of the sample have rows of their own while training.
-    known = np.unique(np.concatenate([np.empty(0, np.int64), *sequences]).astype(np.int64))
+    flat = np.concatenate([np.empty(0, np.int64), *sequences]).astype(np.int64)
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    known = np.unique(flat)
     all_base = (counts + 0.1) / (counts + 0.1).sum()
-    sequences = [np.searchsorted(known, s) for s in sequences]
     n_own = len(known)
     n, d, z = n_own + 1, KEY_WIDTH, PARTS
     pad = n_own
+    flat = np.append(np.searchsorted(known, flat), pad)
     base = all_base[known] / max(all_base[known].sum(), 1e-30)
     q, k = rng.normal(0, 0.3, (n, d)).astype(np.float32), rng.normal(0, 0.3, (n, d)).astype(np.float32)
     v, u = np.zeros((n, z), np.float32), rng.normal(0, 0.1, (n, z)).astype(np.float32)
@@ -179,60 +247,87 @@ def learn(
             table[:n_own] = columns
         near, share = start.near.astype(np.float32).copy(), before[:, -z:]
     held = (share * base[:, None] * 1000).astype(np.float32)
-    usual = held.sum(axis=0) / max(held.sum(), 1e-30)
-    params = [q, k, v, u, near]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    flat = np.concatenate([*sequences, np.array([pad])]).astype(np.int64)
-    starts = np.cumsum([0, *map(len, sequences)])
-    at = [np.where((w := windows_of(len(s) - 1)) >= 0, w + o, -1) for o, s in zip(starts, sequences) if len(s) > 1]
-    index = np.concatenate(at) if at else np.empty((0, WINDOW), np.int64)
+    # The averages are kept as multiples of one factor, and their sums beside them: a step changes the rows it meets.
+    factor, column = 1.0, held.sum(axis=0, dtype=np.float64)
+    rows_of, near_of = _Adam(np.concatenate((q, k, v, u), axis=1)), _Adam(near[:, None])
+    index = _all_windows(lengths)
     steps = epochs * (-(-len(index) // batch))
     # A fit that goes on does so at the falling end of the schedule.
     step, total = (0, max(1, steps)) if start is None else (2 * steps + 1, max(1, 3 * steps + 1))
-    dist = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    causal = dist >= 0
+    rows_of.last[:] = near_of.last[:] = step
+    dist = np.clip(np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :], -1, WINDOW - 1)
+    causal, every, now_rate = dist >= 0, np.arange(WINDOW), rate
+    met, place, base = np.zeros(n, bool), np.zeros(n, np.int64), np.append(base, 0).astype(np.float32)
+    held, ones_a, ones_z = np.concatenate((held, np.zeros((1, z), np.float32))), np.ones(WINDOW, np.float32), np.ones(z, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(index))
         for i in range(0, len(index), batch):
             step += 1
             rows = index[order[i : i + batch]]
             x = flat[rows]
-            tail, target = x[:, -STRIDE:], rows[:, -STRIDE:]
-            ok = target >= 0
-            t = np.where(ok, flat[target + 1], 0)
-            qs, ks, vs = q[tail], k[x], v[x]
-            s = np.matmul(qs, ks.swapaxes(1, 2)) + near[np.clip(dist, 0, WINDOW - 1)]
-            s = np.where(causal[None] & (x != pad)[:, None, :], s, _MASKED)
-            a = np.exp(s - s.max(axis=2, keepdims=True))
-            a /= a.sum(axis=2, keepdims=True)
-            logit = np.matmul(a, vs) + u[tail]
-            pi = np.exp(logit - logit.max(axis=2, keepdims=True))
-            pi /= pi.sum(axis=2, keepdims=True)
-            parts = (held + 0.02 * usual * base[:, None] * held.sum()) / (held.sum(axis=0) * 1.02 + 1e-9)
-            r = pi * parts[t]
-            r /= np.maximum(r.sum(axis=2, keepdims=True), 1e-30)
-            g = np.where(ok[:, :, None], pi - r, 0).astype(np.float32)
+            target = rows[:, -STRIDE:]
+            ok = (target >= 0).ravel()
+            t = flat[target.ravel() + 1]
+            n_ok = max(int(ok.sum()), 1)
+            # The tables of this batch alone, its tokens numbered anew.
+            met[x] = True
+            own = np.flatnonzero(met)
+            met[own] = False
+            place[own] = np.arange(len(own))
+            here = place[x]
+            table, bias = rows_of.read(own, step, now_rate), near_of.read(every, step, now_rate)[:, 0]
+            both = table.take(here, axis=0)
+            qs, ks, vs = both[:, -STRIDE:, :d], both[:, :, d : 2 * d], both[:, :, 2 * d : 2 * d + z]
+            a = np.matmul(qs, ks.swapaxes(1, 2))
+            a += np.where(causal, bias[dist], _MASKED)
+            a += np.where(x == pad, np.float32(_MASKED), np.float32(0))[:, None, :]
+            np.minimum(a, _CLIP, out=a)
+            np.exp(a, out=a)
+            a *= (1 / np.maximum(a @ ones_a, np.float32(1e-30)))[:, :, None]
+            pi = np.matmul(a, vs)
+            pi += both[:, -STRIDE:, 2 * d + z :]
+            np.minimum(pi, _CLIP, out=pi)
+            np.exp(pi, out=pi)
+            pi = pi.reshape(-1, z)
+            pi *= (1 / (pi @ ones_z))[:, None]
+            r = held.take(t, axis=0)
+            r *= np.float32(factor)
+            r += base[t][:, None] * (0.02 * column).astype(np.float32)
+            r *= (1 / (column * 1.02 + 1e-9)).astype(np.float32)
+            r *= pi
+            r *= (ok / np.maximum(r @ ones_z, np.float32(1e-30)))[:, None].astype(np.float32)
+            pi *= ok[:, None]
+            pi -= r
+            g = pi.reshape(len(x), STRIDE, z)
             da = np.matmul(g, vs.swapaxes(1, 2))
-            ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-            dq, dk, dv = np.matmul(ds, ks), np.matmul(ds.swapaxes(1, 2), qs), np.matmul(a.swapaxes(1, 2), g)
-            scale = 1.0 / max(int(ok.sum()), 1)
-            fx, ft = x.reshape(-1), tail.reshape(-1)
-            grads = [
-                _scatter(ft, dq.reshape(-1, d), n), _scatter(fx, dk.reshape(-1, d), n), _scatter(fx, dv.reshape(-1, z), n), _scatter(ft, g.reshape(-1, z), n),
-                np.bincount(np.clip(dist, 0, WINDOW - 1)[causal], ds.sum(axis=0)[causal], WINDOW).astype(np.float32),
-            ]
+            da -= np.einsum("bqk,bqk->bq", a, da)[:, :, None]
+            da *= a
+            grads = np.zeros((*x.shape, 2 * d + 2 * z), np.float32)
+            grads[:, -STRIDE:, :d] = np.matmul(da, ks)
+            grads[:, :, d : 2 * d] = np.matmul(da.swapaxes(1, 2), qs)
+            grads[:, :, 2 * d : 2 * d + z] = np.matmul(a.swapaxes(1, 2), g)
+            grads[:, -STRIDE:, 2 * d + z :] = g
+            scale = np.float32(100 / n_ok)
             now_rate = rate * (1 - step / (total + 1))
-            for p, gr, (m1, m2) in zip(params, grads, moments):
-                _adam(p, gr * scale * 100, m1, m2, step, now_rate)
-            fresh = _scatter(t[ok], r[ok].astype(np.float32), n_own)
+            rows_of.write(_sums(here.ravel(), grads.reshape(-1, 2 * d + 2 * z))[1] * scale, step, now_rate)
+            near_of.write((np.bincount(dist[causal], da.sum(axis=0)[causal], WINDOW).astype(np.float32) * scale)[:, None], step, now_rate)
             keep = 1 - max(0.02, 1 / (step + 2)) if step < total // 2 else 1 - 1 / (step - total // 2 + 50)
-            held = keep * held + (1 - keep) * fresh * (len(index) * STRIDE / max(int(ok.sum()), 1))
-            usual = held.sum(axis=0) / held.sum()
+            gain = (1 - keep) * (len(index) * STRIDE / n_ok)
+            tokens, fresh = _sums(t, r)
+            factor *= keep
+            if factor < 1e-6:
+                held *= np.float32(factor)
+                factor = 1.0
+            held[tokens] += fresh * np.float32(gain / factor)
+            column = keep * column + gain * fresh.sum(axis=0, dtype=np.float64)
+    table, near = rows_of.read(np.arange(n), step + 1, now_rate)[:n_own], near_of.read(every, step + 1, now_rate)[:, 0]
+    held = held[:n_own] * np.float32(factor)
+    usual = column / max(column.sum(), 1e-30)
     # What part a token belongs to comes from the sample, how often it occurs from the whole corpus.
     usual = np.where(np.isfinite(usual), usual, 0) + 1e-6
     usual /= usual.sum()
     belongs = (held + usual * 0.5) / (held + usual * 0.5).sum(axis=1, keepdims=True)
-    rows = np.concatenate((q[:n_own], k[:n_own], v[:n_own], u[:n_own], belongs), axis=1).astype(np.float32)
+    rows = np.concatenate((table, belongs), axis=1).astype(np.float32)
     return Learned(known, np.bincount(flat[:-1], minlength=n_own)[:n_own].astype(np.float64), rows, near, usual)
 
 

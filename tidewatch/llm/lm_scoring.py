@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm import attention_lm
 from tidewatch.llm.byte_bpe import Vocabulary
-from tidewatch.llm.common import UPPER, free_name
+from tidewatch.llm.common import UPPER, free_name, release_memory
 from tidewatch.llm.word_blocks import Lists, pack, schema_of, text_sequences, unpack, word_pages, words_in
 from tidewatch.session import cut_lineage
 
@@ -33,6 +34,9 @@ SPAN_WORDS = 48
 FIRST_SPANS = 10_000
 GROUP_SPANS = 10_000
 PAGE_TOKENS = 2048
+# Characters of text that are cut into stretches together, and words whose ids a task keeps.
+SPAN_CHARS = 2_000_000
+KNOWN_WORDS = 300_000
 SMOOTHING = 0.1
 # Parts of the probability that go to spelling words out, and, of first subwords, to their plain shares.
 SPELLED = 0.05
@@ -102,22 +106,72 @@ def spans_of(text: str | None, share: int) -> Iterator[tuple[list[bytes], bool,
             yield part, s == 0, s + SPAN_WORDS >= len(words)
 
 
+def packed_spans(texts: pa.Array, ids_of: Callable[[list[str]], list[list[int]]], end: int, share: int, kind: str) -> pa.Array:
+    """The stretches of ``spans_of`` each text, as the subword ids of their words in one binary of numbers of ``kind``."""
+    numbers, lengths, words = cut_words(texts)
+    # Two more words stand for the mark of the end, before and after each text's own.
+    listed = [*ids_of(words), [end]]
+    size = np.fromiter(map(len, listed), np.int64, len(listed))
+    flat = np.fromiter(chain.from_iterable(listed), np.int64, int(size.sum()))
+    start = np.cumsum(size) - size
+    stops = np.cumsum(lengths)
+    bounds = np.stack((stops - lengths, stops), axis=1).ravel()
+    numbers = np.insert(numbers, bounds, len(words))
+    n = size[numbers]
+    ids = flat[np.repeat(start[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(kind)
+    # First word of each stretch, in the words with marks; marks belong to the stretch they touch.
+    per_text = -(-lengths // SPAN_WORDS)
+    own = np.repeat(np.arange(len(lengths)), per_text)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    before = stops - lengths + 2 * np.arange(len(lengths))
+    first = before[own] + (nth > 0) + SPAN_WORDS * nth
+    last = np.where(nth + 1 == per_text[own], before[own] + lengths[own] + 2, before[own] + 1 + SPAN_WORDS * (nth + 1))
+    if share > 1:
+        named = [w.encode() for w in words] + [b""]
+        marks = [zlib.crc32(b" ".join(named[i] for i in numbers[a:b].tolist() if i < len(words))) for a, b in zip(first.tolist(), last.tolist())]
+        chosen = np.array(marks, dtype=np.int64) % share == 0
+        first, last = first[chosen], last[chosen]
+    ends = np.concatenate(([0], np.cumsum(n))) * ids.itemsize
+    data = ids.tobytes()
+    return pa.array([data[a:b] for a, b in zip(ends[first].tolist(), ends[last].tolist())], pa.binary())
+
+
 def _spans(rows: DataFrame, vocabulary, text: str, counted: str, share: int) -> DataFrame:
-    """(ids): subword ids of the chosen stretches of all training texts, equal ones once."""
+    """(packed, ids): subword ids of the chosen stretches of all training texts, equal ones once.
+
+    They are shuffled and stored packed, in two bytes an id where the vocabulary allows; ``ids`` is made of that where it is read.
+    """
     end = len(vocabulary.value.ranks)
+    kind = _kind(end)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary.value.encoding
+        encode, known = vocabulary.value.encoding.encode_ordinary, {}
+
+        def ids_of(words: list[str]) -> list[list[int]]:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            return [known.get(w) or known.setdefault(w, encode(" " + w)) for w in words]
+
         for batch in batches:
-            out = []
-            for t in batch.column("t").to_pylist():
-                for words, first, last in spans_of(t, share):
-                    ids = [i for w in words for i in encoder.encode_ordinary(" " + w.decode())]
-                    out.append([end] * first + ids + [end] * last)
-            yield pa.record_batch({"ids": pa.array(out, pa.list_(pa.int64()))})
+            texts, at = batch.column("t").fill_null(""), 0
+            ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+            while at < len(texts):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPAN_CHARS)))
+                yield pa.record_batch({"packed": packed_spans(texts.slice(at, stop - at), ids_of, end, share, kind)})
+                at = stop
+            release_memory()
 
     texts = rows.where(F.col(counted)).select(F.col(text).alias("t"))
-    return cut_lineage(texts.mapInArrow(task, "ids array<long>").distinct())
+    # In an order that no run changes and no content favours.
+    stretches = texts.mapInArrow(task, "packed binary").distinct().sortWithinPartitions(F.xxhash64("packed"), "packed")
+    width = np.dtype(kind).itemsize
+    number = F.expr(f"transform(sequence(1, octet_length(packed), {width}), i -> cast(conv(hex(substring(packed, i, {width})), 16, 10) as int))")
+    return cut_lineage(stretches).select("packed", number.alias("ids"))
+
+
+def _kind(end: int) -> str:
+    """Big-endian numbers that hold all ids up to ``end``."""
+    return ">u2" if end < 1 << 16 else ">u4"
 
 
 def _packed_rows(learned: attention_lm.Learned) -> pa.RecordBatch:
@@ -162,23 +216,33 @@ def learned_model(rows: DataFrame, vocabulary, text: str, counted: str, counts:
     bounded by the vocabulary.
     """
     n_tokens = len(vocabulary.value.ranks) + 1
-    spans = _spans(rows, vocabulary, text, counted, 1)
-    first = spans.orderBy(F.xxhash64("ids"), "ids").limit(FIRST_SPANS).toArrow().column("ids").to_pylist()
-    start = attention_lm.learn([np.array(s, dtype=np.int64) for s in first], n_tokens, counts)
-    n_groups = -(-spans.count() // GROUP_SPANS)
-    if n_groups < 2:
+    spans, kind = _spans(rows, vocabulary, text, counted, 1), _kind(n_tokens - 1)
+    unpacked = lambda column: [np.frombuffer(s, kind).astype(np.int64) for s in column.to_pylist()]
+    first = spans.orderBy(F.xxhash64("packed"), "packed").limit(FIRST_SPANS).select("packed").toArrow().column("packed")
+    start = attention_lm.learn(unpacked(first), n_tokens, counts)
+    if spans.count() <= GROUP_SPANS:
         return attention_lm.finished(start, n_tokens, counts)
     held = spans.sparkSession.sparkContext.broadcast((start, counts))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fits on GROUP_SPANS stretches at a time, whose sums leave the task as one."""
         before, counts = held.value
-        own = [np.array(s, dtype=np.int64) for b in batches for s in b.column("ids").to_pylist()]
-        if own:
-            yield _packed_rows(attention_lm.learn(own, n_tokens, counts, epochs=1, start=before))
-
-    # Dealt by their content, so that a task that runs again sees the same stretches.
-    dealt = spans.repartition(n_groups, F.xxhash64("ids")).sortWithinPartitions("ids")
-    sums = dealt.mapInArrow(task, "page long, data binary").repartition("page").sortWithinPartitions("page").mapInArrow(_added, "page long, data binary")
+        own, n, fits = [], 0, attention_lm.Sums(n_tokens)
+        for b in batches:
+            own.append(b.column("packed"))
+            n += b.num_rows
+            while n >= GROUP_SPANS:
+                rest = pa.chunked_array(own, pa.binary())
+                fits.add(attention_lm.learn(unpacked(rest[:GROUP_SPANS]), n_tokens, counts, epochs=1, start=before))
+                own, n = rest[GROUP_SPANS:].chunks, n - GROUP_SPANS
+        if n:
+            fits.add(attention_lm.learn(unpacked(pa.chunked_array(own, pa.binary())), n_tokens, counts, epochs=1, start=before))
+        if fits.any:
+            yield _packed_rows(fits.joined())
+            release_memory()
+
+    # The stretches lie by their content since equal ones met, so no further shuffle deals them.
+    sums = spans.select("packed").mapInArrow(task, "page long, data binary").repartition("page").sortWithinPartitions("page").mapInArrow(_added, "page long, data binary")
     width = start.rows.shape[1]
     tokens, weight, table, near, usual = [], [], [], start.near, start.usual
     for r in sums.collect():
