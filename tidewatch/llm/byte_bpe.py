@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.common import free_name, release_memory
-from tidewatch.llm.word_blocks import Lists, pack, schema_of, text_sequences, word_pages, words_in
+from tidewatch.llm.word_blocks import Lists, lists_of, pack, schema_of, text_sequences, word_pages, words_in
 
 # Fixed value: the characters that \s stands for in the encoder's own pattern language.
 WHITE_SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -83,34 +83,40 @@ class PreTokens:
         mark_of = np.full(len(pieces), -1)
         ends = pc.filter(pc.utf8_slice_codeunits(pieces, -1), pa.array(plain & marked)).to_pylist()
         mark_of[plain & marked] = known(ends)
-        others = {i: known(self.pattern.findall(" " + p)) for i, p in zip(np.flatnonzero(~plain).tolist(), pc.filter(pieces, pa.array(~plain)).to_pylist())}
+        others, other_sizes = array("i"), array("i")
+        for p in pc.filter(pieces, pa.array(~plain)):
+            others.extend(found := known(self.pattern.findall(" " + p.as_py())))
+            other_sizes.append(len(found))
         size = np.where(plain, 1 + marked, 0)
-        size[list(others)] = list(map(len, others.values()))
+        size[~plain] = np.frombuffer(other_sizes, np.int32)
         start = np.cumsum(size) - size
-        flat = np.zeros(int(size.sum()), np.int64)
+        flat = np.zeros(int(size.sum()), np.int32)
         flat[start[plain]] = np.asarray(bases.indices)
         flat[start[plain & marked] + 1] = mark_of[plain & marked]
         rest_of = np.ones(len(flat), bool)
         rest_of[start[plain]] = False
         rest_of[start[plain & marked] + 1] = False
-        flat[rest_of] = np.fromiter(chain.from_iterable(others.values()), np.int64, int(rest_of.sum()))
+        flat[rest_of] = np.frombuffer(others, np.int32)
         # The first piece of a text has no space before it, and a text with other white space around spaces is cut
         # whole: each text has a piece of its own that stands for the first or for all.
-        firsts, whole = [], np.zeros(len(texts), bool)
-        for i, text in enumerate(texts.to_pylist()):
+        firsts, first_sizes, whole = array("i"), array("i"), np.zeros(len(texts), bool)
+        for i in range(len(texts)):
+            text = texts[i].as_py()
             whole[i] = self._inner_space.search(text) is not None
-            firsts.append(known(self.pattern.findall(text if whole[i] else text.split(" ", 1)[0])))
-        first_size = np.fromiter(map(len, firsts), np.int64, len(firsts))
-        flat = np.concatenate((flat, np.fromiter(chain.from_iterable(firsts), np.int64, int(first_size.sum()))))
-        size = np.concatenate((size, first_size))
+            firsts.extend(found := known(self.pattern.findall(text if whole[i] else text.split(" ", 1)[0])))
+            first_sizes.append(len(found))
+        flat = np.concatenate((flat, np.frombuffer(firsts, np.int32)))
+        size = np.concatenate((size, np.frombuffer(first_sizes, np.int32)))
         start = np.cumsum(size) - size
-        codes = np.array(coded.indices, dtype=np.int64)
-        codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
-        n = size[codes]
-        n[np.repeat(whole, np.diff(offsets)) & (codes < len(pieces))] = 0
-        numbers = flat[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        lengths = np.add.reduceat(n, offsets[:-1]) if len(texts) else n
-        return numbers, lengths, list(number)
+        codes = np.array(coded.indices, dtype=np.int32)
+        # The texts in pieces are not needed from here on.
+        n_pieces = len(pieces)
+        del parts, coded, pieces, letters, bases, words, others, firsts
+        codes[offsets[:-1]] = n_pieces + np.arange(len(texts))
+        n = size.astype(np.int32)[codes]
+        n[np.repeat(whole, np.diff(offsets)) & (codes < n_pieces)] = 0
+        lengths = np.add.reduceat(n, offsets[:-1], dtype=np.int64) if len(texts) else n
+        return lists_of(codes, start, n, flat), lengths, list(number)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", name: str = "token_ids", binary: bool = False) -> DataFrame:

@@ -190,7 +190,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 text, n = None, 0
             found.append(text)
             words.append(n)
-        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(words, pa.int64())], ["text", "words"])
+        out = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(words, pa.int64())], ["text", "words"])
+        del found
+        release_memory()
+        return out
 
     tied = docs.withColumn(tie, text_tie(F.col(text)))
     flagged = tied.withColumn(flag, touched(F.xxhash64(id_col, tie)))

@@ -25,6 +25,8 @@ from tidewatch.llm.common import release_memory
 BLOCK_CHARS = 8_000_000
 # Word pages per shuffle partition: more pages mean smaller groups.
 PAGES = 8
+# Numbers of a block that are worked on together: what is made of them on the way is many times the numbers.
+AT_ONCE = 100_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -41,13 +43,32 @@ def pack(values: np.ndarray) -> bytes:
 
 
 def pack_each(values: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """``pack`` of each stretch of ``values``, done at once."""
-    data = pack(values)
-    size = 1 + sum((values >= 1 << 7 * i).astype(np.int64) for i in range(1, 6))
-    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(lengths)))]
+    """``pack`` of each stretch of ``values``, done AT_ONCE numbers at a time."""
+    edges, parts, done = np.concatenate(([0], np.cumsum(lengths))), [], 0
+    ends = np.zeros(len(edges), np.int64)
+    for lo in range(0, len(values), AT_ONCE):
+        part = values[lo : lo + AT_ONCE]
+        parts.append(pack(part))
+        # A number ends with the byte whose high bit is not set.
+        stops = np.flatnonzero(np.frombuffer(parts[-1], np.uint8) < 128)
+        here = slice(np.searchsorted(edges, lo, "right"), np.searchsorted(edges, lo + len(part), "right"))
+        ends[here] = done + 1 + stops[edges[here] - lo - 1]
+        done += len(parts[-1])
+    data = b"".join(parts)
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+def lists_of(codes: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that ``codes`` stand for, one after another, made for AT_ONCE codes at a time."""
+    out, done = np.empty(int(size.sum()), flat.dtype), 0
+    for lo in range(0, len(codes), AT_ONCE):
+        n = size[lo : lo + AT_ONCE]
+        stop = done + int(n.sum())
+        out[done:stop] = flat[np.repeat(start[codes[lo : lo + AT_ONCE]] - (np.cumsum(n) - n), n) + np.arange(stop - done)]
+        done = stop
+    return out
+
+
 def unpack_each(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all parts, one part after another, and how many each part has."""
     data = b"".join(parts)
@@ -93,11 +114,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, cut: Cutter, counted: s
         table = pa.Table.from_batches(rows)
         numbers, lengths, words = cut(table.column(text).fill_null("").combine_chunks())
         order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         own = np.repeat(table.column(counted).to_numpy(zero_copy_only=False), lengths) if counted else slice(None)
         counts = np.bincount(numbers[own], minlength=len(words))
         words, packed = [words[i] for i in order.tolist()], pack_each(rank[numbers], lengths)
+        del numbers
         mark = zlib.crc32(b"".join(packed), zlib.crc32("\0".join(words).encode()))
         return Block((part << 44) | (n_blocks << 32) | mark, table, packed, words, counts[order])
 
